@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import url_filter
+from lucidframe.llm import line_rules, url_filter
 
 QUERIES = {
+    "op2_line_rules": line_rules.op2_line_rules,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLES = {
+    "op2_line_rules": line_rules.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
