@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import line_rules, url_filter
+from lucidframe.llm import line_rules, packing, url_filter
 
 QUERIES = {
     "op2_line_rules": line_rules.op2_line_rules,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_line_rules": line_rules.ORACLE,
