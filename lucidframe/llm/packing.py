@@ -38,10 +38,10 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> I
     for ids, texts in slices(batches):
         rows = ([], [], [], [], [])
         for doc_id, got in zip(ids, own.encode_many(texts)):
-            got += b"\0\0\0\0"
-            n = len(got) >> 2
+            raw = got.tobytes() + b"\0\0\0\0"
+            n = len(raw) >> 2
             for k, a in enumerate(range(0, n, capacity)):
-                for out, x in zip(rows, (doc_id, k, a, min(capacity, n - a), zlib.crc32(got[4 * a : 4 * (a + capacity)]))):
+                for out, x in zip(rows, (doc_id, k, a, min(capacity, n - a), zlib.crc32(raw[4 * a : 4 * (a + capacity)]))):
                     out.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
