@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import decontaminate, line_rules, packing, url_filter
+from lucidframe.llm import decontaminate, line_rules, ngram_join, packing, url_filter
 
 QUERIES = {
     "op2_line_rules": line_rules.op2_line_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op2_line_rules": line_rules.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
