@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import decontaminate, line_rules, ngram_join, packing, url_filter
+from lucidframe.llm import decontaminate, line_rules, ngram_join, packing, url_filter, warc
 
 QUERIES = {
     "op2_line_rules": line_rules.op2_line_rules,
+    "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_line_rules": line_rules.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
