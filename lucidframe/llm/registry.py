@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lucidframe.llm import decontaminate, line_rules, ngram_join, packing, url_filter, warc
+from lucidframe.llm import decontaminate, license_scan, line_rules, ngram_join, packing, url_filter, warc
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_line_rules": line_rules.op2_line_rules,
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op1_license_scan": license_scan.ORACLE,
     "op2_line_rules": line_rules.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
