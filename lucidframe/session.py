@@ -60,6 +60,5 @@ def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )

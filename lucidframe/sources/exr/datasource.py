@@ -1,7 +1,9 @@
 """The format as a Python data source: ``spark.read.format("exr").load(path)``.
 
 Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; ``channels``
-prunes channels, and filters on part, level and line prune chunks.  For folders that are mounted on every executor;
+prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and ``y`` (bounds like 5:7) prune chunks; whole
+chunks come back, so an exact bound on lines is a filter besides.  Spark keeps what a filter once pushed into a Python
+reader for later scans of the same DataFrame, so pruning goes by options and not by pushed filters.  For folders that are mounted on every executor;
 ``frames.read`` serves any other store.
 """
 
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lucidframe.sources.exr import format as f
 
@@ -48,23 +50,12 @@ class ExrReader(DataSourceReader):
         path = options["path"].removeprefix("file://")
         self.files = sorted(glob.glob(os.path.join(path, "**", "*.exr"), recursive=True) if os.path.isdir(path) else glob.glob(path))
         self.channels = {c.strip() for c in options["channels"].split(",")} if options.get("channels") else None
+        #: option("y", "5:7") or option("part_id", "1"): inclusive bounds
         self.limits: dict[str, tuple[int, int]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on part, level and line prune chunks; Spark still applies every filter."""
-        for x in filters:
-            column = x.attribute[0] if getattr(x, "attribute", None) and len(x.attribute) == 1 else None
-            if column in ("part_id", "level_x", "level_y", "y") and isinstance(getattr(x, "value", None), int):
-                lo, hi = self.limits.get(column, (-(1 << 62), 1 << 62))
-                v = x.value
-                if isinstance(x, EqualTo):
-                    lo, hi = max(lo, v), min(hi, v)
-                elif isinstance(x, (GreaterThan, GreaterThanOrEqual)):
-                    lo = max(lo, v + isinstance(x, GreaterThan))
-                elif isinstance(x, (LessThan, LessThanOrEqual)):
-                    hi = min(hi, v - isinstance(x, LessThan))
-                self.limits[column] = (lo, hi)
-            yield x
+        for column in ("part_id", "level_x", "level_y", "y"):
+            if options.get(column):
+                lo, _, hi = options[column].partition(":")
+                self.limits[column] = (int(lo), int(hi or lo))
 
     def _fits(self, column: str, lo: int, hi: int) -> bool:
         a, b = self.limits.get(column, (-(1 << 62), 1 << 62))
