@@ -4,8 +4,10 @@
    so copies, however many, cost one row each from here on.  The same scan reports shingles that are frequent among
    the classes of a task; together they give a table of fixed size that ranks shingles by how common they are.
 2. All sets share one order: rare shingles first by that table, then by hash.  Classes that can reach the threshold
-   share a shingle among their first n - ceil(t n) + 1; the order keeps common passages out of these prefixes.  Classes
-   that share a prefix shingle are connected, in edges to the shingle's first class, never in all pairs of a list.
+   share s shingles among their first n - ceil(t n) + s, for any s up to what they must share; s grows with n.  The order
+   keeps common passages out of these prefixes.  In the list of a prefix shingle each class meets the ``NEAR`` classes
+   before it, and pairs that meet often enough are candidates; a longer list connects all its classes through its first
+   one instead.  So a list gives at most NEAR edges for each of its entries, never all pairs, and loses none.
 3. Each connected group of candidates is one unit of the exact join, cut into blocks of bounded size if it is large;
    pairs of blocks whose set sizes cannot match are skipped.  In a block pair, index lists hold (set, position) in
    order of size; a probe skips the blocks of a list whose best possible overlap, by position and size, is too
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lucidframe.llm.components import connected_components
 from lucidframe.llm.hashing import mix, run_hashes
@@ -40,8 +42,14 @@ SLOTS = 1 << 20
 LOCAL, COMMON = 2, 8
 #: Shingles that a task counts at once.
 COUNTED = 2_000_000
-#: Shingles in a block of the exact join.
-BLOCK = 1_000_000
+#: Shingles in a block of the exact join, each set counted with 500 more.
+BLOCK = 250_000
+#: Bits of the filter that keeps texts without a candidate out of the shuffle; its size does not depend on the corpus.
+FILTER_BITS = 1 << 21
+#: Prefix shingles that a candidate pair shares, at least and in percent of its set, and classes met in a list.
+SHARED, SHARED_PERCENT, NEAR = 6, 3, 16
+#: The weight of an edge that needs no count.
+SURE = 1 << 30
 #: Entries in a skip block of an index list.
 SKIP = 32
 
@@ -118,10 +126,12 @@ def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield frequent(held)
 
 
-def rank_table(found: DataFrame) -> np.ndarray:
-    """One byte for each slot: how common the most common shingle in it is, in powers of two.  SLOTS rows at most."""
-    counts = found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    slots = counts.groupBy(F.expr(f"f1 & {SLOTS - 1}").alias("slot")).agg(F.max("n").alias("n"))
+def rank_table(counts: DataFrame) -> np.ndarray:
+    """One byte for each slot: how common the most common shingle in it is, in powers of two.  SLOTS rows at most.
+
+    ``counts`` has shingles (f1) and numbers of classes (n); the rare ones among them are left at rank 0.
+    """
+    slots = counts.where(F.col("n") >= COMMON).groupBy(F.expr(f"f1 & {SLOTS - 1}").alias("slot")).agg(F.max("n").alias("n"))
     got = slots.toArrow()
     ranks = np.zeros(SLOTS, np.uint8)
     ranks[got["slot"].to_numpy()] = np.log2(np.maximum(got["n"].to_numpy(), 1)).astype(np.uint8)
@@ -134,12 +144,18 @@ def in_order(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return s[np.argsort(r, kind="stable")] if r.any() else s
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n + 1 - -(-percent * n // 100)
+def shared_of(n: int, percent: int) -> int:
+    """Shingles of the prefix that a set shares with any set that it is linked with."""
+    return min(max(SHARED, n * SHARED_PERCENT // 100), -(-percent * n // 100))
+
+
+def prefix_length(n: int, percent: int, shared: int = 1) -> int:
+    """Two sets that reach the threshold share ``shared`` elements of prefixes of this length."""
+    return n - -(-percent * n // 100) + shared
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(shingle, class) for the prefix of every class, once per task."""
+def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, percent: int, more: int = 0) -> Iterator[pa.RecordBatch]:
+    """(shingle, class) for the prefix of every class, once per task, and for ``more`` percent of the set after it."""
     seen: set = set()
     for _, texts in slices(batches):
         tokens, classes = [], []
@@ -151,7 +167,8 @@ def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, perce
                 continue
             if len(seen) < COUNTED:
                 seen.add(p)
-            head = in_order(s, ranks)[: prefix_length(len(s), percent)]
+            n = len(s)
+            head = in_order(s, ranks)[: prefix_length(n, percent, shared_of(n, percent)) + n * more // 100]
             tokens.append(head)
             classes.append(np.full(len(head), p[0], np.int64))
         if tokens:
@@ -283,6 +300,17 @@ def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
+def id_filter(placed: DataFrame) -> Column:
+    """Whether an id may be one of ``rep``: a bit table of fixed size, so texts of other documents are not shuffled."""
+    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    rows = placed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    table_ = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    return F.getbit(F.get(table_, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = narrow(df, id_col, text_col)
@@ -290,11 +318,32 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(docs.mapInArrow(lambda b: describe(b, k), "kind int, doc_id long, n long, f1 long, f2 long"), "described")
     members = found.where("kind = 0").select("doc_id", "n", "f1", "f2")
     classes = materialize(members.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    ranks = spark.sparkContext.broadcast(rank_table(found))
+    # a first table from what each task has seen, a second one from the prefixes that the first one gives
+    local = rank_table(found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")))
+    first = spark.sparkContext.broadcast(local)
+    counted = docs.mapInArrow(lambda b: prefixes(b, first.value, k, percent, 10), "token long, cls long")
+    ranks = spark.sparkContext.broadcast(np.maximum(local, rank_table(counted.groupBy(F.col("token").alias("f1")).agg(F.count("*").alias("n")))))
 
     postings = docs.mapInArrow(lambda b: prefixes(b, ranks.value, k, percent), "token long, cls long")
-    shared = Window.partitionBy("token").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = postings.select("cls", F.first("cls").over(shared).alias("a")).where("a <> cls").select("a", F.col("cls").alias("b"))
+    by = Window.partitionBy("token").orderBy("cls")
+    beside = postings.select("token", "cls", F.lag("cls").over(by).alias("before"), F.lead("cls").over(by).alias("after"))
+    lists = beside.where("not (before <=> cls) and (before is not null or after is not null)").select(
+        "cls",
+        F.count("*").over(Window.partitionBy("token")).alias("size"),
+        F.first("cls").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+        F.collect_list("cls").over(by.rowsBetween(-NEAR, -1)).alias("near"),
+    )
+    short = F.col("size") <= NEAR + 1
+    met = lists.where("cls <> first").select(F.explode(F.when(short, F.col("near")).otherwise(F.array("first"))).alias("a"), F.col("cls").alias("b"), F.when(short, F.lit(1).cast("long")).otherwise(SURE).alias("one"))
+    often = materialize(met.groupBy("a", "b").agg(F.sum("one").alias("n_shared")), "often")
+    sizes = classes.groupBy("f1").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    must = lambda c: F.least(F.greatest(F.lit(SHARED), F.floor(F.col(c) * SHARED_PERCENT / 100)), F.ceil(F.col(c) * percent / 100))
+    edges = (
+        often.join(sizes.select(F.col("f1").alias("a"), F.col("n").alias("na"), F.col("least").alias("la")), "a")
+        .join(sizes.select(F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb")), "b")
+        .where((F.col("n_shared") >= SURE) | (F.col("n_shared") >= F.least(must("la"), must("lb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("la", "lb")))
+        .select("a", "b")
+    )
     groups = connected_components(edges)
 
     # blocks of a group: sets in order of size, a bounded number of shingles in each
@@ -307,7 +356,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.select(F.col("x.comp").alias("comp"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
     sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     units = placed.join(sides, ["comp", "block"]).select("comp", "i", "j", "block", F.col("v").alias("cls"), F.col("rep").alias("doc_id"))
-    texts = units.join(docs.where("doc_id is not null and text is not null"), "doc_id").select("comp", "i", "j", "block", "cls", "text")
+    texts = units.join(docs.where("doc_id is not null and text is not null").where(id_filter(placed)), "doc_id").select("comp", "i", "j", "block", "cls", "text")
     dealt = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
     links = dealt.mapInArrow(lambda b: join_units(b, k, percent), "a long, b long")
     linked = connected_components(links)
