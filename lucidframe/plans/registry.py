@@ -569,7 +569,7 @@ def exr_stream(spark, d):
     """Files written below the shared folder, read as a stream and summed by file."""
     import uuid
 
-    from lucidframe.session import shared_dir
+    from lucidframe.session import delete_path, shared_dir
     from lucidframe.streaming.images import stream_pixels
 
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -578,4 +578,5 @@ def exr_stream(spark, d):
     totals = stream_pixels(spark, folder).groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
     running = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
+    delete_path(spark, folder)
     return spark.table(name)
