@@ -6,7 +6,6 @@ one's ``docs``.  All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +15,7 @@ from lucidframe.llm.ngram_join import ngram_components
 from lucidframe.llm.packing import pack_documents
 from lucidframe.llm.personal_data import redact
 from lucidframe.llm.quality_model import keep_good
-from lucidframe.session import shared_dir
+from lucidframe.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -65,8 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
     return docs
