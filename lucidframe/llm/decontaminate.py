@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidframe.llm.text import ALNUM, alnum_words, narrow, slices, table
+from lucidframe.llm.text import ALNUM, alnum_words, bounded_batches, narrow, slices, table
 from lucidframe.session import materialize
 
 WINDOW = 8
@@ -321,7 +321,7 @@ def remove_phrases(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         a, size = b, 0
                     size += len(x or b"")
 
-        return frame.mapInArrow(scan, df.schema)
+        return bounded_batches(frame).mapInArrow(scan, df.schema)
 
     broadcasts = [df.sparkSession.sparkContext.broadcast(load(b, window)) for b in blocks_of(benchmark, item_col, item_text, block_bytes)]
     if len(broadcasts) == 1:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidframe.llm.hashing import HashTable, run_hashes
-from lucidframe.llm.text import narrow, slices, table
+from lucidframe.llm.text import bounded_batches, narrow, slices, table
 
 #: Order of kinds in listings; the last one is the method's own.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -415,7 +415,7 @@ def redact(df: DataFrame, text_col: str = "text", labelled=None) -> DataFrame:
                     done.append(redact_text(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary()).cast(kind) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return df.mapInArrow(scan, df.schema)
+    return bounded_batches(df).mapInArrow(scan, df.schema)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidframe.llm.hashing import mix, run_hashes
-from lucidframe.llm.text import narrow, slices, table
+from lucidframe.llm.text import bounded_batches, narrow, slices, table
 from lucidframe.session import materialize
 
 FEATURES = ("words", "word_bytes", "upper", "digits", "symbols", "marks", "stops", "non_ascii", "distinct_words", "same_neighbours", "distinct_triples", "line_words", "top_word", "capital_words", "hung_words")
@@ -253,7 +253,7 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 done += len(ids)
             yield batch.filter(pa.array(good))
 
-    return df.mapInArrow(keep, df.schema)
+    return bounded_batches(df).mapInArrow(keep, df.schema)
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

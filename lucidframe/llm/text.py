@@ -18,9 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark hands to a worker at once; texts may be long, so the default of 10,000 would fill a small executor.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session hands BATCH_ROWS rows to a worker at once at most."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under fixed names, whatever else the table holds."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return bounded_batches(df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def alnum_words(text: bytes | None) -> list[bytes]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidframe.llm.text import table
+from lucidframe.llm.text import bounded_batches, table
 from lucidframe.session import materialize
 
 #: Fixed values of the seekable format.
@@ -171,7 +171,7 @@ def write_bundles(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     repeats = revisits(pages.select("page_id", "payload"), min_payload).distinct()
     digested = pages.withColumn("digest", F.sha1("payload"))
     typed = digested.join(repeats, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
-    return materialize(typed.mapInArrow(lambda b: bundle_rows(b, frame_bytes, bundle_bytes), BUNDLES), "bundles")
+    return materialize(bounded_batches(typed).mapInArrow(lambda b: bundle_rows(b, frame_bytes, bundle_bytes), BUNDLES), "bundles")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
