@@ -27,8 +27,8 @@ from lucidframe.session import materialize
 CAPACITY = 2048
 #: Pieces of a shard, on average; each shard wastes less than about one sequence.
 SHARD = 8192
-#: Sweeps of the local search over the underfull bins of a shard.
-SWEEPS = 20
+#: Sweeps of the local search over the underfull bins of a shard, and bins in a row that find no step before one ends.
+SWEEPS, PATIENCE = 20, 32
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -73,7 +73,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweep
 
     The emptiest bin gives to the others: one of its documents moves, or it gets a smaller document for one or two of
     its own.  Every step shifts tokens from a bin to one at least as full, so the steps end; they also end when the
-    bins are as few as the tokens allow, or after ``sweeps`` sweeps without an empty bin.
+    bins are as few as the tokens allow, after ``sweeps`` sweeps, or when PATIENCE bins in a row find no step.
     """
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
@@ -83,15 +83,16 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweep
         if whole + len(alive) <= least or len(alive) < 2:
             break
         alive.sort(key=lambda b: fill[b])
-        changed = False
+        changed, vain = False, 0
         for source in alive[: max(1, len(alive) // 2)]:
-            if whole + len(alive) <= least:
+            if vain >= PATIENCE:
                 break
+            vain += 1
             for target in reversed(alive):
                 if target == source or not bins[source]:
                     continue
                 while bins[source] and fill[target] < capacity and _step(bins, fill, lengths, source, target, capacity):
-                    changed = True
+                    changed, vain = True, 0
         emptied = [b for b in alive if not bins[b]]
         alive = [b for b in alive if bins[b] and fill[b] < capacity]
         whole = sum(1 for b in range(len(bins)) if bins[b] and fill[b] == capacity)
