@@ -27,8 +27,8 @@ from lucidframe.session import materialize
 CAPACITY = 2048
 #: Pieces of a shard, on average; each shard wastes less than about one sequence.
 SHARD = 8192
-#: Sweeps of the local search over the underfull bins of a shard, and bins in a row that find no step before one ends.
-SWEEPS, PATIENCE = 20, 32
+#: Sweeps of the local search over the underfull bins of a shard.
+SWEEPS = 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -72,31 +72,50 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweep
     """Empties bins by moves and exchanges that each raise the sum of squared fills.
 
     The emptiest bin gives to the others: one of its documents moves, or it gets a smaller document for one or two of
-    its own.  Every step shifts tokens from a bin to one at least as full, so the steps end; they also end when the
-    bins are as few as the tokens allow, after ``sweeps`` sweeps, or when PATIENCE bins in a row find no step.
+    its own.  A sweep tries every underfull bin, with every underfull target that a step may suit.  What a pair of bins
+    can do depends on their lengths alone, so bins of lengths tried in vain skip targets unchanged since, and a bin that
+    has one document takes nothing but a move.  Every step shifts tokens from a bin to one at least as full, so the
+    steps end; they also end when the bins are as few as the tokens allow, or after ``sweeps`` sweeps.
     """
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    alive = [b for b in range(len(bins)) if fill[b] < capacity]
-    whole = len(bins) - len(alive)
+    left = sum(1 for b in bins if b)
+    alive = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
+    changed_at, clock = [0] * len(bins), 0  # the step that last changed a bin
+    tried: dict[tuple[int, ...], int] = {}  # lengths of a source: the last step when all targets were tried in vain
     for _ in range(sweeps):
-        if whole + len(alive) <= least or len(alive) < 2:
+        if left <= least or len(alive) < 2:
             break
-        alive.sort(key=lambda b: fill[b])
-        changed, vain = False, 0
-        for source in alive[: max(1, len(alive) // 2)]:
-            if vain >= PATIENCE:
+        alive.sort(key=lambda b: fill[b], reverse=True)  # the fullest target first
+        begun = clock
+        fills, single, at = (np.array(c, np.int64) for c in zip(*((fill[b], len(bins[b]) == 1, changed_at[b]) for b in alive)))
+        for k in range(len(alive) - 1, -1, -1):
+            source, before, k0 = alive[k], clock, 0
+            while bins[source] and left > least:
+                state = tuple(sorted(lengths[i] for i in bins[source]))
+                free = capacity - fills[k0:]
+                may = (free > 0) & (fills[k0:] >= fill[source]) & (at[k0:] > tried.get(state, -1)) & ((single[k0:] == 0) | (free >= state[0]))
+                step = clock
+                for t in (np.flatnonzero(may) + k0).tolist():
+                    target = alive[t]
+                    while target != source and bins[source] and fill[target] < capacity and _step(bins, fill, lengths, source, target, capacity):
+                        clock += 1
+                    if clock > step:
+                        k0 = t + 1
+                        for j in (k, t):
+                            changed_at[alive[j]] = at[j] = clock
+                            fills[j], single[j] = fill[alive[j]], len(bins[alive[j]]) == 1
+                        break
+                else:
+                    break
+            if left <= least:
                 break
-            vain += 1
-            for target in reversed(alive):
-                if target == source or not bins[source]:
-                    continue
-                while bins[source] and fill[target] < capacity and _step(bins, fill, lengths, source, target, capacity):
-                    changed, vain = True, 0
-        emptied = [b for b in alive if not bins[b]]
+            if not bins[source]:
+                left -= 1
+            elif clock == before:
+                tried[state] = clock
         alive = [b for b in alive if bins[b] and fill[b] < capacity]
-        whole = sum(1 for b in range(len(bins)) if bins[b] and fill[b] == capacity)
-        if not changed and not emptied:
+        if clock == begun:
             break
     return [b for b in bins if b]
 

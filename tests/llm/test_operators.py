@@ -304,6 +304,21 @@ def test_local_search_empties_a_bin():
     assert len(packing.local_search([[0, 2], [1, 3], [4, 5]], lengths, 10)) == 2
 
 
+def test_local_search_tries_every_bin():
+    lengths = [1395] * 33 + [1900] * 40 + [700, 700, 690, 690, 655, 655]  # the emptiest places are bins that take nothing
+    first = packing.best_fit(lengths, 2048)
+    assert len(first) == 76 and len(packing.local_search(first, lengths, 2048)) == 75
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(20, 90), max_size=60))
+def test_local_search_leaves_no_step(lengths):
+    bins = packing.local_search(packing.best_fit(lengths, 100), lengths, 100, 1000)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    if len(bins) > -(-sum(lengths) // 100):
+        assert not any(fill[t] < 100 and packing._step(bins, fill, lengths, s, t, 100) for s in range(len(bins)) for t in range(len(bins)) if s != t)
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
