@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line.  It meets a template if it contains at least ``percent`` of the template's distinct words.  All
-sets share one order, rare words first, by the frequency of the templates' words in the whole corpus.  A block that
+A block is a line, or a window of as many words as the template has that crosses line breaks, so that wrapped notices
+are found.  It meets a template if it contains at least ``percent`` of the template's distinct words.  All sets share one order, rare words first, by the frequency of the templates' words in the whole corpus.  A block that
 meets a template T with o = ceil(percent |T|) words in common shares a word of T's first |T| - o + 1 and its own first
 |B| - o + 1 words (prefix filter), has o words of the vocabulary at least (length filter), and at each shared word
-enough words must be left on both sides (positional filter); what passes is counted exactly.
+enough words must be left on both sides (positional filter); what passes is counted exactly.  A document has windows
+only for templates that it meets as one block; they slide over the places of the template's words.
 
 Templates, their words and the frequencies are bounded by the templates alone and go to every task; the corpus is
 scanned twice and never shuffled.  Fixed base phrases are found as consecutive words of the whole text.
@@ -16,7 +17,7 @@ one by one.  Other columns are neither read nor returned.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -102,6 +103,36 @@ class TemplateIndex:
         return out
 
 
+def wrapped(words: list[bytes], template: frozenset[bytes], length: int, need: int, line_of: Sequence[int]) -> list[tuple[int, float]]:
+    """(line, containment) of the best window of ``length`` words in each run of overlapping ones with ``need`` words of
+    the template, where no single line holds that window's words."""
+    hits = [i for i, w in enumerate(words) if w in template]
+    held: Counter = Counter()
+    out: list[tuple[int, float]] = []
+    best, last, a = (0, 0, 0), -1, 0  # distinct words, first and last hit of the window
+
+    def close() -> None:
+        if best[0] and line_of[best[1]] != line_of[best[2]]:
+            out.append((line_of[best[1]], best[0] / len(template)))
+
+    for i in hits:
+        held[words[i]] += 1
+        while hits[a] <= i - length:
+            held[words[hits[a]]] -= 1
+            if not held[words[hits[a]]]:
+                del held[words[hits[a]]]
+            a += 1
+        if len(held) >= need:
+            if hits[a] > last:
+                close()
+                best = (0, 0, 0)
+            last = i
+            if len(held) > best[0]:
+                best = (len(held), hits[a], i)
+    close()
+    return out
+
+
 def base_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     found = []
     for phrase, label in phrases:
@@ -117,13 +148,15 @@ def base_places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> l
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, base: Mapping[str, str] = BASE, percent: int = PERCENT) -> DataFrame:
-    """One row per document; ``matches`` lists the lines that meet a template.
+    """One row per document; ``matches`` lists the lines that meet a template, and the first lines
+    of wrapped notices.
 
     ``score`` is the largest containment found, and 1 where a base phrase, a template of its own, is complete.
     """
     docs = narrow(df, id_col, text_col)
     sets = word_sets(templates)
     index = TemplateIndex(sets, word_frequencies(docs, frozenset().union(*sets.values())), percent)
+    lengths = {label: len(alnum_words(templates[label].encode())) for label in sets}
     phrases = [(alnum_words(p.encode()), label) for p, label in base.items()]
     watched = index.prefix | {p[0] for p, _ in phrases}
 
@@ -143,6 +176,10 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     own = alnum_words(line)
                     if not index.prefix.isdisjoint(own):
                         matches += [{"label": label, "line": k, "containment": c} for label, c in index.match(own)]
+                if b"\n" in text and (whole := index.match(words)):
+                    line_of = [k for k, line in enumerate(text.split(b"\n")) for _ in alnum_words(line)]
+                    for label, _ in whole:
+                        matches += [{"label": label, "line": k, "containment": c} for k, c in wrapped(words, sets[label], lengths[label], index.need[label], line_of)]
                 based = {label for _, label in places}
                 score = 1.0 if places else max((m["containment"] for m in matches), default=0.0)
                 starts = [p for p, _ in places]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -66,6 +67,32 @@ def test_license_filters_lose_nothing(data):
     assert index.match(block) == want
 
 
+def test_wrapped_licenses(spark):
+    """Headers wrapped at 72 columns, in comments, between other lines; no line of them holds 80 % of a template."""
+    rows = []
+    for label in ("bsd", "isc", "mit-grant"):
+        lines = textwrap.wrap(license_scan.TEMPLATES[label] + ", subject to what follows.", 72)
+        rows += [(label, "\n".join([prose(1, 50), "", *(mark + x for x in lines), prose(2, 50)])) for mark in ("", " * ", "# ", "\r")]
+    apart = license_scan.TEMPLATES["isc"].replace(" ", f"\n{prose(3, 20)}\n")  # the words are there, the notice is not
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate([*rows, ("", apart)])], "doc_id long, text string")
+    got = by_id(license_scan.scan_licenses(docs))
+    assert [got[i].labels for i in range(len(rows) + 1)] == [label for label, _ in rows] + [""]
+    assert all([(m.line, m.containment) for m in got[i].matches] == [(2, 1.0)] and got[i].score == 1 for i in range(len(rows)))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*"abcdefxyz", "\n"]), max_size=50), st.sets(st.sampled_from("abcdef"), min_size=1), st.integers(1, 8))
+def test_wrapped_loses_nothing(parts, template, length):
+    lines = [[w.encode() for w in x.split()] for x in " ".join(parts).split("\n")] if parts else [[]]
+    words, line_of = [w for x in lines for w in x], [k for k, x in enumerate(lines) for _ in x]
+    own, need = frozenset(w.encode() for w in template), -(-80 * len(template) // 100)
+    got = license_scan.wrapped(words, own, length, need, line_of)
+    best = max((len(own & set(words[i : i + length])) for i in range(len(words))), default=0)
+    line = max(len(own & set(x)) for x in lines)
+    assert max([c for _, c in got] + [line / len(own) if line >= need else 0.0]) >= (best / len(own) if best >= need else 0)
+    assert all(need / len(own) <= c <= best / len(own) for _, c in got)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
