@@ -48,8 +48,8 @@ def file_row(line: Column, line_order: Column, height: Column) -> Column:
     return F.when(line_order == 0, line).otherwise(height - 1 - line)
 
 
-def detile(tiles: DataFrame, tile_w: int, tile_h: int, width: int, height: int) -> DataFrame:
-    """Tile-relative pixels to the plane, what lies beyond the data window dropped."""
+def detile(tiles: DataFrame, tile_w: int, tile_h: int, width: int | Column, height: int | Column) -> DataFrame:
+    """Tile-relative pixels to the plane, what lies beyond the data window dropped; sizes may differ by image, as columns."""
     placed = tiles.withColumn("x", F.col("tile_x") * tile_w + F.col("i")).withColumn("y", F.col("tile_y") * tile_h + F.col("j"))
     return placed.where((F.col("x") < width) & (F.col("y") < height)).drop("tile_x", "tile_y", "i", "j")
 

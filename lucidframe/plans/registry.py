@@ -144,6 +144,18 @@ def tiled_to_scanline(spark, d):
     return grid.detile(tiles, 16, 16, 50, 100).select("y", "x", "v")
 
 
+@query(f"WITH {SQL_PLANE} SELECT y // 64 AS image, CAST(y % 64 AS INTEGER) AS y, x, v FROM plane")
+def tiled_to_scanline_images(spark, d):
+    """The whole plane as images of 64 lines at most, out of tiles of 24 by 24 whose edges are padded beyond the image."""
+    rows = packed(spark, d).select(F.floor(F.col("y") / 64).alias("image"), (F.col("y") % 64).cast("int").alias("y"), "embedding", F.size("embedding").alias("width"))
+    height = rows.groupBy("image").agg((F.max("y") + 1).alias("height"), F.max("width").alias("width"))
+    up = lambda c: (F.ceil(F.col(c) / 24) * 24).cast("int")
+    below = height.where(up("height") > F.col("height")).select("image", F.explode(F.sequence("height", up("height") - 1)).alias("y"), F.array().cast("array<float>").alias("embedding"), "width")
+    padded = rows.unionByName(below).join(height.select("image", "height"), "image").select("image", "y", "width", "height", F.posexplode(F.concat("embedding", F.array_repeat(F.lit(-1.0).cast("float"), up("width") - F.size("embedding")))).alias("x", "v"))
+    tiles = padded.select("image", "width", "height", *[F.floor(F.col(c) / 24).cast("int").alias(f"tile_{c}") for c in "xy"], (F.col("x") % 24).alias("i"), (F.col("y") % 24).alias("j"), "v")
+    return grid.detile(tiles, 24, 24, F.col("width"), F.col("height")).select("image", "y", "x", "v")
+
+
 @query("SELECT CAST(i % 512 AS INTEGER) AS x, CAST(i // 512 AS INTEGER) AS y, CAST(10 AS FLOAT) AS R, CAST(10 AS FLOAT) AS G, CAST(10 AS FLOAT) AS B FROM range(512 * 512) t(i)")
 def constant_image(spark, d):
     return grid.constant_image(spark, 10.0)

@@ -49,3 +49,9 @@ def test_longlat_of_constant_faces(spark):
     assert len(rows) == 512 and all(abs(r.G - 1) < 1e-9 and abs(r.B - 2) < 1e-9 for r in rows)
     top = [r.R for r in rows if r.y == 0]
     assert np.allclose(top, 2.0)  # straight up is the third face
+
+
+def test_detile_takes_the_whole_table(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("sum(size(embedding)) n").first().n
+    got = registry.QUERIES["tiled_to_scanline_images"](spark, DATA)
+    assert got.count() == rows and got.where("v = -1").count() == 0  # all pixels, no padding
