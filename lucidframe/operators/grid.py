@@ -140,8 +140,11 @@ def longlat_directions(spark: SparkSession, width: int, height: int, turn: float
     return at.select("x", "y", (F.sin(theta) * F.cos(phi)).alias("nx"), F.cos(theta).alias("ny"), (-F.sin(theta) * F.sin(phi)).alias("nz"))
 
 
-def sample_faces(directions: DataFrame, faces: DataFrame, size: int, channels: Sequence[str] = ("R", "G", "B")) -> DataFrame:
-    """Bilinear samples of cube faces (face, y, x, channels): four taps, each an equi-join with the faces."""
+def sample_faces(directions: DataFrame, faces: DataFrame, size: int, channels: Sequence[str] = ("R", "G", "B"), image: Sequence[str] = ()) -> DataFrame:
+    """Bilinear samples of cube faces (image columns..., face, y, x, channels): four taps, each an equi-join with the faces.
+
+    The directions go for all images; a pixel that lacks a tap, where a face has no such pixel, is left out.
+    """
     face, u, v = cube_face(F.col("nx"), F.col("ny"), F.col("nz"))
     at = directions.select("x", "y", face.alias("face"), u.alias("u"), (1 - v).alias("v"))
     fx, fy = (F.col("u") - F.floor("u")) * (size - 1), (F.col("v") - F.floor("v")) * (size - 1)
@@ -149,7 +152,8 @@ def sample_faces(directions: DataFrame, faces: DataFrame, size: int, channels: S
     at = at.select("x", "y", "face", fx.alias("fx"), fy.alias("fy")).withColumn("x0", F.floor("fx").cast("int")).withColumn("y0", F.floor("fy").cast("int"))
     dx, dy = F.col("fx") - F.col("x0"), F.col("fy") - F.col("y0")
     x1, y1 = F.least(F.col("x0") + 1, F.lit(size - 1)), F.least(F.col("y0") + 1, F.lit(size - 1))
-    taps = F.array(*[F.struct(px.alias("fx"), py.alias("fy"), w.alias("w")) for px, py, w in ((F.col("x0"), F.col("y0"), (1 - dx) * (1 - dy)), (x1, F.col("y0"), dx * (1 - dy)), (F.col("x0"), y1, (1 - dx) * dy), (x1, y1, dx * dy))])
-    spread = at.select("x", "y", "face", F.explode(taps).alias("t")).select("x", "y", "face", F.col("t.fx").alias("fx"), F.col("t.fy").alias("fy"), F.col("t.w").alias("w"))
-    source = faces.select("face", F.col("x").alias("fx"), F.col("y").alias("fy"), *channels)
-    return spread.join(source, ["face", "fx", "fy"]).groupBy("x", "y").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in channels])
+    taps = F.array(*[F.struct(px.alias("fx"), py.alias("fy"), w.alias("w"), F.lit(1 << k).alias("tap")) for k, (px, py, w) in enumerate(((F.col("x0"), F.col("y0"), (1 - dx) * (1 - dy)), (x1, F.col("y0"), dx * (1 - dy)), (F.col("x0"), y1, (1 - dx) * dy), (x1, y1, dx * dy)))])
+    spread = at.select("x", "y", "face", F.explode(taps).alias("t")).select("x", "y", "face", F.col("t.fx").alias("fx"), F.col("t.fy").alias("fy"), F.col("t.w").alias("w"), F.col("t.tap").alias("tap"))
+    source = faces.select(*image, "face", F.col("x").alias("fx"), F.col("y").alias("fy"), *channels)
+    met = source.join(F.broadcast(spread), ["face", "fx", "fy"])  # bounded by the pixels of one image
+    return met.groupBy(*image, "x", "y").agg(F.bit_or("tap").alias("taps"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in channels]).where("taps = 15").drop("taps")

@@ -185,9 +185,12 @@ def cube_face_uv(spark, d):
 
 @query(None)
 def cube_to_longlat(spark, d):
-    """Six faces of 16 by 16 pixels out of the plane, as a latitude-longitude image; trigonometry has no exact SQL twin."""
-    faces = rgba(spark, d).where("y < 96").select(F.floor(F.col("y") / 16).cast("int").alias("face"), (F.col("y") % 16).cast("int").alias("y"), "x", *[F.col(c).cast("double") for c in "RGB"])
-    return grid.sample_faces(grid.longlat_directions(spark, 64, 32, 30.0), faces, 16).select("y", "x", *[F.round(c, 6).alias(c) for c in "RGB"])
+    """Each 96 rows of the plane, six faces of 16 by 16 pixels, as a latitude-longitude image; of a last, shorter cube the
+    pixels that it covers.  Trigonometry has no exact SQL twin."""
+    at = (F.col("y") % 96).cast("int")
+    faces = rgba(spark, d).select(F.floor(F.col("y") / 96).alias("image"), F.floor(at / 16).cast("int").alias("face"), (at % 16).alias("y"), "x", *[F.col(c).cast("double") for c in "RGB"])
+    seen = grid.sample_faces(grid.longlat_directions(spark, 64, 32, 30.0), faces, 16, image=["image"])
+    return seen.select("image", "y", "x", *[F.round(c, 6).alias(c) for c in "RGB"])
 
 
 # half precision -----------------------------------------------------------------------------------------------------

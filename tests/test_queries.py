@@ -55,3 +55,25 @@ def test_detile_takes_the_whole_table(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("sum(size(embedding)) n").first().n
     got = registry.QUERIES["tiled_to_scanline_images"](spark, DATA)
     assert got.count() == rows and got.where("v = -1").count() == 0  # all pixels, no padding
+
+
+def test_cube_to_longlat_takes_the_whole_table(spark):
+    table = {r.vec_id: np.array(r.embedding).reshape(-1, 4) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    want = {}
+    for image in {i // 96 for i in table}:
+        for y in range(32):
+            for x in range(64):
+                phi, theta = (x + 0.5) / 64 * 2 * math.pi + math.radians(30), (y + 0.5) / 32 * math.pi
+                n = (math.sin(theta) * math.cos(phi), math.cos(theta), -math.sin(theta) * math.sin(phi))
+                axis = max(range(3), key=lambda k: (abs(n[k]), k))
+                face, m = 2 * axis + (n[axis] <= 0), abs(n[axis])
+                uc, vc = {0: (-n[2], n[1]), 1: (n[2], n[1]), 2: (n[0], -n[2]), 3: (n[0], n[2]), 4: (n[0], n[1]), 5: (-n[0], n[1])}[face]
+                fx, fy = (uc / m + 1) / 2 * 15, (1 - (vc / m + 1) / 2) * 15
+                x0, y0 = math.floor(fx), math.floor(fy)
+                dx, dy = fx - x0, fy - y0
+                taps = [(x0, y0, (1 - dx) * (1 - dy)), (min(15, x0 + 1), y0, dx * (1 - dy)), (x0, min(15, y0 + 1), (1 - dx) * dy), (min(15, x0 + 1), min(15, y0 + 1), dx * dy)]
+                if all(96 * image + 16 * face + b in table for _, b, _ in taps):
+                    want[image, y, x] = sum(table[96 * image + 16 * face + b][a, :3] * w for a, b, w in taps)
+    got = {(r.image, r.y, r.x): (r.R, r.G, r.B) for r in registry.QUERIES["cube_to_longlat"](spark, DATA).collect()}
+    assert len({image for image, _, _ in got}) >= len(table) // 96 > 0 and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
