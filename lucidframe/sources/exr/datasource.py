@@ -1,6 +1,6 @@
 """The format as a Python data source: ``spark.read.format("exr").load(path)``.
 
-Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; ``channels``
+Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; deep parts have no pixels and are left out; ``channels``
 prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and ``y`` (bounds like 5:7) prune chunks; whole
 chunks come back, so an exact bound on lines is a filter besides.  Spark keeps what a filter once pushed into a Python
 reader for later scans of the same DataFrame, so pruning goes by options and not by pushed filters.  For folders that are mounted on every executor;
@@ -79,13 +79,18 @@ class ExrReader(DataSourceReader):
                         if len(head) >= size:
                             raise
                         n *= 4
-                if any(p.deep for p in parts):
+                if all(p.deep for p in parts):
                     continue
-                tables, _ = f.chunk_tables(head + b"\0" * max(0, size - len(head)) if size < HEAD * 64 else head, parts, at, bool(version["multipart"]))
+
+                def fetch(offset: int, n: int, file=file) -> bytes:
+                    file.seek(offset)
+                    return file.read(n)
+
+                tables, _ = f.chunk_tables(head, parts, at, bool(version["multipart"]), size, fetch)
             ends = sorted({o for t in tables for o in t} | {size})
             after = dict(zip(ends, ends[1:]))
             for k, (p, table) in enumerate(zip(parts, tables)):
-                if not self._fits("part_id", k, k):
+                if p.deep or not self._fits("part_id", k, k):
                     continue
                 tiles = p.tile_list() if p.tile else None
                 group: list[tuple[int, int]] = []

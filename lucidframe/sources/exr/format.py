@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -229,8 +229,11 @@ class Chunk:
     data: bytes
 
 
-def chunk_tables(data: bytes, parts: list[Part], at: int, multipart: bool) -> tuple[list[list[int]], int]:
-    """Offsets of each part; a single part's damaged table is rebuilt by walking its chunks."""
+def chunk_tables(data: bytes, parts: list[Part], at: int, multipart: bool, size: int | None = None, fetch: Callable[[int, int], bytes] | None = None) -> tuple[list[list[int]], int]:
+    """Offsets of each part; a single part's damaged table is rebuilt by walking its chunks.
+
+    ``data`` may be the beginning of a file of ``size`` bytes, of which ``fetch(offset, n)`` reads any others.
+    """
     tables = []
     for p in parts:
         n = p.n_chunks()
@@ -238,23 +241,24 @@ def chunk_tables(data: bytes, parts: list[Part], at: int, multipart: bool) -> tu
             raise ImageError(BAD_DATA, "a chunk table is cut short")
         tables.append(list(struct.unpack_from(f"<{n}q", data, at)))
         at += 8 * n
+    size = len(data) if size is None else size
     for p, t in zip(parts, tables):
-        if any(o <= 0 or o >= len(data) for o in t):
+        if any(o <= 0 or o >= size for o in t):
             if multipart or p.deep:
                 raise ImageError(BAD_DATA, "a damaged chunk table")
-            t[:] = _walk(data, p, at, len(t))
+            t[:] = _walk(fetch or (lambda o, n: data[o : o + n]), size, p, at, len(t))
     return tables, at
 
 
-def _walk(data: bytes, part: Part, at: int, n: int) -> list[int]:
+def _walk(fetch: Callable[[int, int], bytes], length: int, part: Part, at: int, n: int) -> list[int]:
     head = 20 if part.tile else 8
     found: dict[tuple, int] = {}
-    while at + head <= len(data) and len(found) < n:
+    while at + head <= length and len(found) < n:
         if part.tile:
-            tx, ty, lx, ly, size = struct.unpack_from("<5i", data, at)
+            tx, ty, lx, ly, size = struct.unpack("<5i", fetch(at, head))
             key = (lx, ly, tx, ty)
         else:
-            y, size = struct.unpack_from("<ii", data, at)
+            y, size = struct.unpack("<ii", fetch(at, head))
             key = ((y - part.data_window[1]) // LINES[part.compression],)
         if size < 0:
             break

@@ -119,6 +119,44 @@ def test_frames(spark, tmp_path):
     assert source.count() == 2 * 20 * 7
 
 
+def source_values(path):
+    reader = datasource.ExrReader({"path": str(path)})
+    batches = [b.to_pydict() for group in reader.partitions() for b in reader.read(group)]
+    return {(p, c, y, x): v for b in batches for p, c, y, x, v in zip(b["part_id"], b["channel"], b["y"], b["x"], b["value"])}
+
+
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_source_of_files_beyond_the_first_read(tmp_path, monkeypatch, tile):
+    """Files of more than 64 first reads, of one part and of two, and one part with a damaged table."""
+    monkeypatch.setattr(datasource, "HEAD", 256)
+    r = np.random.default_rng(8)
+    a, b = (f.Part([f.Channel("R")], 70, 90, f.ZIPS, name=n, tile=tile) for n in "ab")
+    la, lb = planes(a, r), planes(b, r)
+    one, two = f.encode_file([(a, la)]), f.encode_file([(a, la), (b, lb)])
+    assert len(one) > 64 * 256
+    _, _, at = f.parse_headers(one)
+    want = {(k, "R", y, x): float(v) for k, levels in enumerate((la, lb)) for (y, x), v in np.ndenumerate(levels[0, 0]["R"])}
+    first = {k: v for k, v in want.items() if k[0] == 0}
+    small = f.encode_file([(f.Part([f.Channel("R")], 20, 90, f.ZIPS, tile=tile), {(0, 0): {"R": la[0, 0]["R"][:, :20]}})])  # below the 64 first reads
+    _, _, at_small = f.parse_headers(small)
+    assert len(small) < 64 * 256
+    cases = {"one": (one, first), "two": (two, want), "rebuilt": (one[:at] + b"\0" * 8 + one[at + 8 :], first), "small": (small[:at_small] + b"\0" * 8 + small[at_small + 8 :], {k: v for k, v in first.items() if k[3] < 20})}
+    for name, (data, values) in cases.items():
+        (tmp_path / f"{name}.exr").write_bytes(data)
+        assert source_values(tmp_path / f"{name}.exr") == values, name
+
+
+def test_source_reads_flat_parts_beside_deep_ones(tmp_path):
+    r = np.random.default_rng(9)
+    flat, deep = f.Part([f.Channel("R")], 9, 7, f.ZIPS, name="flat"), f.Part([f.Channel("Z")], 9, 7, f.ZIPS, name="deep", type="deepscanline")
+    flat_levels = planes(flat, r)
+    data = bytearray(f.encode_file([(deep, planes(deep, r)), (flat, flat_levels)]))
+    data[5] |= f.NON_IMAGE
+    (tmp_path / "a.exr").write_bytes(data)
+    (tmp_path / "b.exr").write_bytes(deep_file()[1])
+    assert source_values(tmp_path) == {(1, "R", y, x): float(v) for (y, x), v in np.ndenumerate(flat_levels[0, 0]["R"])}
+
+
 def test_other_images():
     r = np.random.default_rng(7)
     for n in (1, 3, 4):
