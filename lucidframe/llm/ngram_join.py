@@ -300,6 +300,20 @@ def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
+def nameless(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(class, text) of rows without an id, each class once per task."""
+    seen: set = set()
+    for _, texts in slices(batches):
+        classes, kept = [], []
+        for t, s in zip(texts, shingle_sets(texts, k)):
+            if len(s) and (p := fingerprint(s)) not in seen:
+                if len(seen) < COUNTED:
+                    seen.add(p)
+                classes.append(p[0])
+                kept.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["cls", "text"])
+
+
 def id_filter(placed: DataFrame) -> Column:
     """Whether an id may be one of ``rep``: a bit table of fixed size, so texts of other documents are not shuffled."""
     slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
@@ -347,7 +361,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = connected_components(edges)
 
     # blocks of a group: sets in order of size, a bounded number of shingles in each
-    sized = groups.join(classes.select(F.col("f1").alias("v"), "n", "rep"), "v").where("rep is not null")
+    sized = groups.join(classes.select(F.col("f1").alias("v"), "n", "rep"), "v")
     upto = Window.partitionBy("comp").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("block", F.floor((F.sum(F.col("n") + 500).over(upto) - F.col("n") - 500) / BLOCK).cast("int"))
     placed = materialize(placed, "placed")
@@ -357,6 +371,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     units = placed.join(sides, ["comp", "block"]).select("comp", "i", "j", "block", F.col("v").alias("cls"), F.col("rep").alias("doc_id"))
     texts = units.join(docs.where("doc_id is not null and text is not null").where(id_filter(placed)), "doc_id").select("comp", "i", "j", "block", "cls", "text")
+    # classes of rows without an id bring their texts by class
+    unnamed = docs.where("doc_id is null and text is not null").mapInArrow(lambda b: nameless(b, k), "cls long, text string").dropDuplicates(["cls"])
+    texts = texts.unionByName(units.where("doc_id is null").join(unnamed, "cls").select("comp", "i", "j", "block", "cls", "text"))
     dealt = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
     links = dealt.mapInArrow(lambda b: join_units(b, k, percent), "a long, b long")
     linked = connected_components(links)

@@ -392,6 +392,20 @@ def test_ngram_join(spark, docs, none):
     assert odd.where("doc_id is null").first().component_id == 4
 
 
+def test_ngram_join_through_null_ids(spark):
+    """Near copies without an id join components, and connect documents that are not linked themselves."""
+    w = prose(31, 100).split()
+    a, between, b = w[:74], w[:88], w[14:88]  # 70 of 84 shingles shared with the one between, 56 of 84 with each other
+    texts = [(5, a), (None, between), (7, b), (None, prose(32, 60).split()), (None, prose(32, 60).split()), (9, prose(33, 60).split()), (None, prose(33, 63).split())]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    n, comp = brute_components([t for _, t in rows])
+    assert comp[0] == comp[1] == comp[2] and brute_components([rows[0][1], rows[2][1]])[1] == [0, 1]
+    ids = [i for i, _ in rows]
+    want = [min((ids[j] for j in range(len(rows)) if comp[j] == c and ids[j] is not None), default=None) for c in comp]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, n_shingles={m}, component_id={c})" for i, m, c in zip(ids, n, want))
+
+
 def test_ngram_blocks(spark, monkeypatch):
     """Groups cut into many blocks, and lists beyond NEAR, give the same components."""
     texts = [*family(21, 60, 70, 6), *family(22, 30, 25, 3)]
