@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidframe.llm.decontaminate import remove_phrases
-from lucidframe.llm.ngram_join import ngram_components
+from lucidframe.llm.ngram_join import first_of_components
 from lucidframe.llm.packing import pack_documents
 from lucidframe.llm.personal_data import redact
 from lucidframe.llm.quality_model import keep_good
@@ -28,11 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; documents without words all stay.
 
-    Rows that share an id are one document, of which one row stays; rows without an id all stay.
+    Rows that share an id and are not linked are documents of their own; a row without an id goes if another one of its
+    group stays.
     """
-    stay = ngram_components(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # dealt by the id already
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return first_of_components(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lucidframe.llm.components import connected_components
 from lucidframe.llm.hashing import mix, run_hashes
-from lucidframe.llm.text import narrow, slices, table
+from lucidframe.llm.text import bounded_batches, narrow, slices, table
 from lucidframe.session import materialize
 
 WORDS, PERCENT = 5, 75
@@ -325,8 +326,9 @@ def id_filter(placed: DataFrame) -> Column:
     return F.getbit(F.get(table_, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, f1, f2), and their classes (f1, f2, n, rep, comp, component_id); ``rep`` is a class's
+    smallest id and ``comp`` a name of the component that does not need one."""
     docs = narrow(df, id_col, text_col)
     spark = df.sparkSession
     found = materialize(docs.mapInArrow(lambda b: describe(b, k), "kind int, doc_id long, n long, f1 long, f2 long"), "described")
@@ -380,9 +382,42 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     least = materialize(classes.join(linked.withColumnRenamed("v", "f1"), "f1").select("f1", "f2", "n", "rep", "comp"), "linked")
     smallest = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least.join(smallest, "comp").select("f1", "f2", "n", "component_id"), ["f1", "f2", "n"], "left")
-    named = materialize(named.select("f1", "f2", "n", F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return members.join(named, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(least.join(smallest, "comp").select("f1", "f2", "n", "comp", "component_id"), ["f1", "f2", "n"], "left")
+    named = materialize(named.select("f1", "f2", "n", "rep", F.coalesce("comp", "f1").alias("comp"), F.coalesce("component_id", "rep").alias("component_id")), "named")
+    return members, named
+
+
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    members, named = _components(df, id_col, text_col, k, percent)
+    return members.join(named.drop("rep", "comp"), ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that stay when each component keeps one: of the smallest id, or any row where none has an id.
+
+    Rows are told apart by id and class, so rows that share an id but are not linked are judged each for itself.  Of rows
+    without words one stays for each id, and all without an id.
+    """
+    _, named = _components(df, id_col, text_col, k, percent)
+    stay = named.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "f1", "f2", "n")).alias("s"))
+    key = ["_id", "_no_id", "_f1", "_f2", "_n"]
+    stay = stay.select(F.coalesce("s.rep", F.lit(0)).cast("long").alias("_id"), F.col("s.no_id").alias("_no_id"), *[F.col(f"s.{c}").alias(f"_{c}") for c in ("f1", "f2", "n")])
+    place = df.columns.index(text_col)
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(place)], ["i", "text"])
+            sets = [s for _, texts in slices(iter([text])) for s in map(lambda s: (*fingerprint(s), len(s)) if len(s) else (0, 0, 0), shingle_sets(texts, k))]
+            added = [pa.array([s[c] for s in sets], pa.int64()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_f1", "_f2", "_n"])
+
+    schema = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in ("_f1", "_f2", "_n")]])
+    rows = bounded_batches(df).mapInArrow(printed, schema).withColumn("_id", F.coalesce(id_col, F.lit(0)).cast("long")).withColumn("_no_id", F.col(id_col).isNull())
+    kept = rows.where("_n > 0").join(stay, key, "left_semi").dropDuplicates(key)  # dealt by the key already
+    wordless = rows.where("_n = 0")
+    ids = wordless.where("not _no_id").dropDuplicates(["_id"])
+    return kept.select(df.columns).unionByName(ids.select(df.columns)).unionByName(wordless.where("_no_id").select(df.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,14 @@ def test_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             got = stage(spark, got, DATA)
         got.count()
+
+
+def test_near_duplicates_judges_rows(spark):
+    """Rows with one id and different texts all stay, unless linked with another that stays; so do null ids."""
+    text = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    rows = [(1, text[0]), (2, text[0] + " z"), (2, text[1]), (3, text[2]), (3, text[3]), (3, text[3]), (4, text[3] + " z"), (None, text[2] + " z"), (None, text[4]), (None, text[4] + " z"), (None, text[5]), (5, ""), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id or 0), (r.text or "").removesuffix(" z")) for r in got.collect())
+    assert kept == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (0, text[4]), (0, text[5]), (5, ""), (0, "")])
