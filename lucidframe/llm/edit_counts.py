@@ -104,14 +104,28 @@ class CountedText:
     """A text's tree and where its leaves begin."""
 
     def __init__(self, text: bytes, starts: np.ndarray, counts: np.ndarray):
-        self.text, self.starts, self.tree = text, starts, SegmentTree(counts if len(counts) else np.zeros(1, np.int64))
+        self.text, self.starts, self.counts, self.tree = text, starts, counts, SegmentTree(counts if len(counts) else np.zeros(1, np.int64))
+        self.extra, self.changes = 0, []
+
+    def settle(self) -> None:
+        """Text, starts and leaves become those after the last edits; nothing is encoded again."""
+        texts, starts, counts, at, unit, shift = [], [], [], 0, 0, 0
+        for lo, hi, new, a, b, own_starts, own_counts in self.changes:
+            texts += [self.text[at:lo], new]
+            starts += [self.starts[unit:a] + shift, own_starts + (lo + shift)]
+            counts += [self.counts[unit:a], own_counts]
+            at, unit, shift = hi, b, shift + len(new) - (hi - lo)
+        if self.changes:
+            self.__init__(b"".join([*texts, self.text[at:]]), np.concatenate([*starts, self.starts[unit:] + shift]), np.concatenate([*counts, self.counts[unit:]]))
 
     def edit(self, edits: list[Edit], own: Encoder) -> tuple[int, int]:
-        """Updates the sums; gives the units encoded again and the nodes written.  Starts stay those of the old text."""
+        """Updates the sums; gives the units encoded again and the nodes written.  A further round edits the new text."""
+        self.settle()
         ranges = plan_edits(self.text, edits)
         units = written = extra = 0
-        for (lo, hi, _), (_, counts) in zip(ranges, own.counts([new for _, _, new in ranges])):
+        for (lo, hi, new), (starts, counts) in zip(ranges, own.counts([new for _, _, new in ranges])):
             a, b = np.searchsorted(self.starts, (lo, hi)).tolist()
+            self.changes.append((lo, hi, new, a, b, starts, counts))
             units += len(counts)
             value = int(counts.sum())
             if b > a:
@@ -121,8 +135,6 @@ class CountedText:
         self.extra = extra
         return units, written
 
-    extra = 0
-
     @property
     def total(self) -> int:
         return self.tree.total + self.extra

@@ -303,6 +303,22 @@ def test_edit_counts(spark, docs, none, own):
     assert rows[10].n_edits == 4
 
 
+def test_edits_in_rounds(own):
+    r = random.Random(41)
+    for text in [prose(42, 60).encode(), b"", "Ünïcode ß 日本  \n a@b.co\t x".encode()]:
+        starts, counts = next(iter(own.counts([text])))
+        kept = edit_counts.CountedText(text, starts, counts)
+        for _ in range(6):
+            cuts = sorted(r.sample([i for i in range(len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80], min(4, 1 + len(text) // 8) // 2 * 2))
+            edits = [(a, b, r.choice([b"", b" ", b"new", b" two words ", b"x\ny"])) for a, b in zip(cuts[::2], cuts[1::2])] or [(0, 0, b"first words ")]
+            kept.edit(edits, own)
+            text = edit_counts.apply_edits(text, edits)
+            assert kept.total == len(own.whole.encode(text.decode(), add_special_tokens=False).ids)
+        kept.settle()
+        again = next(iter(own.counts([text])))
+        assert kept.text == text and kept.counts.sum() == again[1].sum()
+
+
 def test_packing(spark, docs, none, own):
     assert packing.pack_documents(none).count() == 0
     got = packing.pack_documents(docs, shard=8).toPandas().sort_values(["sequence_id", "offset"])
