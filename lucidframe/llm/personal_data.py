@@ -9,8 +9,10 @@ keeps one row of scores for each class that it has met.
 Sentences made of plain words alone are not decoded where a bound of the trained scores proves that their best path
 tags nothing; if the bound does not hold, they are decoded like any other.
 
-Spans of the fixed patterns always stay; a span of the field is added where it overlaps none of them.  Defined
-results: a null or empty text has no spans.  Repeated rows are searched one by one.  ``find_personal`` reads no other
+Spans of the fixed patterns always stay; a span of the field is added where it overlaps none of them and where its
+digits are what its kind asks for (a card's pass Luhn, an address's parts are at most 255, a phone has 9 to 15).
+Patterns, decoding and the merging of spans take time in proportion to the text, digit runs of any length included.
+Defined results: a null or empty text has no spans.  Repeated rows are searched one by one.  ``find_personal`` reads no other
 column; ``redact`` carries all of them.
 """
 
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,11 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")  # nothing follows the group, so nothing need be given back
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+#: Runs of digits joined by single dots, as long as they go: never tried again from a later digit.
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Tokens decoded at once.
@@ -50,6 +56,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ip_places(text: str) -> list[tuple[int, int]]:
+    """What IP matches, leftmost and without overlaps, in one pass: every match is four neighbouring runs of digits."""
+    out = []
+    for m in DOTTED.finditer(text):
+        runs = m[0].split(".")
+        if len(runs) >= 4:
+            at = m.start()
+            for k in range(0, len(runs) - 3, 4):
+                size = sum(map(len, runs[k : k + 4])) + 3
+                out.append((at, at + size))
+                at += size + 1
+    return out
+
+
+def is_ip(text: str) -> bool:
+    parts = text.split(".")
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in parts)
+
+
+def is_card(text: str) -> bool:
+    digits = re.sub("[^0-9]", "", text)
+    return 13 <= len(digits) <= 19 and luhn(digits)
+
+
+def is_phone(text: str) -> bool:
+    return 9 <= len(re.sub("[^0-9]", "", text)) <= 15
+
+
+#: What the text of a span of a kind must be.
+CHECKS = {"email": lambda t: "@" in t, "ip": is_ip, "card": is_card, "phone": is_phone, "secret": bool}
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, in code points."""
     out: list[tuple[str, int, int]] = []
@@ -66,26 +104,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             at = text.find("@", max(at + 1, free))
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
-        for m in CARD.finditer(text):
-            digits = re.sub("[^0-9]", "", m[0])
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                out.append(("card", *m.span()))
+            out += [("ip", a, b) for a, b in ip_places(text) if is_ip(text[a:b])]
+        out += [("card", *m.span()) for m in CARD.finditer(text) if is_card(m[0])]
         if "+" in text:
-            out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+            out += [("phone", *m.span()) for m in PHONE.finditer(text) if is_phone(m[0])]
     return out
 
 
 def training_table(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """A small labelled table: invented sentences with addresses, numbers and secrets, and (kind, start, end) of them."""
+    """A small labelled table: invented sentences with addresses, numbers and secrets, and (kind, start, end) of them.
+
+    Cards pass Luhn; numbers as long that fail it are among the plain words.
+    """
     r = random.Random(seed)
+
+    def sixteen(valid: bool) -> str:
+        head = "".join(str(r.randint(0, 9)) for _ in range(15))
+        right = next(c for c in "0123456789" if luhn(head + c))
+        return head + (right if valid else str((int(right) + r.randint(1, 9)) % 10))
+
     word = lambda: "".join(r.choice(("th", "er", "an", "ing", "la", "de", "ver", "ion", "su", "é", "ñ", "ü")) for _ in range(r.choice((1, 1, 2, 2, 3, 4, 6, 9))))
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
-    plain = (lambda: str(r.randint(0, 9999)), lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 23)}:{r.randint(10, 59)}", lambda: f"v{r.randint(1, 9)}", lambda: f"{r.randint(1, 99)}%", lambda: f"${r.randint(1, 999)}", lambda: word().upper() + "!!", lambda: word() + r.choice(("***", "&&&", "###", "$$$", "%%%")), lambda: "|", lambda: word().upper(), lambda: word().capitalize(), lambda: (word() + word()).upper(), lambda: (word() + word()).capitalize(), lambda: word() + "." + r.choice(("***", "!!", "%%%")))
+    plain = (lambda: str(r.randint(0, 9999)), lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 23)}:{r.randint(10, 59)}", lambda: f"v{r.randint(1, 9)}", lambda: f"{r.randint(1, 99)}%", lambda: f"${r.randint(1, 999)}", lambda: word().upper() + "!!", lambda: word() + r.choice(("***", "&&&", "###", "$$$", "%%%")), lambda: "|", lambda: word().upper(), lambda: word().capitalize(), lambda: (word() + word()).upper(), lambda: (word() + word()).capitalize(), lambda: word() + "." + r.choice(("***", "!!", "%%%")), lambda: sixteen(False), lambda: " ".join(re.findall("....", sixteen(False))))
     made = {
         "email": (lambda: f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com".replace("é", "e").replace("ñ", "n").replace("ü", "u"), lambda: f"info@{r.choice('abc')}x.org"),
         "ip": (lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),),
-        "card": (lambda: "".join(str(r.randint(0, 9)) for _ in range(16)), lambda: " ".join(f"{r.randint(0, 9999):04}" for _ in range(4))),
+        "card": (lambda: sixteen(True),),
         "phone": (lambda: f"+{r.randint(1, 99)} ({r.randint(100, 999)}) 555-{r.randint(1000, 9999)}", lambda: f"+{r.randint(1, 99)} {r.randint(100, 999)} 555 {r.randint(1000, 9999)}"),
         "secret": (lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"{r.choice(('password', 'secret', 'api_key'))}={hexa(r.randint(16, 32))}", lambda: f'token = "{hexa(40)}"'),
     }
@@ -112,6 +156,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = re.compile(r"[Aa]{1,3}[.,;:!?|]?|[|]")
 _LENGTHS = np.array([1, 2, 4, 8, 14, 18])
+#: Added to the length class of a word that is a number of 13 to 19 digits that passes Luhn.
+_LUHN = 8
 
 
 def word_classes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], bytes]:
@@ -128,12 +174,19 @@ def word_classes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[t
     a, b = before[starts], before[ends]
     short = shape[keep]
     length = np.searchsorted(_LENGTHS, ends - starts, side="left").astype(np.uint64)
+    digits = np.concatenate(([0], np.cumsum(shape == ord("9"), dtype=np.int64)))
+    many = digits[ends] - digits[starts]
+    for w in np.flatnonzero((many >= 13) & (many <= 19)).tolist():
+        number = raw[starts[w] : ends[w]].strip(b".,;:!?|")
+        if number.isdigit() and luhn(number.decode()):
+            length[w] += np.uint64(_LUHN)
     keys = run_hashes(short, a, b) ^ (length * np.uint64(0x9E3779B97F4A7C15)) if len(starts) else np.zeros(0, np.uint64)
     return starts, ends, keys, np.column_stack((a, b, length.astype(np.int64))), short.tobytes()
 
 
 def class_features(shape: str, length: int) -> list[str]:
-    return [f"s:{shape[:12]}", f"p:{shape[:2]}", f"e:{shape[-2:]}", f"n:{length}", f"9:{shape.count('9') > 0}:{min(3, shape.count('9'))}", f"x:{shape.strip('.,;:!?|')[:8]}:{length}", f"@:{'@' in shape}", f"k:{''.join(sorted(set(shape)))[:6]}"]
+    valid, length = length & _LUHN, length & ~_LUHN
+    return [f"l:{valid}:{shape.strip('.,;:!?|')[:2]}:{length}", f"s:{shape[:12]}", f"p:{shape[:2]}", f"e:{shape[-2:]}", f"n:{length}", f"9:{shape.count('9') > 0}:{min(3, shape.count('9'))}", f"x:{shape.strip('.,;:!?|')[:8]}:{length}", f"@:{'@' in shape}", f"k:{''.join(sorted(set(shape)))[:6]}"]
 
 
 class Field:
@@ -343,11 +396,16 @@ def all_spans(texts: list[bytes | None], tagger: Tagger) -> list[tuple[list[tupl
         plain = text.decode()
         base = base_spans(plain)
         added = []
-        for kind, a, b in tagged:
-            p = len(text[:a].decode())
-            q = p + len(text[a:b].decode())
-            if all(q <= s or e <= p for _, s, e in base):
-                added.append((kind, p, q))
+        if tagged:
+            data = np.frombuffer(text, np.uint8)
+            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            order = sorted((a, b) for _, a, b in base)
+            starts, reach = [a for a, _ in order], list(accumulate((b for _, b in order), max))
+            for kind, a, b in tagged:
+                p, q = int(points[a]), int(points[b])
+                before = bisect_left(starts, q)
+                if not (before and reach[before - 1] > p) and CHECKS[kind](plain[p:q]):
+                    added.append((kind, p, q))
         rank = lambda s: (KINDS.index(s[0]), s[1])
         out.append((sorted(base, key=rank), sorted(base + added, key=rank)))
     return out
