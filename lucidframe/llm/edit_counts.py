@@ -1,13 +1,20 @@
 """Edit-aware token counts.
 
 A document's count is kept as a segment tree over its pre-token units: leaves hold the tokens of each unit, inner nodes
-sums.  Edits replace ranges of the text.  Only the white-space chunks that an edit touches, and so the nearest boundary
-on each side, are encoded again, since the tokenizer never joins characters across white space; the subtree sums above
-the changed leaves are updated.  Everything else keeps its counts.
+sums.  ``build_trees`` encodes whole texts once and gives the trees as rows, a table that is written and kept.  Edits
+replace ranges of the text.  Only the white-space chunks that an edit touches, and so the nearest boundary on each side,
+are encoded again, since the tokenizer never joins characters across white space; the subtree sums above the changed
+leaves are updated.  Everything else keeps its counts, and the advanced trees are rows of the same kind, ready for the
+next edits: ``apply_edits`` takes a table of edits, ``edit_trees`` a rule that makes them from the text.
 
-Defined results: a null text counts as empty; edits of null or empty texts insert only.  Edits are applied in order of
-their start; one that overlaps an earlier one, or reaches beyond the text, is an error.  Repeated rows are counted one
-by one.  Other columns are neither read nor returned.
+``apply_edits`` moves only rows that have edits: a bit table of bounded size keeps the others out of the shuffle, and a
+row's edits are bounded by its text.  ``edit_trees`` needs no shuffle at all.
+
+Defined results: a null text counts as empty, and has a tree without leaves; edits of null or empty texts insert only.
+Edits are applied in order of their start, those of one place in order of their new text; one that overlaps an earlier
+one, or reaches beyond the text, is an error.  Repeated rows are counted one by one.  A null id is kept, rows without an
+id take no edits of a table, and rows that share an id take the same ones.  Edits of unknown ids and null edits are
+dropped.  Other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -16,28 +23,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lucidframe.llm.hashing import key_filter
 from lucidframe.llm.personal_data import base_spans
-from lucidframe.llm.text import narrow, slices, table
+from lucidframe.llm.text import bounded_batches, narrow, slices, table
 from lucidframe.llm.tokens import Encoder, default_path, encoder
+from lucidframe.session import materialize
 
+#: A kept row: the text, the distance of each unit from the one before it, and the nodes of the tree.
+TREES = "doc_id long, text string, gaps array<int>, nodes array<int>, n_tokens long, n_units long"
+#: What a round of edits has done to a row.
+DONE = "n_edits long, n_tokens_before long, n_units_before long, n_units_encoded long, n_nodes_written long"
 SPACES = b" \t\n\x0b\x0c\r"
 Edit = tuple[int, int, bytes]
 
 
 class SegmentTree:
-    """Sums over leaves; ``node[1]`` is the whole."""
-
-    def __init__(self, leaves: np.ndarray):
-        self.size = 1 << max(0, int(len(leaves) - 1).bit_length())
-        level = np.zeros(self.size, np.int64)
-        level[: len(leaves)] = leaves
-        levels = [level]
-        while len(level) > 1:
-            level = level[::2] + level[1::2]
-            levels.append(level)
-        self.node = np.concatenate([np.zeros(1, np.int64), *reversed(levels)])
+    """Sums over n leaves in 2 n nodes: node i is the sum of nodes 2 i and 2 i + 1, leaves begin at n, ``node[1]`` is the whole."""
+
+    def __init__(self, leaves: np.ndarray, node: np.ndarray | None = None):
+        self.size = n = len(leaves) if node is None else len(node) // 2
+        if node is not None:
+            self.node = node
+            return
+        self.node = np.concatenate([np.zeros(n, np.int64), leaves])
+        for k in range(int(n - 1).bit_length() - 1, -1, -1):  # a level of inner nodes at a time
+            self._sum(1 << k, min(n, 2 << k))
+
+    def _sum(self, lo: int, hi: int) -> None:
+        self.node[lo:hi] = self.node[2 * lo : 2 * hi : 2] + self.node[2 * lo + 1 : 2 * hi : 2]
 
     @property
     def total(self) -> int:
@@ -49,19 +64,23 @@ class SegmentTree:
         self.node[lo:hi] = 0
         self.node[lo] = value
         written = hi - lo
-        while lo > 1:
-            lo, hi = lo >> 1, ((hi - 1) >> 1) + 1
-            self.node[lo:hi] = self.node[2 * lo : 2 * hi : 2] + self.node[2 * lo + 1 : 2 * hi : 2]
+        while hi > 2:  # parents of all that was written; one computed beside its child is computed again in the next step
+            lo, hi = max(1, lo >> 1), ((hi - 1) >> 1) + 1
+            self._sum(lo, hi)
             written += hi - lo
         return written
 
     def prefix(self, i: int) -> int:
         """Sum of the leaves before ``i``."""
-        total, at = 0, i + self.size
-        while at > 1:
-            if at & 1:
-                total += int(self.node[at - 1])
-            at >>= 1
+        total, lo, hi = 0, self.size, self.size + i
+        while lo < hi:
+            if lo & 1:
+                total += int(self.node[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                total += int(self.node[hi])
+            lo, hi = lo >> 1, hi >> 1
         return total
 
 
@@ -103,10 +122,23 @@ def apply_edits(text: bytes, edits: list[Edit]) -> bytes:
 class CountedText:
     """A text's tree and where its leaves begin."""
 
-    def __init__(self, text: bytes, starts: np.ndarray, counts: np.ndarray):
-        self.text, self.starts, self.counts, self.tree = text, starts, counts, SegmentTree(counts if len(counts) else np.zeros(1, np.int64))
+    def __init__(self, text: bytes, starts: np.ndarray, counts: np.ndarray, nodes: np.ndarray | None = None):
+        """``nodes`` are those of a tree that was kept; else it is built from the counts."""
+        self.text, self.starts, self.counts = text, starts, counts
+        self.tree = SegmentTree(counts if len(counts) else np.zeros(1, np.int64), nodes)
         self.extra, self.changes = 0, []
 
+    @classmethod
+    def load(cls, text: bytes | None, gaps: np.ndarray, nodes: np.ndarray) -> CountedText:
+        """From a kept row; nothing is encoded or summed."""
+        nodes = np.array(nodes, np.int64)
+        return cls(text or b"", np.cumsum(gaps, dtype=np.int64), nodes[len(nodes) // 2 :][: len(gaps)], nodes)
+
+    def store(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Text, gaps and nodes of the row to keep."""
+        self.settle()
+        return self.text, np.diff(self.starts, prepend=0), self.tree.node
+
     def settle(self) -> None:
         """Text, starts and leaves become those after the last edits; nothing is encoded again."""
         texts, starts, counts, at, unit, shift = [], [], [], 0, 0, 0
@@ -156,28 +188,95 @@ def masks(text: bytes | None) -> list[Edit]:
     return out
 
 
-def edited_counts(df: DataFrame, edits: Callable[[bytes | None], list[Edit]], id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """One row per document: tokens before and after its edits, and how much had to be done again."""
+_INTS, _LONG = pa.list_(pa.int32()), pa.int64()
+
+
+def _tree_rows(ids: list, texts: list[bytes | None], trees: list[tuple[np.ndarray, np.ndarray]], done: list[tuple] | None = None) -> pa.RecordBatch:
+    """Kept rows of (gaps, nodes), with what was done to them if given."""
+    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, column)]), pa.int32()), pa.array(np.concatenate([*column, np.zeros(0)]), pa.int32())) for column in zip(*trees)] or [pa.array([], _INTS)] * 2
+    arrays = [pa.array(ids, _LONG), pa.array(texts, pa.binary()).cast(pa.string()), *lists, pa.array([int(n[1]) for _, n in trees], _LONG), pa.array([len(g) for g, _ in trees], _LONG)]
+    names = [c.split()[0] for c in TREES.split(", ")]
+    if done is not None:
+        names += [c.split()[0] for c in DONE.split(", ")]
+        arrays += [pa.array([r[k] for r in done], _LONG) for k in range(5)]
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def build_trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """The tree of every document, see TREES: every text is encoded whole, once."""
     path = tokenizer or default_path()
-    names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_units", "n_units_encoded", "n_nodes_written"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for ids, texts in slices(batches):
-            rows = []
-            for doc_id, text, (starts, counts) in zip(ids, texts, own.counts(texts)):
-                todo = edits(text)
-                if not todo:
-                    n = int(counts.sum())
-                    rows.append((doc_id, n, 0, n, len(counts), 0, 0))
-                    continue
-                kept = CountedText(text or b"", starts, counts)
-                before = kept.total
-                units, written = kept.edit(todo, own)
-                rows.append((doc_id, before, len(todo), kept.total, len(counts), units, written))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
-
-    return narrow(df, id_col, text_col).mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+            yield _tree_rows(ids, texts, [(np.diff(starts, prepend=0), SegmentTree(counts if len(counts) else np.zeros(1, np.int64)).node) for starts, counts in own.counts(texts)])
+
+    return narrow(df, id_col, text_col).mapInArrow(scan, TREES)
+
+
+def kept_trees(trees: DataFrame) -> DataFrame:
+    """Writes trees to the shared folder and reads them back."""
+    return materialize(trees, "trees", compression="zstd")
+
+
+def _advance(batches: Iterator[pa.RecordBatch], edits_of: Callable[[bytes | None, list], list[Edit]], path: str) -> Iterator[pa.RecordBatch]:
+    own = encoder(path)
+    for batch in batches:
+        size = a = 0
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        for b, text in enumerate([*texts, None]):  # rows of a bounded size at a time
+            if b > a and (b == len(texts) or size > 1 << 20):
+                part = batch.slice(a, b - a)
+                trees, after, done = [], [], []
+                given = part.column(6).to_pylist() if part.num_columns > 6 else [None] * (b - a)
+                for text_, gaps, nodes, more in zip(texts[a:b], part.column(2), part.column(3), given):
+                    todo = edits_of(text_, more)
+                    gaps, nodes = gaps.values.to_numpy(), nodes.values.to_numpy()
+                    n = int(nodes[1])
+                    if todo:
+                        kept = CountedText.load(text_, gaps, nodes)
+                        units, written = kept.edit(todo, own)
+                        done.append((len(todo), n, len(gaps), units, written))
+                        text_, gaps, nodes = kept.store()
+                    else:
+                        done.append((0, n, len(gaps), 0, 0))
+                    trees.append((gaps, nodes))
+                    after.append(text_)
+                yield _tree_rows(part.column(0).to_pylist(), after, trees, done)
+                a, size = b, 0
+            size += len(text or b"")
+
+
+def edit_trees(trees: DataFrame, rule: Callable[[bytes | None], list[Edit]], tokenizer: str | None = None) -> DataFrame:
+    """Kept rows after the edits that ``rule`` makes from each text, with the columns of DONE; no shuffle."""
+    path = tokenizer or default_path()
+    return bounded_batches(trees).select(*[c.split()[0] for c in TREES.split(", ")]).mapInArrow(lambda b: _advance(b, lambda text, _: rule(text), path), f"{TREES}, {DONE}")
+
+
+def apply_edits_table(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Kept rows after a table of edits (doc_id, first, last, new), with the columns of DONE.
+
+    ``first`` and ``last`` (exclusive) are bytes of the text as it is kept.
+    """
+    path = tokenizer or default_path()
+    names = [c.split()[0] for c in TREES.split(", ")]
+    kept = bounded_batches(trees).select(*names)
+    mine = edits.where("doc_id is not null and first is not null and last is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.coalesce("new", F.lit("")).cast("binary").alias("new")))).alias("edits"))
+    mine = materialize(mine, "edits")
+    may = F.coalesce(key_filter(mine, "doc_id")(F.col("doc_id")), F.lit(False))
+
+    def listed(text: bytes | None, more: list | None) -> list[Edit]:
+        return [(e["first"], e["last"], e["new"]) for e in more or []]
+
+    touched = kept.where(may).join(mine, "doc_id", "left").select(*names, "edits")
+    rest = kept.where(~may).withColumn("edits", F.lit(None).cast(mine.schema["edits"].dataType))
+    return touched.unionByName(rest).mapInArrow(lambda b: _advance(b, listed, path), f"{TREES}, {DONE}")
+
+
+def edited_counts(df: DataFrame, edits: Callable[[bytes | None], list[Edit]], id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """One row per document: tokens before and after its edits, and how much had to be done again."""
+    done = edit_trees(kept_trees(build_trees(df, id_col, text_col, tokenizer)), edits, tokenizer)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_after"), F.col("n_units_before").alias("n_units"), "n_units_encoded", "n_nodes_written")
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

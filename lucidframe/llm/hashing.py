@@ -6,7 +6,10 @@ hash of any run, then mixed.  Two different runs agree with probability about 2*
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 _rng = np.random.default_rng(20240131)
 DIGITS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,3 +79,27 @@ class HashTable:
             on = self.slots[at] != left
             left, at = left[on], (at[on] + np.uint64(1)) & self.mask
         return numbers
+
+
+#: Bits of a key filter: per key, and at least and at most (2 MB); beyond, more keys pass, and none is lost.
+FILTER_BITS_PER_KEY, LEAST_BITS, MOST_BITS = 8, 1 << 12, 1 << 24
+
+
+def key_filter(keys: DataFrame, *columns: str, most: int = MOST_BITS) -> Callable[..., Column]:
+    """Whether keys may be among those of ``keys``: a bit table that grows with their number up to ``most`` bits.
+
+    It is a literal of the plan.  A key of ``keys`` always passes; others pass as often as the table is filled.
+    """
+    n = keys.count()
+    bits = min(most, max(LEAST_BITS, 1 << (FILTER_BITS_PER_KEY * n).bit_length()))
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(bits))
+    rows = keys.select(slot(*columns).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    held = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
+
+    def test(*c: Column) -> Column:
+        at = slot(*c)
+        return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    return test

@@ -4,9 +4,12 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
-from lucidframe.llm import personal_data
+from lucidframe.llm import edit_counts, personal_data
+from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
 
@@ -63,3 +66,72 @@ def test_cards_beside_other_numbers():
     assert personal_data.base_spans(text) == []
     (_, spans), = personal_data.all_spans([text.encode()], tagger)
     assert spans == [("card", 6, 22), ("card", 23, 39)]
+
+
+# 7 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def own():
+    return Encoder()
+
+
+def n_tokens(own, text):
+    return len(own.whole.encode(text.decode(), add_special_tokens=False).ids)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(1, 9), st.integers(0, 50)), max_size=8))
+def test_tree_sums(leaves, changes):
+    tree, leaves = edit_counts.SegmentTree(np.array(leaves)), list(leaves)
+    for a, n, value in changes:
+        a = a % len(leaves)
+        b = min(len(leaves), a + n)
+        leaves[a:b] = [value] + [0] * (b - a - 1)
+        tree.assign(a, b, value)
+        assert [tree.prefix(i) for i in range(len(leaves) + 1)] == [sum(leaves[:i]) for i in range(len(leaves) + 1)] and tree.total == sum(leaves)
+        assert len(tree.node) == 2 * len(leaves) and (edit_counts.SegmentTree(np.array(leaves)).node[1:] == tree.node[1:]).all()
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="ab c.é\n", max_size=50), st.lists(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 8), st.text(alphabet="xy z!", max_size=5)), max_size=3), max_size=5))
+def test_rounds_of_kept_trees(own, text, rounds):
+    """Each round loads what the one before has stored."""
+    raw = text.encode()
+    (starts, counts), = own.counts([raw])
+    row = edit_counts.CountedText(raw, starts, counts).store()
+    for edits in rounds:
+        plain, todo, at = raw.decode(), [], 0
+        for a, n, new in sorted(edits):
+            a, b = len(plain[:a].encode()), len(plain[: a + n].encode())
+            if a >= at:
+                todo.append((a, b, new.encode()))
+                at = b + 1
+        kept = edit_counts.CountedText.load(*row)
+        kept.edit(todo, own)
+        raw = edit_counts.apply_edits(raw, todo)
+        assert kept.total == n_tokens(own, raw)
+        row = kept.store()
+        assert row[0] == raw and row[2][1] == n_tokens(own, raw) and row[1].sum() <= max(0, len(raw) - 1)
+
+
+def test_tables_of_edits(spark, own):
+    """Two tables of edits after each other, on kept rows; rows share an id, lack one, and have no text."""
+    texts = [(1, "a  b"), (2, None), (3, "one two three " * 400), (3, "x"), (None, "no id"), (4, ""), (5, "Ünïcode ß 日本")]
+    docs = spark.createDataFrame([(i, t, 0, "n") for i, t in texts], "doc_id long, text string, n_tokens long, edits string")
+    kept = edit_counts.kept_trees(edit_counts.build_trees(docs))
+    assert edit_counts.build_trees(docs.limit(0)).count() == 0
+    tables = [[(1, 1, 1, "c"), (1, 2, 2, "d e"), (2, 0, 0, "first"), (99, 0, 0, "nobody"), (None, 0, 0, "x"), (3, 0, 1, "O"), (1, None, 3, "?"), (5, 0, 2, None)], [(1, 0, 1, ""), (2, 5, 5, " second"), (4, 0, 0, "was empty")]]
+    now = [(i, (t or "").encode()) for i, t in texts]
+    for rows in tables:
+        edits = spark.createDataFrame(rows, "doc_id long, first int, last long, new string")
+        done = edit_counts.apply_edits_table(kept, edits)
+        todo = {i: [(a, b, (n or "").encode()) for j, a, b, n in rows if j == i and a is not None] for i, _ in texts if i is not None}
+        now = [(i, edit_counts.apply_edits(t, todo.get(i, []))) for i, t in now]
+        got = done.collect()
+        assert sorted((r.doc_id or 0, r.text or "", r.n_tokens, r.n_edits) for r in got) == sorted((i or 0, t.decode(), n_tokens(own, t), len(todo.get(i, []))) for i, t in now)
+        long = next(r for r in got if r.doc_id == 3 and len(r.text) > 9)
+        assert long.n_units == 1200 and long.n_units_encoded == (1 if rows is tables[0] else 0)
+        kept = edit_counts.kept_trees(done)  # with the columns of the round, which the next one leaves out
+    with pytest.raises(Exception, match="overlaps"):
+        edit_counts.apply_edits_table(kept, spark.createDataFrame([(1, 0, 2, ""), (1, 1, 3, "")], "doc_id long, first long, last long, new string")).collect()
