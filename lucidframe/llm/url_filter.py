@@ -5,6 +5,10 @@ listed keys that level 1 wrongly accepts by level 2, and so on until a level acc
 corpus is listed exactly if the first level that rejects it is an odd one.  As the levels are literals of the plan,
 scoring a url needs no join and no shuffle; only building a cascade scans the corpus's keys.
 
+A list of any length goes this way: its keys are dealt by a hash to shards whose filters have ``max_bits`` bits at most,
+each with a cascade of its own over the keys of the corpus that fall to it.  The plan carries as many shards at once as
+``max_bits`` allows; the narrow table of what has been found so far is written between one lot of shards and the next.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the verdict ``allow``
 (no key, so no listing).  Empty tables give empty results.  Repeated rows are judged one by one.  Other columns of the
 table are neither read nor returned, so their names cannot clash.
@@ -14,11 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidframe.llm.text import table
-from lucidframe.session import materialize
+from lucidframe.session import materialize, release
 
 #: Fixed values: (verdict, host, path).
 BASE_RULES = (
@@ -32,8 +37,10 @@ BASE_RULES = (
 LISTED_SITES = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 
 BITS_PER_KEY, HASHES = 10, 4
-#: A filter of more bits isn't carried in the plan: 8 MB.
+#: Bits of the filters that a plan carries at once: 8 MB.
 MAX_BITS = 1 << 26
+#: The hash that deals keys to shards is none of those of the levels.
+SHARD_SEED = -1
 
 
 @dataclass(frozen=True)
@@ -55,19 +62,26 @@ class Level:
 
 @dataclass(frozen=True)
 class Cascade:
-    """Levels of one list.  ``listed`` stands in where a list is too long for the plan."""
+    """Levels of the keys of a list that fall to one of ``shards`` shards."""
 
     levels: list[Level] = field(default_factory=list)
-    listed: DataFrame | None = None
+    shard: int = 0
+    shards: int = 1
+
+    @property
+    def bits(self) -> int:
+        return sum(level.bits for level in self.levels)
 
     def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed: exact, without a join."""
-        if self.listed is not None:
-            raise ValueError("this list is too long to be carried in a plan; use keep_listed()")
+        """Whether a key of the universe is listed and falls to this shard: exact, without a join."""
         verdict = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
             verdict = F.when(~level.contains(key, level.literal()), F.lit(level.number % 2 == 1)).otherwise(verdict)
-        return verdict
+        return verdict if self.shards == 1 else (shard_of(key, self.shards) == self.shard) & verdict
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(SHARD_SEED)), F.lit(shards))
 
 
 def positions(key: Column, level: int, bits: int) -> list[Column]:
@@ -89,18 +103,15 @@ def build_level(keys: DataFrame, number: int, n: int) -> Level:
     return Level(number, bits, tuple(words))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     """``listed`` and ``universe`` have one column ``key``; the universe holds every key that will be asked for.
 
     The keys left at each level are a falling share of both sides.  They are cut from the lineage in the shared
-    folder.  A list whose first filter would exceed ``max_bits`` is kept as a table instead, see keep_listed().
+    folder.  ``listed`` has its keys once and without nulls.
     """
-    listed = materialize(listed.where("key is not null").distinct(), "listed")
-    n = listed.count()
-    if n * BITS_PER_KEY > max_bits:
-        return Cascade(listed=listed)
     levels: list[Level] = []
     inside, outside = listed, None
+    n = listed.count()
     while n:
         level = build_level(inside, len(levels), n)
         levels.append(level)
@@ -108,18 +119,31 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
             passed = universe.where("key is not null").where(level.contains(F.col("key"), level.literal())).distinct().join(listed, "key", "left_anti")
         else:
             passed = outside.where(level.contains(F.col("key"), level.literal()))
-        outside, inside = inside, materialize(passed, f"level{len(levels)}")
+        before, outside, inside = outside, inside, materialize(passed, f"level{len(levels)}")
+        if before is not None and before is not listed:
+            release(before)
         n = inside.count()
-        if n * BITS_PER_KEY > max_bits:
-            return Cascade(listed=listed)
     return Cascade(levels)
 
 
-def keep_listed(keyed: DataFrame, cascade: Cascade) -> DataFrame:
-    """Rows of ``keyed`` (one per url and key) whose ``key`` is listed."""
-    if cascade.listed is not None:
-        return keyed.join(cascade.listed, "key", "left_semi")
-    return keyed.where(cascade.contains(F.col("key")))
+def build_cascades(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> list[Cascade]:
+    """A cascade for every shard of the list; shards are as many as keep a shard's first filter within ``max_bits``."""
+    listed = materialize(listed.where("key is not null").distinct(), "listed")
+    shards = max(1, -(-listed.count() * BITS_PER_KEY // max(max_bits // 2, 64)))
+    if shards == 1:
+        return [build_cascade(listed, universe)]
+    mine = lambda df, s: df.where(shard_of(F.col("key"), shards) == s)
+    return [Cascade(build_cascade(mine(listed, s), mine(universe, s)).levels, s, shards) for s in range(shards)]
+
+
+def lots(cascades: Sequence[tuple[str, Cascade]], max_bits: int) -> list[list[tuple[str, Cascade]]]:
+    """(name, cascade) pairs in lots of ``max_bits`` bits together, or of one."""
+    out: list[list[tuple[str, Cascade]]] = [[]]
+    for name, c in cascades:
+        if out[-1] and sum(x.bits for _, x in out[-1]) + c.bits > max_bits:
+            out.append([])
+        out[-1].append((name, c))
+    return out
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -162,38 +186,38 @@ def filter_urls(
     parsed = materialize(pages.select(F.col(id_col).alias("page_id"), *[c.alias(n) for c, n in zip(host_and_path(F.col(url_col)), ("host", "path"))]), "parsed")
     universe_rules = parsed.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
     universe_sites = parsed.select("host").distinct().select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    allow = build_cascade(keyed_rules.where("verdict = 'allow'").select("key"), universe_rules, max_bits)
-    block = build_cascade(keyed_rules.where("verdict = 'block'").select("key"), universe_rules, max_bits)
-    sited = build_cascade(sites.select(F.col("site").alias("key")), universe_sites, max_bits)
-    if any(c.listed is not None for c in (allow, block, sited)):
-        return _filter_joined(parsed, lengths, allow, block, sited)
-
-    first = F.get(F.filter(rule_keys(F.col("host"), F.col("path"), lengths), lambda k: allow.contains(k) | block.contains(k)), F.lit(0))
-    site = F.exists(host_suffixes(F.col("host")), sited.contains)
-    return parsed.select("*", first.alias("rule")).select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.when(F.col("rule").isNotNull(), F.when(allow.contains(F.col("rule")), "allow").otherwise("block")).otherwise(F.when(site, "block").otherwise("allow")).alias("verdict"),
-    )
-
-
-def _filter_joined(parsed: DataFrame, lengths: list[int], allow: Cascade, block: Cascade, sited: Cascade) -> DataFrame:
-    """The way beyond the size bound: keys of distinct (host, path) meet the lists in joins on the key."""
-    pairs = parsed.select("host", "path").distinct()
-    keyed = pairs.select("host", "path", F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    hits = keep_listed(keyed, allow).withColumn("v", F.lit("allow")).unionByName(keep_listed(keyed, block).withColumn("v", F.lit("block")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("v"))).alias("m"))
-    sites = keep_listed(pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("key")), sited).select("host", "path").distinct().withColumn("site", F.lit(True))
-    verdicts = pairs.join(best, ["host", "path"], "left").join(sites, ["host", "path"], "left")
-    verdicts = verdicts.select("host", "path", F.col("m.key").alias("rule"), F.coalesce("m.v", F.when(F.col("site"), "block"), F.lit("allow")).alias("verdict"))
-    return parsed.join(verdicts, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    allow = build_cascades(keyed_rules.where("verdict = 'allow'").select("key"), universe_rules, max_bits)
+    block = build_cascades(keyed_rules.where("verdict = 'block'").select("key"), universe_rules, max_bits)
+    sited = build_cascades(sites.select(F.col("site").alias("key")), universe_sites, max_bits)
+    both = [(name, c) for name, cs in (("allow", allow), ("block", block), ("site", sited)) for c in cs]
+
+    keys = rule_keys(F.col("host"), F.col("path"), lengths)
+    found = parsed.withColumns({"rule": F.lit(None).cast("string"), "v": F.lit(None).cast("string"), "site": F.lit(False)})
+    parts = lots(both, max_bits)
+    for k, lot in enumerate(parts):
+        named = [(name, [c for n, c in lot if n == name]) for name in ("allow", "block", "site")]
+        any_of = lambda cs, key: reduce(Column.__or__, [c.contains(key) for c in cs], F.lit(False))
+        ruled = [c for name, cs in named[:2] for c in cs]
+        if ruled:
+            first = F.get(F.filter(keys, lambda x: any_of(ruled, x)), F.lit(0))
+            found = found.withColumn("key", first).withColumn("longer", F.coalesce(F.length("key"), F.lit(-1)) > F.coalesce(F.length("rule"), F.lit(-1)))
+            verdict = F.when(any_of(named[0][1], F.col("key")), "allow").otherwise("block")
+            found = found.withColumn("v", F.when(F.col("longer"), verdict).otherwise(F.col("v"))).withColumn("rule", F.when(F.col("longer"), F.col("key")).otherwise(F.col("rule"))).drop("key", "longer")
+        if named[2][1]:
+            found = found.withColumn("site", F.col("site") | F.exists(host_suffixes(F.col("host")), lambda x: any_of(named[2][1], x)))
+        if k + 1 < len(parts):
+            found = materialize(found, f"found{k}")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("v", F.when(F.col("site"), "block").otherwise("allow")).alias("verdict"))
+
+
+def inline(spark: SparkSession, columns: str, rows: Sequence[tuple[str, ...]]) -> DataFrame:
+    """A few rows of strings as literals of the plan."""
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {quoted} AS t({columns})")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(BASE_RULES), "verdict string, host string, path string")
-    sites = spark.createDataFrame([(s,) for s in LISTED_SITES], "site string")
+    rules, sites = inline(spark, "verdict, host, path", BASE_RULES), inline(spark, "site", [(x,) for x in LISTED_SITES])
     return filter_urls(table(spark, sf_dir, "pages"), rules, sites)
 
 

@@ -3,12 +3,14 @@
 import random
 import re
 import time
+from functools import reduce
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from lucidframe.llm import edit_counts, personal_data
+from lucidframe.llm import edit_counts, personal_data, url_filter
 from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
@@ -135,3 +137,22 @@ def test_tables_of_edits(spark, own):
         kept = edit_counts.kept_trees(done)  # with the columns of the round, which the next one leaves out
     with pytest.raises(Exception, match="overlaps"):
         edit_counts.apply_edits_table(kept, spark.createDataFrame([(1, 0, 2, ""), (1, 1, 3, "")], "doc_id long, first long, last long, new string")).collect()
+
+
+# 9 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_long_lists_go_by_cascades(spark):
+    """A list beyond the bound is dealt to shards; every shard is a cascade and no list is joined."""
+    universe = spark.range(4000).selectExpr("concat('h', id, '.example.org') as key")
+    listed = universe.where("pmod(xxhash64(key), 5) = 0").unionAll(spark.range(900).selectExpr("concat('other', id) as key"))
+    cascades = url_filter.build_cascades(listed, universe, 8000)
+    assert len(cascades) > 2 and all(0 < c.levels[0].bits <= 4700 for c in cascades)
+    hit = [c.contains(F.col("key")) for c in cascades]
+    assert universe.where(reduce(lambda a, b: a | b, hit) != F.expr("pmod(xxhash64(key), 5) = 0")).count() == 0
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('http://h', id, '.example.org/x') as url")
+    none = url_filter.inline(spark, "verdict, host, path", [("allow", "h1.example.org", "/x")])
+    got = url_filter.filter_urls(pages, none, listed.withColumnRenamed("key", "site"), max_bits=8000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Python" not in plan and "Exchange" not in plan
+    assert got.where("(verdict = 'block') <> (pmod(xxhash64(concat('h', page_id, '.example.org')), 5) = 0 and page_id <> 1)").count() == 0
