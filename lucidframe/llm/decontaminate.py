@@ -1,18 +1,20 @@
 """Benchmark decontamination with an FM-index of every shard of the corpus.
 
-A shard is a bounded number of documents of one task.  Its words become symbols of the benchmark's vocabulary; words
-outside it can be in no phrase, so a shard's sequence keeps the maximal runs of known words that are long enough to
-hold a phrase, each closed by a separator.  From the sequence's suffix array come the Burrows-Wheeler transform, a
+A shard is a bounded number of documents of one task.  Its words become symbols of the benchmark's vocabulary; all
+words outside it are one symbol, and as they can be in no phrase, neighbouring ones are written once; it also closes
+each document.  The whole shard is indexed: from the sequence's suffix array come the Burrows-Wheeler transform, a
 wavelet matrix with ranks in blocks of 64, and samples of suffix positions.  All phrases are searched backwards at
 once; occurrences are located by LF steps to the next sample; the spans are mapped back to documents and merged.
 
 Shards need no shuffle, so no key can be hot, and every document is searched whole.  The benchmark is broadcast in
-blocks of at most ``BLOCK_BYTES`` of text, each block searched on its own and the results merged, so what is broadcast
-has a bound.
-
-Defined results: null or empty texts have no words and no hits.  Items without words have no phrase.  Repeated items
-with one id count as one item.  Repeated documents are searched one by one.  An empty benchmark hits nothing.  Other
-columns of either table are carried by ``remove_phrases`` and not read; their names cannot clash.
+blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block of its own), one block at a time: the next one
+follows when the results of the last one are written.  With several blocks, the documents are written first with a row
+number of their own, so that results meet by that number whatever order a scan has.
+
+Defined results: null or empty texts have no words and no hits.  Items without words have no phrase.  Items that share
+an id count as one item.  The windows of items without an id hit words, and all those items count as one without a name.
+Repeated documents are searched one by one.  An empty benchmark hits nothing.  Other columns of either table are carried
+by ``remove_phrases`` and not read; their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidframe.llm.text import ALNUM, alnum_words, bounded_batches, narrow, slices, table
-from lucidframe.session import materialize
+from lucidframe.session import materialize, release
 
 WINDOW = 8
 SAMPLE = 16
 #: Bytes of text in a shard.
 SHARD_BYTES = 8 << 20
-#: Bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are broadcast at once; the phrases made of it take about 25 times as much.
+BLOCK_BYTES = 2 << 20
 #: Occurrences located at once.
 LOCATE = 1 << 20
 WORD = re.compile(rb"[^ ]+")
@@ -86,21 +88,30 @@ class WaveletMatrix:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """By prefix doubling; the last symbol is the only 0."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.zeros(n, np.int64)
-    rank[order[1:]] = np.cumsum(symbols[order[1:]] != symbols[order[:-1]])
-    k = 1
-    while rank[order[-1]] < n - 1:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        rank[order[0]] = 0
-        rank[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
+    """By prefix doubling, from as many symbols as a number holds; only suffixes that still tie are sorted again.
+
+    The last symbol is the only 0, so a suffix that is compared beyond its end ties with none.
+    """
+    n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
+    k = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: max(0, n - j)] |= symbols[j:]
+    order = np.argsort(key, kind="stable")
+    rank, places, key = np.zeros(n, np.int64), np.arange(n), key[order]
+    while True:
+        opens = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[places]] = np.maximum.accumulate(np.where(opens, places, 0))
+        ties = ~(opens & np.append(opens[1:], True))
+        places = places[ties]
+        if not len(places):
+            return order
+        tied = order[places]
+        key = rank[tied] * (n + 1) + rank[tied + k]
+        sort = np.argsort(key, kind="stable")
+        order[places], key = tied[sort], key[sort]
         k *= 2
-    return order
 
 
 class FMIndex:
@@ -177,19 +188,13 @@ def search_shard(texts: list[bytes | None], phrases: Phrases) -> list[Found]:
         if len(words) < phrases.shortest or not phrases.shortest:
             continue
         s = np.fromiter((get(w, 1) for w in words), np.int64, len(words))
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], s > 1, [0]))))
-        first, last = edges[::2], edges[1::2]
-        keep = last - first >= phrases.shortest
-        if not keep.any():
+        known = s > 1
+        if not known.any():
             continue
-        first, last = first[keep], last[keep]
-        size = last - first + 1  # with the separator
-        at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-        part = np.append(s, 1)[at]
-        part[np.cumsum(size) - 1] = 1
-        parts.append(part)
-        words_of.append(at)
-        doc_of.append(np.full(len(at), d))
+        at = np.flatnonzero(known | np.concatenate(([False], known[:-1])))
+        parts.append(np.append(s[at], 1))
+        words_of.append(np.append(at, len(s)))
+        doc_of.append(np.full(len(at) + 1, d))
     if not parts:
         return found
     index = FMIndex(np.concatenate(parts), phrases.top)
@@ -237,43 +242,51 @@ def load(block: DataFrame, window: int) -> Phrases:
     return Phrases(((r.item_id, r.text) for r in block.collect()), window)
 
 
+def names_of(items: set) -> list[str | None]:
+    """The items' ids as sorted strings, and a null for those without an id."""
+    return [*sorted(str(i) for i in items if i is not None), *([None] if None in items else [])]
+
+
 def find_phrases(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, spans of words and the items found (as strings, sorted)."""
-    schema = "row long, doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
-    docs = narrow(df, id_col, text_col)
-    blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
-    results = []
-    for block in blocks:
-        phrases = df.sparkSession.sparkContext.broadcast(load(block, window))
+    span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    found_schema = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
-        def scan(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            row = 0
+    def scanner(phrases, only_hits: bool):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, texts in slices(batches, SHARD_BYTES):
-                found = search_shard(texts, phrases.value)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(row, row + len(ids)), pa.int64()),
-                        pa.array(ids, pa.int64()),
-                        pa.array([f.n_words for f in found], pa.int64()),
-                        pa.array([[{"first": a, "last": b} for a, b in f.spans] for f in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        pa.array([sorted(map(str, f.items)) for f in found], pa.list_(pa.string())),
-                    ],
-                    ["row", "doc_id", "n_words", "spans", "items"],
+                rows = [(i, f) for i, f in zip(ids, search_shard(texts, phrases.value)) if f.spans or not only_hits]
+                columns = (
+                    pa.array([i for i, _ in rows], pa.int64()),
+                    pa.array([f.n_words for _, f in rows], pa.int64()),
+                    pa.array([[{"first": a, "last": b} for a, b in f.spans] for _, f in rows], span),
+                    pa.array([names_of(f.items) for _, f in rows], pa.list_(pa.string())),
                 )
-                row += len(ids)
-
-        results.append(docs.mapInArrow(scan, schema))
-    if len(results) == 1:
-        return results[0].drop("row")
-    # every block reads the same splits in the same order, so partition and row name a document
-    every = None
-    for r in results:
-        r = materialize(r.withColumn("part", F.spark_partition_id()), "block")
-        every = r if every is None else every.unionByName(r)
-    merged = every.groupBy("part", "row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    grown = """aggregate(s, array(), (acc, x) -> if(size(acc) > 0 and x.first <= acc[size(acc) - 1].last,
+                yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n_words", "spans", "items"])
+
+        return scan
+
+    docs, context = narrow(df, id_col, text_col), df.sparkSession.sparkContext
+    blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
+    if len(blocks) == 1:
+        return docs.mapInArrow(scanner(context.broadcast(load(blocks[0], window)), False), f"doc_id long, {found_schema}")
+    numbered = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    by_row = numbered.select("row", "text")
+    every = materialize(by_row.mapInArrow(count_words, "row long, n_words long"), "words").select("row", "n_words", F.lit(None).cast("array<struct<first:long,last:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    for block in blocks:
+        phrases = context.broadcast(load(block, window))
+        hits = materialize(by_row.mapInArrow(scanner(phrases, True), f"doc_id long, {found_schema}"), "hits")
+        phrases.destroy()
+        every = every.unionByName(hits.withColumnRenamed("doc_id", "row"))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grown = """aggregate(s, cast(array() as array<struct<first:bigint,last:bigint>>), (acc, x) -> if(size(acc) > 0 and x.first <= acc[size(acc) - 1].last,
       concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', acc[size(acc) - 1].first, 'last', greatest(x.last, acc[size(acc) - 1].last)))), concat(acc, array(x))))"""
-    return merged.selectExpr("doc_id", "n_words", grown.replace("array(),", "cast(array() as array<struct<first:bigint,last:bigint>>),") + " as spans", "items")
+    return numbered.select("row", "doc_id").join(merged.selectExpr("row", "n_words", grown + " as spans", "items"), "row").drop("row")
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(alnum_words(t)) for t in texts], pa.int64())], ["row", "n_words"])
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -323,15 +336,20 @@ def remove_phrases(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return bounded_batches(frame).mapInArrow(scan, df.schema)
 
-    broadcasts = [df.sparkSession.sparkContext.broadcast(load(b, window)) for b in blocks_of(benchmark, item_col, item_text, block_bytes)]
-    if len(broadcasts) == 1:
-        return once(df, broadcasts[0])
+    context = df.sparkSession.sparkContext
+    blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
+    if len(blocks) == 1:
+        return once(df, context.broadcast(load(blocks[0], window)))
+    size, written = df.agg(F.sum(F.octet_length(text_col))).first()[0], None
     while True:
-        before = df
-        for phrases in broadcasts:
-            df = once(df, phrases)
-        df = materialize(df, "cut")
-        if df.agg(F.sum(F.octet_length(text_col))).first() == before.agg(F.sum(F.octet_length(text_col))).first():
+        for block in blocks:
+            phrases = context.broadcast(load(block, window))
+            df = materialize(once(df, phrases), "cut")
+            phrases.destroy()
+            release(written)
+            written = df
+        before, size = size, df.agg(F.sum(F.octet_length(text_col))).first()[0]
+        if size == before:
             return df
 
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lucidframe.llm import edit_counts, personal_data, url_filter
+from lucidframe.llm import decontaminate, edit_counts, personal_data, url_filter
 from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
@@ -156,3 +156,28 @@ def test_long_lists_go_by_cascades(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Python" not in plan and "Exchange" not in plan
     assert got.where("(verdict = 'block') <> (pmod(xxhash64(concat('h', page_id, '.example.org')), 5) = 0 and page_id <> 1)").count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=80), st.integers(1, 1 << 40))
+def test_suffix_array(symbols, scale):
+    text = np.array([*symbols, 0], np.int64) * (scale if scale < 1 << 20 else 1)
+    assert decontaminate.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
+def test_blocks_of_phrases(spark):
+    """Several blocks of a benchmark, with repeated ids and rows and items without an id, give what one block gives."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    items = [(r.choice([None, i // 2]), text(r.choice([2, 3, 10, 12]))) for i in range(30)]
+    rows = [(r.choice([None, 1, i]), r.choice([None, "", text(r.randint(1, 400))])) for i in range(40)]
+    rows += [(7, " ".join(t for _, t in items[k : k + 3])) for k in range(0, 30, 3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [sorted(map(str, decontaminate.find_phrases(docs, bench, block_bytes=size).collect())) for size in (1 << 20, 120)]
+    assert found[0] == found[1] and len(found[0]) == len(rows) and any("None]" in f for f in found[0])
+    cut = decontaminate.remove_phrases(docs, bench, block_bytes=120)
+    assert cut.count() == len(rows) and decontaminate.find_phrases(cut, bench).where("size(spans) > 0").count() == 0
