@@ -18,15 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that Spark hands to a worker at once; texts may be long, so the default of 10,000 would fill a small executor.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to a worker at once; texts may be long, so its defaults would fill a small executor.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same table; its session hands BATCH_ROWS rows to a worker at once at most."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """The same table; its session hands BATCH_ROWS rows and about BATCH_BYTES bytes to a worker at once at most.
+
+    A longer row goes alone.  Spark reads these settings of the session when a query runs, so they stay as they are set.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(conf.get(key).removesuffix("b")) <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -1,5 +1,7 @@
 """Single points of the operators: odd input, growth, scale bounds, and searches by brute force."""
 
+import hashlib
+import os
 import random
 import re
 import time
@@ -7,10 +9,11 @@ from functools import reduce
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lucidframe.llm import decontaminate, edit_counts, personal_data, url_filter
+from lucidframe.llm import decontaminate, edit_counts, hashing, personal_data, url_filter, warc
 from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
@@ -181,3 +184,50 @@ def test_blocks_of_phrases(spark):
     assert found[0] == found[1] and len(found[0]) == len(rows) and any("None]" in f for f in found[0])
     cut = decontaminate.remove_phrases(docs, bench, block_bytes=120)
     assert cut.count() == len(rows) and decontaminate.find_phrases(cut, bench).where("size(spans) > 0").count() == 0
+
+
+# 3 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_bundles_are_files(spark, tmp_path, monkeypatch):
+    """Files that a plain reader opens; ties of the largest id, missing ids, a hot payload; bit tables that say too much."""
+    r = random.Random(9)
+    hot, big = "h" * 1500, ["".join(r.choice("abc") for _ in range(1200)) for _ in range(40)]
+    rows = [(i, f"http://h/{i}", hot if i % 3 == 0 else r.choice(big), "x") for i in range(300)]
+    rows += [(900, "http://t/1", big[0], "x"), (900, "http://t/2", big[0], "x"), (None, "http://n", big[0], "x"), (None, "http://m", "n" * 1100, "x"), (None, "http://o", "n" * 1100, "x"), (5, "http://again", rows[5][2], "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(4)
+    want = []
+    for i, url, html, _ in rows:
+        top = max((j for j, _, h, _ in rows if h == html and j is not None), default=None)
+        want.append((-1 if i is None else i, len(html), hashlib.sha1(html.encode()).hexdigest(), "revisit" if top is not None and i != top else "response", top if i != top else None))
+    key = lambda t: tuple(str(x) for x in t)
+    for most in (1 << 24, 64):  # bit tables of their own size, and ones that let everything pass
+        monkeypatch.setattr(warc, "key_filter", lambda df, *c, most=most: hashing.key_filter(df, *c, most=most))
+        monkeypatch.setattr(hashing, "LEAST_BITS", min(most, 1 << 12))
+        monkeypatch.setattr(warc, "LEAST_HOT", 20 if most > 64 else 1000)  # with and without digests that are met by broadcast
+        manifest = warc.write_bundles(pages, frame_bytes=3000, folder=f"file://{tmp_path}/{most}")
+        got = [(-1 if x.page_id is None else x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.read_bundles(manifest).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        names = {x.bundle.rsplit("/", 1)[1] for x in manifest.collect()}
+        assert names == set(os.listdir(tmp_path / str(most))) and all(n.endswith(".warc.zst") for n in names)
+        stored = b""
+        for n in names:
+            with open(tmp_path / str(most) / n, "rb") as f:
+                stored += zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+        assert stored.count(b"WARC/1.1\r\n") == len(rows) and stored.count(hot.encode()) == 1
+    index = warc.record_index(manifest)
+    ids = index.where("page_id in (900, 297, 298)")
+    got = sorted((x.record_type, x.url, bytes(x.payload).decode()) for x in warc.lookup(manifest, ids).collect())
+    assert [x[1] for x in got if x[0] == "response" and x[2] == big[0]] == ["http://t/1", "http://t/2"]
+    assert ("response", "http://h/297", hot) in got and len(got) == 4
+
+
+def test_pages_are_not_shuffled(spark):
+    """Only what both bit tables let pass goes through a join with its payload."""
+    pages = spark.range(2000).selectExpr("id as page_id", "'u' as url", "cast(repeat(cast(1000 + id % 1500 as string), 300) as binary) as payload")
+    digests = warc.digests_of(pages)
+    repeats = warc.revisits(digests)
+    assert repeats.count() == 500 and warc.responses(pages, digests, repeats).count() == 1500
+    sure, unsure = warc.response_parts(pages, digests, repeats)
+    assert sure.count() > 1300 and "Exchange" not in sure._jdf.queryExecution().executedPlan().toString()
+    assert sure.count() + unsure.count() == 1500
