@@ -31,8 +31,9 @@ from lucidframe.llm.text import bounded_batches, narrow, slices, table
 from lucidframe.llm.tokens import Encoder, default_path, encoder
 from lucidframe.session import materialize
 
-#: A kept row: the text, the distance of each unit from the one before it, and the nodes of the tree.
-TREES = "doc_id long, text string, gaps array<int>, nodes array<int>, n_tokens long, n_units long"
+#: A kept row: the text, the distance of each unit from the one before it, and the leaves and the inner nodes of the tree;
+#: see ``pack_numbers``.
+TREES = "doc_id long, text string, gaps binary, leaves binary, sums binary, n_tokens long, n_units long"
 #: What a round of edits has done to a row.
 DONE = "n_edits long, n_tokens_before long, n_units_before long, n_units_encoded long, n_nodes_written long"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -188,18 +189,33 @@ def masks(text: bytes | None) -> list[Edit]:
     return out
 
 
-_INTS, _LONG = pa.list_(pa.int32()), pa.int64()
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers of 0 or more as little-endian ones of 1, 2, 4 or 8 bytes, behind a byte that tells their size."""
+    most = int(values.max()) if len(values) else 0
+    size = next(s for s in (1, 2, 4, 8) if most < 1 << 8 * s)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
 
 
-def _tree_rows(ids: list, texts: list[bytes | None], trees: list[tuple[np.ndarray, np.ndarray]], done: list[tuple] | None = None) -> pa.RecordBatch:
-    """Kept rows of (gaps, nodes), with what was done to them if given."""
-    lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, column)]), pa.int32()), pa.array(np.concatenate([*column, np.zeros(0)]), pa.int32())) for column in zip(*trees)] or [pa.array([], _INTS)] * 2
-    arrays = [pa.array(ids, _LONG), pa.array(texts, pa.binary()).cast(pa.string()), *lists, pa.array([int(n[1]) for _, n in trees], _LONG), pa.array([len(g) for g, _ in trees], _LONG)]
-    names = [c.split()[0] for c in TREES.split(", ")]
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+_LONG = pa.int64()
+_TREE_NAMES, _DONE_NAMES = ([c.split()[0] for c in x.split(", ")] for x in (TREES, DONE))
+
+
+def _tree_rows(ids: list, texts: list[bytes | None], trees: list[tuple[bytes, bytes, bytes, int, int]], done: list[tuple] | None = None) -> pa.RecordBatch:
+    """Kept rows of packed trees, with what was done to them if given."""
+    columns = [pa.array([t[k] for t in trees], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.binary(), _LONG, _LONG))]
+    arrays = [pa.array(ids, _LONG), pa.array(texts, pa.binary()).cast(pa.string()), *columns]
     if done is not None:
-        names += [c.split()[0] for c in DONE.split(", ")]
         arrays += [pa.array([r[k] for r in done], _LONG) for k in range(5)]
-    return pa.RecordBatch.from_arrays(arrays, names)
+    return pa.RecordBatch.from_arrays(arrays, _TREE_NAMES + (_DONE_NAMES if done is not None else []))
+
+
+def _packed(gaps: np.ndarray, nodes: np.ndarray) -> tuple[bytes, bytes, bytes, int, int]:
+    n = len(nodes) // 2
+    return pack_numbers(gaps), pack_numbers(nodes[n:]), pack_numbers(nodes[:n]), int(nodes[1]), len(gaps)
 
 
 def build_trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -209,7 +225,7 @@ def build_trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for ids, texts in slices(batches):
-            yield _tree_rows(ids, texts, [(np.diff(starts, prepend=0), SegmentTree(counts if len(counts) else np.zeros(1, np.int64)).node) for starts, counts in own.counts(texts)])
+            yield _tree_rows(ids, texts, [_packed(np.diff(starts, prepend=0), SegmentTree(counts if len(counts) else np.zeros(1, np.int64)).node) for starts, counts in own.counts(texts)])
 
     return narrow(df, id_col, text_col).mapInArrow(scan, TREES)
 
@@ -228,19 +244,19 @@ def _advance(batches: Iterator[pa.RecordBatch], edits_of: Callable[[bytes | None
             if b > a and (b == len(texts) or size > 1 << 20):
                 part = batch.slice(a, b - a)
                 trees, after, done = [], [], []
-                given = part.column(6).to_pylist() if part.num_columns > 6 else [None] * (b - a)
-                for text_, gaps, nodes, more in zip(texts[a:b], part.column(2), part.column(3), given):
-                    todo = edits_of(text_, more)
-                    gaps, nodes = gaps.values.to_numpy(), nodes.values.to_numpy()
-                    n = int(nodes[1])
+                columns = [part.column(k).to_pylist() for k in range(2, part.num_columns)]
+                for text_, *tree in zip(texts[a:b], *columns[:5], columns[5] if len(columns) > 5 else [None] * (b - a)):
+                    todo = edits_of(text_, tree.pop())
+                    n, n_units = tree[3:]
                     if todo:
-                        kept = CountedText.load(text_, gaps, nodes)
+                        kept = CountedText.load(text_, unpack_numbers(tree[0]), np.concatenate((unpack_numbers(tree[2]), unpack_numbers(tree[1]))))
                         units, written = kept.edit(todo, own)
-                        done.append((len(todo), n, len(gaps), units, written))
+                        done.append((len(todo), n, n_units, units, written))
                         text_, gaps, nodes = kept.store()
+                        tree = _packed(gaps, nodes)
                     else:
-                        done.append((0, n, len(gaps), 0, 0))
-                    trees.append((gaps, nodes))
+                        done.append((0, n, n_units, 0, 0))
+                    trees.append(tuple(tree))
                     after.append(text_)
                 yield _tree_rows(part.column(0).to_pylist(), after, trees, done)
                 a, size = b, 0
@@ -250,7 +266,7 @@ def _advance(batches: Iterator[pa.RecordBatch], edits_of: Callable[[bytes | None
 def edit_trees(trees: DataFrame, rule: Callable[[bytes | None], list[Edit]], tokenizer: str | None = None) -> DataFrame:
     """Kept rows after the edits that ``rule`` makes from each text, with the columns of DONE; no shuffle."""
     path = tokenizer or default_path()
-    return bounded_batches(trees).select(*[c.split()[0] for c in TREES.split(", ")]).mapInArrow(lambda b: _advance(b, lambda text, _: rule(text), path), f"{TREES}, {DONE}")
+    return bounded_batches(trees).select(*_TREE_NAMES).mapInArrow(lambda b: _advance(b, lambda text, _: rule(text), path), f"{TREES}, {DONE}")
 
 
 def apply_edits_table(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -259,8 +275,7 @@ def apply_edits_table(trees: DataFrame, edits: DataFrame, tokenizer: str | None
     ``first`` and ``last`` (exclusive) are bytes of the text as it is kept.
     """
     path = tokenizer or default_path()
-    names = [c.split()[0] for c in TREES.split(", ")]
-    kept = bounded_batches(trees).select(*names)
+    kept = bounded_batches(trees).select(*_TREE_NAMES)
     mine = edits.where("doc_id is not null and first is not null and last is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.coalesce("new", F.lit("")).cast("binary").alias("new")))).alias("edits"))
     mine = materialize(mine, "edits")
     may = F.coalesce(key_filter(mine, "doc_id")(F.col("doc_id")), F.lit(False))
@@ -268,7 +283,7 @@ def apply_edits_table(trees: DataFrame, edits: DataFrame, tokenizer: str | None
     def listed(text: bytes | None, more: list | None) -> list[Edit]:
         return [(e["first"], e["last"], e["new"]) for e in more or []]
 
-    touched = kept.where(may).join(mine, "doc_id", "left").select(*names, "edits")
+    touched = kept.where(may).join(mine, "doc_id", "left").select(*_TREE_NAMES, "edits")
     rest = kept.where(~may).withColumn("edits", F.lit(None).cast(mine.schema["edits"].dataType))
     return touched.unionByName(rest).mapInArrow(lambda b: _advance(b, listed, path), f"{TREES}, {DONE}")
 
