@@ -1,24 +1,32 @@
 """Exact self join of documents on the Jaccard similarity of their word shingles, up to connected groups.
 
 1. One scan makes each document's set of 64-bit shingle hashes.  Equal sets become one class by a 128-bit fingerprint,
-   so copies, however many, cost one row each from here on.  The same scan reports shingles that are frequent among
-   the classes of a task; together they give a table of fixed size that ranks shingles by how common they are.
+   so copies, however many, cost one row each from here on.  A class goes by the first half of its fingerprint, those
+   few whose first halves agree by the second one.  The same scan reports shingles that are frequent among the classes
+   of a task; together they give a table that ranks shingles by how common they are.
 2. All sets share one order: rare shingles first by that table, then by hash.  Classes that can reach the threshold
    share s shingles among their first n - ceil(t n) + s, for any s up to what they must share; s grows with n.  The order
    keeps common passages out of these prefixes.  In the list of a prefix shingle each class meets the ``NEAR`` classes
    before it, and pairs that meet often enough are candidates; a longer list connects all its classes through its first
-   one instead.  So a list gives at most NEAR edges for each of its entries, never all pairs, and loses none.
-3. Each connected group of candidates is one unit of the exact join, cut into blocks of bounded size if it is large;
-   pairs of blocks whose set sizes cannot match are skipped.  In a block pair, index lists hold (set, position) in
-   order of size; a probe skips the blocks of a list whose best possible overlap, by position and size, is too
-   small.  What has been computed for a similar set is used again: Jaccard distance is a metric, so with the distances
-   of two sets to a third known, most pairs need no intersection, neither to be refused nor to be accepted.
+   one instead.  So a list gives at most NEAR edges for each of its entries, never all pairs, and loses none.  The list
+   of a shingle that the table calls common is dealt to parts of about ``PART`` classes each, which are connected
+   through their first ones, so neither a task nor a class has a whole long list.
+3. Each connected group of candidates is one unit of the exact join.  A group that is too large for one is dealt to
+   blocks of bounded size, by size class and hash, without a sort of the group; only blocks of the same or of
+   neighbouring size classes can hold linked sets.  First each block is joined with itself and with the next one; pairs
+   of blocks whose sets are all in one component by then, such as those of a large group of near copies, need no more,
+   and only the other pairs are joined.  In a unit, index lists hold (set, position) in order of size; a probe skips the
+   blocks of a list whose best possible overlap, by position and size, is too small.  What has been computed for a
+   similar set is used again: Jaccard distance is a metric, so with the distances of two sets to a third known, most
+   pairs need no intersection, neither to be refused nor to be accepted.
 4. Links found give the final components over classes; every document gets the smallest id of its component.
 
-Any order gives the exact result; the table only makes it fast.  Hashes of different shingles agree with probability
-2**-64.  Defined results: a null or empty text has an empty set, is linked with nothing and is its own component; a
-text of fewer words than a shingle has one element.  Repeated rows are copies.  A null id takes part; a component of
-null ids alone has a null component id.  Other columns are neither read nor returned.
+The tables that are broadcast grow with the number of classes up to a bound (``MOST_SLOTS``, and that of a key filter);
+beyond it more candidates come up, and none is lost.  Any order gives the exact result; the table only makes it fast.
+Hashes of different shingles agree with probability 2**-64.  Defined results: a null or empty text has an empty set, is
+linked with nothing and is its own component; a text of fewer words than a shingle has one element.  Repeated rows are
+copies.  A null id takes part; a component of null ids alone has a null component id.  Other columns are neither read
+nor returned.
 """
 
 from __future__ import annotations
@@ -32,21 +40,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lucidframe.llm.components import connected_components
-from lucidframe.llm.hashing import mix, run_hashes
+from lucidframe.llm.hashing import key_filter, mix, run_hashes
 from lucidframe.llm.text import bounded_batches, narrow, slices, table
-from lucidframe.session import materialize
+from lucidframe.session import materialize, release
 
 WORDS, PERCENT = 5, 75
-#: Slots of the table of common shingles; its size does not depend on the corpus.
-SLOTS = 1 << 20
+#: Slots of the table of common shingles, a byte each: about four for each class, within these bounds (1 and 64 MB).
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
 #: A shingle is reported by a task if this many of its classes have it, and ranked if all tasks report this many.
 LOCAL, COMMON = 2, 8
 #: Shingles that a task counts at once.
 COUNTED = 2_000_000
 #: Shingles in a block of the exact join, each set counted with 500 more.
 BLOCK = 250_000
-#: Bits of the filter that keeps texts without a candidate out of the shuffle; its size does not depend on the corpus.
-FILTER_BITS = 1 << 21
+#: Classes in a part of a long list, about.
+PART = 64
 #: Prefix shingles that a candidate pair shares, at least and in percent of its set, and classes met in a list.
 SHARED, SHARED_PERCENT, NEAR = 6, 3, 16
 #: The weight of an edge that needs no count.
@@ -89,14 +97,31 @@ def shingle_sets(texts: list[bytes | None], k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit numbers of a set, as signed ones."""
+def fingerprint(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit numbers of a set, as signed ones; of the first one, ``bits`` bits are used."""
     two = np.array([s.sum(), mix(s ^ _SALT).sum()], np.uint64)
     two = mix(two + np.array([len(s), 3 * len(s) + 1], np.uint64)).view(np.int64)
-    return int(two[0]), int(two[1])
+    return int(two[0]) >> (64 - bits), int(two[1])
 
 
-def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+class Classes:
+    """Names of classes: the first half of the fingerprint, or the second where ``shared`` has the first."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = bits, shared
+
+    def print(self, s: np.ndarray) -> tuple[int, int]:
+        return fingerprint(s, self.bits)
+
+    def name(self, s: np.ndarray) -> int:
+        first, second = self.print(s)
+        return second if first in self.shared else first
+
+    def column(self) -> Column:
+        return F.when(F.col("f1").isin(list(self.shared)), F.col("f2")).otherwise(F.col("f1")) if self.shared else F.col("f1")
+
+
+def describe(batches: Iterator[pa.RecordBatch], k: int, named: Classes) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0) and of shingles that are frequent in this task (kind 1: hash in f1, count in n)."""
     names = ["kind", "doc_id", "n", "f1", "f2"]
 
@@ -113,7 +138,7 @@ def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     held, size, seen = [], 0, set()
     for ids, texts in slices(batches):
         sets = shingle_sets(texts, k)
-        prints = [fingerprint(s) if len(s) else (0, 0) for s in sets]
+        prints = [named.print(s) if len(s) else (0, 0) for s in sets]
         yield rows(0, ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints])
         for s, p in zip(sets, prints):
             if len(s) and p not in seen:
@@ -127,21 +152,24 @@ def describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield frequent(held)
 
 
-def rank_table(counts: DataFrame) -> np.ndarray:
-    """One byte for each slot: how common the most common shingle in it is, in powers of two.  SLOTS rows at most.
+def rank_table(counts: DataFrame, slots: int) -> np.ndarray:
+    """One byte for each slot: how common the most common shingle in it is, in powers of two.
 
     ``counts`` has shingles (f1) and numbers of classes (n); the rare ones among them are left at rank 0.
     """
-    slots = counts.where(F.col("n") >= COMMON).groupBy(F.expr(f"f1 & {SLOTS - 1}").alias("slot")).agg(F.max("n").alias("n"))
-    got = slots.toArrow()
-    ranks = np.zeros(SLOTS, np.uint8)
+    got = counts.where(F.col("n") >= COMMON).groupBy(F.expr(f"f1 & {slots - 1}").alias("slot")).agg(F.max("n").alias("n")).toArrow()
+    ranks = np.zeros(slots, np.uint8)
     ranks[got["slot"].to_numpy()] = np.log2(np.maximum(got["n"].to_numpy(), 1)).astype(np.uint8)
     return ranks
 
 
+def ranks_of(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    return ranks[(s & np.uint64(len(ranks) - 1)).astype(np.int64)]
+
+
 def in_order(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set in the order that all sets share: by rank, then by hash."""
-    r = ranks[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    r = ranks_of(s, ranks)
     return s[np.argsort(r, kind="stable")] if r.any() else s
 
 
@@ -155,15 +183,16 @@ def prefix_length(n: int, percent: int, shared: int = 1) -> int:
     return n - -(-percent * n // 100) + shared
 
 
-def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, percent: int, more: int = 0) -> Iterator[pa.RecordBatch]:
-    """(shingle, class) for the prefix of every class, once per task, and for ``more`` percent of the set after it."""
+def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, percent: int, named: Classes, more: int = 0) -> Iterator[pa.RecordBatch]:
+    """(shingle, part of its list, class) for the prefix of every class, once per task, and for ``more`` percent of the
+    set after it.  Lists of shingles that are not common have one part, -1."""
     seen: set = set()
     for _, texts in slices(batches):
         tokens, classes = [], []
         for s in shingle_sets(texts, k):
             if not len(s):
                 continue
-            p = fingerprint(s)
+            p = named.print(s)
             if p in seen:
                 continue
             if len(seen) < COUNTED:
@@ -171,9 +200,12 @@ def prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, k: int, perce
             n = len(s)
             head = in_order(s, ranks)[: prefix_length(n, percent, shared_of(n, percent)) + n * more // 100]
             tokens.append(head)
-            classes.append(np.full(len(head), p[0], np.int64))
+            classes.append(np.full(len(head), named.name(s), np.int64))
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "cls"])
+            token, cls = np.concatenate(tokens), np.concatenate(classes)
+            parts = np.left_shift(np.uint64(1), np.maximum(ranks_of(token, ranks).astype(np.int64) - PART.bit_length() + 1, 0).astype(np.uint64))
+            part = np.where(parts > 1, (mix(cls.view(np.uint64)) & (parts - np.uint64(1))).astype(np.int64), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part), pa.array(cls)], ["token", "part", "cls"])
 
 
 class Forest:
@@ -195,9 +227,6 @@ class Forest:
 def join_sets(sets: list[np.ndarray], percent: int = PERCENT, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets.  With ``sides``, only pairs of different sides are compared."""
     m = len(sets)
-    if m == 2:
-        same = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * same >= percent * (len(sets[0]) + len(sets[1]) - same) else []
     every, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((every, count))
     place = np.empty(len(every), np.int64)
@@ -271,7 +300,7 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT, sides: list[int] |
     return links
 
 
-def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int, named: Classes) -> Iterator[pa.RecordBatch]:
     """Links of each unit (comp, i, j); the rows come sorted by unit."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -279,7 +308,7 @@ def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
         sets = shingle_sets([r[5] for r in rows], k)
         kept = {}
         for r, s in zip(rows, sets):
-            if len(s) and fingerprint(s)[0] == r[4]:  # a repeated id may have another text
+            if len(s) and named.name(s) == r[4]:  # a repeated id may have another text
                 kept.setdefault(r[4], (s, r[3]))
         if len(kept) < 2:
             return []
@@ -301,95 +330,147 @@ def join_units(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
-def nameless(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def nameless(batches: Iterator[pa.RecordBatch], k: int, named: Classes) -> Iterator[pa.RecordBatch]:
     """(class, text) of rows without an id, each class once per task."""
     seen: set = set()
     for _, texts in slices(batches):
         classes, kept = [], []
         for t, s in zip(texts, shingle_sets(texts, k)):
-            if len(s) and (p := fingerprint(s)) not in seen:
+            if len(s) and (name := named.name(s)) not in seen:
                 if len(seen) < COUNTED:
-                    seen.add(p)
-                classes.append(p[0])
+                    seen.add(name)
+                classes.append(name)
                 kept.append(t)
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["cls", "text"])
 
 
-def id_filter(placed: DataFrame) -> Column:
-    """Whether an id may be one of ``rep``: a bit table of fixed size, so texts of other documents are not shuffled."""
-    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    rows = placed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    table_ = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    return F.getbit(F.get(table_, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+def candidate_edges(postings: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes out of the lists (token, part, cls); ``sizes`` has cls and n."""
+    by = Window.partitionBy("token", "part").orderBy("cls")
+    beside = postings.select("token", "part", "cls", F.lag("cls").over(by).alias("before"), F.lead("cls").over(by).alias("after"))
+    lists = beside.where("not (before <=> cls) and (part >= 0 or before is not null or after is not null)").select(
+        "token",
+        "part",
+        "cls",
+        F.count("*").over(Window.partitionBy("token", "part")).alias("size"),
+        F.first("cls").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+        F.collect_list("cls").over(by.rowsBetween(-NEAR, -1)).alias("near"),
+    )
+    short = (F.col("size") <= NEAR + 1) & (F.col("part") < 0)
+    opens = (F.col("part") >= 0) & (F.col("cls") == F.col("first"))  # the first one of a part meets itself, and keeps the shingle
+    near = F.when(short, F.col("near")).otherwise(F.array("first"))
+    one = F.when(short, F.lit(1).cast("long")).otherwise(SURE).alias("one")
+    met = lists.where(opens | (F.col("cls") != F.col("first"))).select(F.explode(near).alias("a"), F.col("cls").alias("b"), F.when(opens, F.col("token")).alias("token"), one)
+    often = materialize(met.groupBy("a", "b", "token").agg(F.sum("one").alias("n_shared")), "often")
+    tops = often.where("token is not null").select(F.min("b").over(Window.partitionBy("token")).alias("a"), "b").where("a <> b").distinct()
+    often = often.where("token is null").select("a", "b", "n_shared").unionByName(tops.withColumn("n_shared", F.lit(SURE).cast("long")))
+    must = lambda c: F.least(F.greatest(F.lit(SHARED), F.floor(F.col(c) * SHARED_PERCENT / 100)), F.ceil(F.col(c) * percent / 100))
+    return (
+        often.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
+        .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+        .where((F.col("n_shared") >= SURE) | (F.col("n_shared") >= F.least(must("na"), must("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+        .select("a", "b")
+    )
+
 
+def place_blocks(sized: DataFrame, percent: int) -> DataFrame:
+    """``sized`` (comp, v, n, rep) with the size class and the number of each row's block.
 
-def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    A group that fits into a block is one, of size class -1.  Sets of one size class, or of neighbouring ones, can be
+    linked; others cannot.
+    """
+    step = np.log(100 / percent) if percent < 100 else 1e-9
+    weight = F.sum(F.col("n") + 500).alias("weight")
+    classed = sized.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(step)).cast("long"))
+    weights = materialize(classed.groupBy("comp", "size_class").agg(weight), "weights")
+    large = weights.groupBy("comp").agg(F.sum("weight").alias("whole")).where(F.col("whole") > BLOCK)
+    parts = weights.join(large, "comp").select("comp", "size_class", F.ceil(F.col("weight") / BLOCK).alias("parts"))
+    placed = classed.join(parts, ["comp", "size_class"], "left")  # a large group is split by the skew join
+    placed = placed.withColumn("block", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), "parts")).cast("long"))
+    return placed.withColumn("size_class", F.when(F.col("parts").isNull(), -1).otherwise(F.col("size_class")).cast("long")).drop("parts")
+
+
+def block_pairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (comp, i, j) to be joined first, and all others; ``blocks`` has comp and the struct ``i`` (size class, block)."""
+    after = blocks.withColumn("j", F.lead("i").over(Window.partitionBy("comp").orderBy("i")))
+    first = blocks.select("comp", "i", F.col("i").alias("j")).unionByName(after.where("j is not null and j.size_class - i.size_class <= 1"))
+    large = after.where("i.size_class >= 0").select("comp", "i", F.col("j").alias("next"))
+    other = blocks.where("i.size_class >= 0").select("comp", F.col("i").alias("j"))
+    rest = large.join(other, "comp").where("j > i and j.size_class - i.size_class <= 1 and not (j <=> next)").select("comp", "i", "j")
+    return first, rest
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, f1, f2), and their classes (f1, f2, n, rep, comp, component_id); ``rep`` is a class's
     smallest id and ``comp`` a name of the component that does not need one."""
     docs = narrow(df, id_col, text_col)
-    spark = df.sparkSession
-    found = materialize(docs.mapInArrow(lambda b: describe(b, k), "kind int, doc_id long, n long, f1 long, f2 long"), "described")
+    context = df.sparkSession.sparkContext
+    plain = Classes(bits)
+    found = materialize(docs.mapInArrow(lambda b: describe(b, k, plain), "kind int, doc_id long, n long, f1 long, f2 long"), "described")
     members = found.where("kind = 0").select("doc_id", "n", "f1", "f2")
     classes = materialize(members.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    twice = classes.groupBy("f1").count().where("count > 1").select("f1")  # next to none: half of 128 bits agree
+    named = Classes(bits, frozenset(r.f1 for r in twice.collect()))
+    sizes = classes.select(named.column().alias("cls"), "n", "rep")
+    if named.shared and not sizes.groupBy("cls").count().where("count > 1").isEmpty():
+        raise ValueError("two classes of one name")
     # a first table from what each task has seen, a second one from the prefixes that the first one gives
-    local = rank_table(found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")))
-    first = spark.sparkContext.broadcast(local)
-    counted = docs.mapInArrow(lambda b: prefixes(b, first.value, k, percent, 10), "token long, cls long")
-    ranks = spark.sparkContext.broadcast(np.maximum(local, rank_table(counted.groupBy(F.col("token").alias("f1")).agg(F.count("*").alias("n")))))
-
-    postings = docs.mapInArrow(lambda b: prefixes(b, ranks.value, k, percent), "token long, cls long")
-    by = Window.partitionBy("token").orderBy("cls")
-    beside = postings.select("token", "cls", F.lag("cls").over(by).alias("before"), F.lead("cls").over(by).alias("after"))
-    lists = beside.where("not (before <=> cls) and (before is not null or after is not null)").select(
-        "cls",
-        F.count("*").over(Window.partitionBy("token")).alias("size"),
-        F.first("cls").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        F.collect_list("cls").over(by.rowsBetween(-NEAR, -1)).alias("near"),
-    )
-    short = F.col("size") <= NEAR + 1
-    met = lists.where("cls <> first").select(F.explode(F.when(short, F.col("near")).otherwise(F.array("first"))).alias("a"), F.col("cls").alias("b"), F.when(short, F.lit(1).cast("long")).otherwise(SURE).alias("one"))
-    often = materialize(met.groupBy("a", "b").agg(F.sum("one").alias("n_shared")), "often")
-    sizes = classes.groupBy("f1").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    must = lambda c: F.least(F.greatest(F.lit(SHARED), F.floor(F.col(c) * SHARED_PERCENT / 100)), F.ceil(F.col(c) * percent / 100))
-    edges = (
-        often.join(sizes.select(F.col("f1").alias("a"), F.col("n").alias("na"), F.col("least").alias("la")), "a")
-        .join(sizes.select(F.col("f1").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb")), "b")
-        .where((F.col("n_shared") >= SURE) | (F.col("n_shared") >= F.least(must("la"), must("lb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("la", "lb")))
-        .select("a", "b")
-    )
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (4 * classes.count()).bit_length()))
+    local = rank_table(found.where("kind = 1").groupBy("f1").agg(F.sum("n").alias("n")), slots)
+    rows = "token long, part long, cls long"
+    first = context.broadcast(local)
+    counted = docs.mapInArrow(lambda b: prefixes(b, first.value, k, percent, named, 10), rows)
+    ranks = context.broadcast(np.maximum(local, rank_table(counted.groupBy(F.col("token").alias("f1")).agg(F.count("*").alias("n")), slots)))
+    first.destroy()
+    postings = docs.mapInArrow(lambda b: prefixes(b, ranks.value, k, percent, named), rows)
+    edges = materialize(candidate_edges(postings, sizes, percent), "edges")
+    ranks.destroy()
     groups = connected_components(edges)
-
-    # blocks of a group: sets in order of size, a bounded number of shingles in each
-    sized = groups.join(classes.select(F.col("f1").alias("v"), "n", "rep"), "v")
-    upto = Window.partitionBy("comp").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("block", F.floor((F.sum(F.col("n") + 500).over(upto) - F.col("n") - 500) / BLOCK).cast("int"))
-    placed = materialize(placed, "placed")
-    bounds = placed.groupBy("comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = bounds.alias("x").join(bounds.alias("y"), F.col("x.comp") == F.col("y.comp")).where("x.block <= y.block and 100 * x.hi >= %d * y.lo" % percent)
-    pairs = pairs.select(F.col("x.comp").alias("comp"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    units = placed.join(sides, ["comp", "block"]).select("comp", "i", "j", "block", F.col("v").alias("cls"), F.col("rep").alias("doc_id"))
-    texts = units.join(docs.where("doc_id is not null and text is not null").where(id_filter(placed)), "doc_id").select("comp", "i", "j", "block", "cls", "text")
-    # classes of rows without an id bring their texts by class
-    unnamed = docs.where("doc_id is null and text is not null").mapInArrow(lambda b: nameless(b, k), "cls long, text string").dropDuplicates(["cls"])
-    texts = texts.unionByName(units.where("doc_id is null").join(unnamed, "cls").select("comp", "i", "j", "block", "cls", "text"))
-    dealt = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
-    links = dealt.mapInArrow(lambda b: join_units(b, k, percent), "a long, b long")
+    release(edges)
+
+    placed = materialize(place_blocks(groups.join(sizes.withColumnRenamed("cls", "v"), "v"), percent).select("comp", F.struct("size_class", "block").alias("block"), "v", "rep"), "placed")
+    release(groups)
+    pairs, rest = block_pairs(placed.select("comp", F.col("block").alias("i")).distinct())
+    may = F.coalesce(key_filter(placed, "rep")(F.col("doc_id")), F.lit(False))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+        units = placed.join(sides, ["comp", "block"]).select("comp", "i", "j", "block", F.col("v").alias("cls"), F.col("rep").alias("doc_id"))
+        texts = units.join(docs.where("text is not null").where(may), "doc_id").select("comp", "i", "j", "block", "cls", "text")
+        # classes of rows without an id bring their texts by class
+        unnamed = docs.where("doc_id is null and text is not null").mapInArrow(lambda b: nameless(b, k, named), "cls long, text string").dropDuplicates(["cls"])
+        texts = texts.unionByName(units.where("doc_id is null").join(unnamed, "cls").select("comp", "i", "j", "block", "cls", "text"))
+        number = lambda c: (F.col(c)["size_class"] * (1 << 40) + F.col(c)["block"]).alias(c)
+        dealt = texts.select("comp", number("i"), number("j"), number("block"), "cls", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls")
+        return materialize(dealt.mapInArrow(lambda b: join_units(b, k, percent, named), "a long, b long"), "links")
+
+    links = links_of(pairs)
     linked = connected_components(links)
-
-    least = materialize(classes.join(linked.withColumnRenamed("v", "f1"), "f1").select("f1", "f2", "n", "rep", "comp"), "linked")
+    if not rest.isEmpty():
+        # pairs of blocks that are one component by now need no join
+        now = placed.join(linked.withColumnRenamed("comp", "c"), "v", "left").groupBy("comp", "block").agg(F.min(F.coalesce("c", "v")).alias("lo"), F.max(F.coalesce("c", "v")).alias("hi"))
+        now = materialize(now, "now")
+        side = lambda c: now.select("comp", F.col("block").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi"))
+        open_ = materialize(rest.join(side("i"), ["comp", "i"]).join(side("j"), ["comp", "j"]).where("not (i_lo = i_hi and j_lo = j_hi and i_lo = j_lo)").select("comp", "i", "j"), "open")
+        if not open_.isEmpty():
+            more = links_of(open_)
+            release(linked)
+            linked = connected_components(links.unionByName(more))
+            release(more)
+        release(now, open_)
+    release(links, placed)
+
+    least = materialize(classes.withColumn("v", named.column()).join(linked, "v").select("f1", "f2", "n", "rep", "comp"), "linked")
     smallest = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = classes.join(least.join(smallest, "comp").select("f1", "f2", "n", "comp", "component_id"), ["f1", "f2", "n"], "left")
-    named = materialize(named.select("f1", "f2", "n", "rep", F.coalesce("comp", "f1").alias("comp"), F.coalesce("component_id", "rep").alias("component_id")), "named")
-    return members, named
+    all_named = classes.withColumn("v", named.column()).join(least.join(smallest, "comp").select("f1", "f2", "n", "comp", "component_id"), ["f1", "f2", "n"], "left")
+    out = materialize(all_named.select("f1", "f2", "n", "rep", F.coalesce("comp", "v").alias("comp"), F.coalesce("component_id", "rep").alias("component_id")), "named")
+    release(linked, least, classes)
+    return members, out
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    members, named = _components(df, id_col, text_col, k, percent)
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.  ``bits``: of the first half of a class's name."""
+    members, named = _components(df, id_col, text_col, k, percent, bits)
     return members.join(named.drop("rep", "comp"), ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

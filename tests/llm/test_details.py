@@ -8,12 +8,13 @@ import time
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lucidframe.llm import decontaminate, edit_counts, hashing, personal_data, url_filter, warc
+from lucidframe.llm import components, decontaminate, edit_counts, hashing, ngram_join, personal_data, url_filter, warc
 from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
@@ -231,3 +232,64 @@ def test_pages_are_not_shuffled(spark):
     sure, unsure = warc.response_parts(pages, digests, repeats)
     assert sure.count() > 1300 and "Exchange" not in sure._jdf.queryExecution().executedPlan().toString()
     assert sure.count() + unsure.count() == 1500
+
+
+# 8 ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ids", ["up", "down", "mixed"])
+def test_chains_are_few_rounds(spark, monkeypatch, ids):
+    """A chain of any numbering, a star and a loose pair."""
+    n = 400
+    name = {"up": lambda i: i, "down": lambda i: -i, "mixed": lambda i: (i * 7919) % 1009}[ids]
+    edges = [(name(i), name(i + 1)) for i in range(n)] + [(5000, 5000 + i) for i in range(1, 60)] + [(9001, 9000), (7, 7) if ids == "up" else (9000, 9001)]
+    rounds = []
+    real = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, what: rounds.append(what) or real(df, what))
+    got = {r.v: r.comp for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = [{name(i) for i in range(n + 1)}, set(range(5000, 5060)), {9000, 9001}]
+    assert len(got) == sum(map(len, want)) and all(len({got[v] for v in group}) == 1 and got[next(iter(group))] in group for group in want)
+    assert rounds.count("low") <= 25
+
+
+def similar(r, base, n, edits):
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_long_lists_and_large_groups(spark, monkeypatch):
+    """Lists in parts, groups in blocks with one and with several components, and class names that agree by half."""
+    from test_operators import brute_components
+
+    r = random.Random(17)
+    passage = [f"p{i}" for i in range(40)]
+    texts = similar(r, passage + [f"x{i}" for i in range(20)], 150, 1)
+    texts += [" ".join([*passage, *(f"y{j}.{i}" for i in range(r.choice((2, 8, 30))))]) for j in range(120)]  # one passage, many components
+    texts += similar(r, [f"z{i}" for i in range(80)], 80, 3)
+    n, want = brute_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for block, bits in ((ngram_join.BLOCK, 64), (6000, 64), (6000, 6)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(docs, bits=bits).collect()}
+        assert [got[i] for i in range(len(texts))] == list(zip(n, want)), (block, bits)
+
+
+def test_parts_of_long_lists(spark):
+    """Candidates out of lists in parts hold every pair that shares the shingle, through other classes at least."""
+    ranks = np.full(1 << 4, 10, np.uint8)
+    texts = [" ".join([*"abcdefghij", f"u{i}", f"v{i}"]).encode() for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    out = pa.Table.from_batches(list(ngram_join.prefixes(iter([batch]), ranks, 5, 75, ngram_join.Classes()))).to_pandas()
+    assert out.part.nunique() == 16 and (out.groupby("cls").part.nunique() == 1).all()
+    postings = spark.createDataFrame(out)
+    sizes = spark.createDataFrame([(int(c), 8) for c in out.cls.unique()], "cls long, n long")
+    edges = ngram_join.candidate_edges(postings, sizes, 75)
+    degree = max(x["count"] for x in edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count().collect())
+    labels = {x.v: x.comp for x in components.connected_components(edges).collect()}
+    assert degree < 250
+    assert all(len({labels[c] for c in group}) == 1 for _, group in out.groupby("token").cls if len(group) > 1)
