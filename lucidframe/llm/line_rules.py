@@ -73,7 +73,9 @@ def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost")
+    """The contract's columns, the words lost, and a digest of the cleaned text."""
+    judged = line_quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
 
 
 _R = LineRules()
@@ -84,17 +86,17 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
 ), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
 ), rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM twice, range(0, 3) r(k)) GROUP BY doc_id
-), lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d
+), lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d
 ), judged AS (
-  SELECT doc_id, l, len(regexp_extract_all(l, '{_W}')) AS n, len(regexp_extract_all(l, '[#*$%&<>]+')) AS s, len(regexp_extract_all(l, '[!?]{{2,}}')) AS m, len(regexp_extract_all(l, '[|»›>]')) AS b FROM lines
+  SELECT doc_id, l, k, len(regexp_extract_all(l, '{_W}')) AS n, len(regexp_extract_all(l, '[#*$%&<>]+')) AS s, len(regexp_extract_all(l, '[!?]{{2,}}')) AS m, len(regexp_extract_all(l, '[|»›>]')) AS b FROM lines
+), failing AS (
+  SELECT *, 100 * s > {_R.symbols} * n OR 100 * m > {_R.marks} * n OR (b >= {_R.min_bars} AND 100 * b > {_R.bars} * n) OR regexp_matches(lower(l), '{"|".join(BOILERPLATE)}') AS fails FROM judged WHERE n > 0
 ), per AS (
-  SELECT doc_id, count(*) - count(DISTINCT l) AS dup,
-    coalesce(sum(n) FILTER (100 * s > {_R.symbols} * n OR 100 * m > {_R.marks} * n OR (b >= {_R.min_bars} AND 100 * b > {_R.bars} * n) OR regexp_matches(lower(l), '{"|".join(BOILERPLATE)}')), 0) AS lost
-  FROM judged WHERE n > 0 GROUP BY doc_id
+  SELECT doc_id, count(*) - count(DISTINCT l) AS dup, coalesce(sum(n) FILTER (fails), 0) AS lost, coalesce(string_agg(l, chr(10) ORDER BY k) FILTER (NOT fails), '') AS clean FROM failing GROUP BY doc_id
 ), f AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    CAST(coalesce(lost, 0) AS BIGINT) AS n_lost
+    CAST(coalesce(lost, 0) AS BIGINT) AS n_lost, md5(coalesce(clean, '')) AS clean_md5
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id
 )
 SELECT *, (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeated} * n_words) AS base_failed,
