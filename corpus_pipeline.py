@@ -35,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark phrases are cut out of the texts; a document that has nothing else goes."""
-    left = remove_phrases(docs.withColumn("had_text", F.length(F.trim("text")) > 0), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    left = left.where("not coalesce(had_text, false) or length(trim(text)) > 0").drop("had_text")
+    """Benchmark phrases are cut out of the texts; a document that has nothing else but white space goes."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = remove_phrases(docs.withColumn("had_text", worded), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    left = left.where(~F.col("had_text") | worded).drop("had_text")
     return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
