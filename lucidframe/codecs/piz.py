@@ -21,6 +21,12 @@ def _planes(words: np.ndarray, lines: int, width: int, sizes: list[int]) -> list
 
 def encode(data: bytes, lines: int, width: int, sizes: list[int]) -> bytes:
     """``sizes``: 16-bit words of a sample, 1 for halves and 2 for others."""
+    return encode_planes(data, _planes(np.frombuffer(data, "<u2"), lines, width, sizes))
+
+
+def encode_planes(data: bytes, planes: list[np.ndarray]) -> bytes:
+    """``planes``: (lines, width, words of a sample) of each channel, which may differ in size; ``data`` are the same
+    words as they are stored without coding."""
     words = np.frombuffer(data, "<u2")
     kinds = np.unique(words)
     used = kinds[kinds != 0]
@@ -32,9 +38,11 @@ def encode(data: bytes, lines: int, width: int, sizes: list[int]) -> bytes:
     filled = np.flatnonzero(bitmap)
     low, high = (int(filled[0]), int(filled[-1])) if len(filled) else (BITMAP - 1, 0)
     coded = []
-    for plane in _planes(np.searchsorted(values, words).astype(np.uint16), lines, width, sizes):
-        c = np.stack([wavelet.encode(plane[:, :, j], largest) for j in range(plane.shape[2])], axis=2)
-        coded.append(c.ravel())
+    for plane in planes:
+        if plane.size:
+            plane = np.searchsorted(values, plane).astype(np.uint16)
+            c = np.stack([wavelet.encode(plane[:, :, j], largest) for j in range(plane.shape[2])], axis=2)
+            coded.append(c.ravel())
     body = huffman.encode(np.concatenate(coded)) if coded else b""
     out = struct.pack("<HH", low, high) + (bitmap[low : high + 1].tobytes() if low <= high else b"") + struct.pack("<i", len(body)) + body
     return out if len(out) < len(data) else data
@@ -43,6 +51,11 @@ def encode(data: bytes, lines: int, width: int, sizes: list[int]) -> bytes:
 def decode(block: bytes, size: int, lines: int, width: int, sizes: list[int]) -> bytes:
     if len(block) == size:
         return block
+    return np.concatenate([p.reshape(lines, -1) for p in decode_planes(block, [(lines, width, s) for s in sizes])], axis=1).astype("<u2").tobytes()
+
+
+def decode_planes(block: bytes, shapes: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """The words of each channel, whose (lines, width, words of a sample) may differ."""
     if len(block) < 8:
         raise CorruptBlock("a wavelet block is too short")
     low, high = struct.unpack_from("<HH", block)
@@ -67,11 +80,11 @@ def decode(block: bytes, size: int, lines: int, width: int, sizes: list[int]) ->
     (length,) = struct.unpack_from("<i", block, at)
     if length < 0 or at + 4 + length > len(block):
         raise CorruptBlock("a wavelet block is cut short")
-    words = huffman.decode(block[at + 4 : at + 4 + length], size // 2)
+    words = huffman.decode(block[at + 4 : at + 4 + length], sum(a * b * s for a, b, s in shapes))
     planes, a = [], 0
-    for s in sizes:
+    for lines, width, s in shapes:
         n = lines * width * s
         c = words[a : a + n].reshape(lines, width, s)
-        planes.append(np.stack([wavelet.decode(c[:, :, j], largest) for j in range(s)], axis=2).reshape(lines, width * s))
+        planes.append(lut[np.stack([wavelet.decode(c[:, :, j], largest) for j in range(s)], axis=2)] if n else c)
         a += n
-    return lut[np.concatenate(planes, axis=1)].astype("<u2").tobytes()
+    return planes

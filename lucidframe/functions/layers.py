@@ -30,6 +30,14 @@ def in_layer(name: Column, layer: Column) -> Column:
     return F.when(F.coalesce(layer, F.lit("")) == "", bare).otherwise(named)
 
 
+def name_in_layer(name: str, layer: str | None) -> str | None:
+    """What ``in_layer`` gives, for one name."""
+    if not layer:
+        return name if "." not in name else name[1:] if name.rfind(".") == 0 else None
+    dotted = f"{layer}."
+    return name[len(dotted) :] if name.startswith(dotted) else name if dotted in name else None
+
+
 def file_extension(path: Column) -> Column:
     """What follows the last dot, or nothing."""
     return F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1)).otherwise("")

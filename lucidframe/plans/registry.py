@@ -499,6 +499,64 @@ def exr_rgba(spark, d):
     return frames.rgba(frames.pixels(frames.rows(frames.chunks(_files(spark, d, exr.ZIP))))).drop("part_id")
 
 
+def _layered(spark, d) -> DataFrame:
+    """A file for each 64 vectors, the four channels in the layer ``beauty`` and R again, as Z, without a layer."""
+    long = rgba(spark, d).select(F.concat(F.lit("image"), F.floor(F.col("y") / 64).cast("string")).alias("path"), F.lit(0).alias("part_id"), (F.col("y") % 64).alias("y"), "x", F.expr("stack(5, 'beauty.R', R, 'beauty.G', G, 'beauty.B', B, 'beauty.A', A, 'Z', R) as (channel, value)"))
+    return frames.encode(long, exr.ZIP, tile=(6, 20))
+
+
+_IMAGE = "'image' || CAST(y // 64 AS VARCHAR) AS path, CAST(y % 64 AS INTEGER) AS y, x"
+
+
+@query(f"WITH {SQL_RGBA} SELECT {_IMAGE}, 0 AS status, R, G, B, A FROM rgba")
+def exr_layer_rgba(spark, d):
+    return frames.load_rgba(_layered(spark, d), "beauty")
+
+
+@query(f"WITH {SQL_RGBA} SELECT {_IMAGE}, 0 AS status, R, R AS G, R AS B, R AS A FROM rgba")
+def exr_layer_single(spark, d):
+    """Outside of layers there is one channel, which fills all four."""
+    return frames.load_rgba(_layered(spark, d))
+
+
+@query("SELECT DISTINCT 'image' || CAST(vec_id // 64 AS VARCHAR) AS path, -13 AS status FROM embeddings")
+def exr_layer_absent(spark, d):
+    return frames.load_rgba(_layered(spark, d), "depth").select("path", "status")
+
+
+@query(f"WITH {SQL_RGBA} SELECT p.path, p.y, p.x, p.L, c.C FROM (SELECT {_IMAGE}, y AS row, CAST(R AS DOUBLE) AS L FROM rgba) p JOIN (SELECT y AS row, x AS col, CAST(G AS DOUBLE) AS C FROM rgba) c ON c.row = p.row // 2 * 2 AND c.col = p.x // 4 * 4")
+def exr_subsampled(spark, d):
+    """Files of a full channel and one that has each fourth column of each second line; it comes back on all pixels."""
+
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        y, x = group["y"].to_numpy(), group["x"].to_numpy()
+        planes = {}
+        for name, source in (("L", "R"), ("C", "G")):
+            planes[name] = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.float32)
+            planes[name][y, x] = group[source].to_numpy()
+        part = exr.Part([exr.Channel("C", exr.FLOAT, 4, 2), exr.Channel("L")], planes["L"].shape[1], planes["L"].shape[0], exr.PIZ)
+        return pa.table({"path": [key[0].as_py()], "content": pa.array([exr.encode_file([(part, {(0, 0): planes})])], pa.binary())})
+
+    wide = rgba(spark, d).select(F.concat(F.lit("image"), F.floor(F.col("y") / 64).cast("string")).alias("path"), (F.col("y") % 64).cast("int").alias("y"), "x", "R", "G")
+    samples = frames.pixels(frames.rows(frames.chunks(wide.groupBy("path").applyInArrow(make, "path string, content binary"))))
+    return samples.groupBy("path", "y", "x").agg(F.max(F.when(F.col("channel") == "L", F.col("value"))).alias("L"), F.max(F.when(F.col("channel") == "C", F.col("value"))).alias("C"))
+
+
+@query(f"WITH {SQL_RGBA} SELECT {_IMAGE}, 0 AS status, R, G, B, A FROM rgba")
+def exr_simple_save(spark, d):
+    """The simple save of wide pixels, loaded again."""
+    wide = rgba(spark, d).select(F.concat(F.lit("image"), F.floor(F.col("y") / 64).cast("string")).alias("path"), (F.col("y") % 64).alias("y"), "x", *"RGBA")
+    return frames.load_rgba(frames.encode_rgba(wide))
+
+
+@query(f"WITH {SQL_RGBA}, {_LONG} SELECT * FROM long")
+def exr_chunk_parallel(spark, d):
+    """Files whose chunks are made, and read, by tasks of their own."""
+    y = F.col("y")
+    long = rgba(spark, d).select(F.concat(F.lit("image"), F.floor(y / 64).cast("string")).alias("path"), F.lit(0).alias("part_id"), (y % 64).alias("y"), "x", F.expr("stack(4, 'R', R, 'G', G, 'B', B, 'A', A) as (channel, value)"))
+    return frames.pixels(frames.rows(frames.chunks(frames.encode(long, exr.PIZ, spread=True)), spread=True)).select("path", "y", "x", "channel", "value")
+
+
 @query("""WITH n AS (SELECT vec_id // 64 AS k, count(*) AS n FROM embeddings GROUP BY k) SELECT 'image' || CAST(k AS VARCHAR) AS path, 0 AS part_id, 0 AS status, 3 AS compression, CAST(n AS INTEGER) AS height, 16 AS width, 4 AS n_channels, CAST(ceil(n / 16) AS INTEGER) AS chunk_count FROM n""")
 def exr_headers(spark, d):
     p = frames.parts(_files(spark, d, exr.ZIP))

@@ -1,21 +1,24 @@
-"""The format as a Python data source: ``spark.read.format("exr").load(path)``.
-
-Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; deep parts have no pixels and are left out; ``channels``
-prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and ``y`` (bounds like 5:7) prune chunks; whole
-chunks come back, so an exact bound on lines is a filter besides.  Spark keeps what a filter once pushed into a Python
-reader for later scans of the same DataFrame, so pruning goes by options and not by pushed filters.  For folders that are mounted on every executor;
-``frames.read`` serves any other store.
+"""The format as a Python data source: ``spark.read.format("exr").load(path)``, ``files.write.format("exr").save(path)``.
+
+Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; deep parts
+have no pixels and are left out; ``channels`` prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and
+``y`` (bounds like 5:7) prune chunks; whole chunks come back, so an exact bound on lines is a filter besides.  Spark
+keeps what a filter once pushed into a Python reader for later scans of the same DataFrame, so pruning goes by options
+and not by pushed filters.  Files are written by their tasks and get their names when all tasks are done.  For folders
+that are mounted on every executor; ``frames.read`` and ``frames.save_files`` serve any other store.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from lucidframe.sources.exr import format as f
 
@@ -44,6 +47,9 @@ class ExrSource(DataSource):
     def reader(self, schema) -> ExrReader:
         return ExrReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> ExrWriter:
+        return ExrWriter(schema, self.options, overwrite)
+
 
 class ExrReader(DataSourceReader):
     def __init__(self, options):
@@ -126,10 +132,10 @@ class ExrReader(DataSourceReader):
             for offset, size in partition.ranges:
                 file.seek(offset)
                 chunk = f.parse_chunk(file.read(size), p, partition.part_id, bool(version["multipart"]))
-                x, y, w, lines = f.chunk_shape(p, chunk)
-                for name, plane in f.decode_chunk(p, chunk).items():
+                x, _, w, _ = f.chunk_shape(p, chunk)
+                for name, (y, plane) in f.decode_chunk(p, chunk).items():
                     if self.channels is None or name in self.channels:
-                        kind = next(c.pixel_type for c in p.channels if c.name == name)
+                        kind, lines = next(c.pixel_type for c in p.channels if c.name == name), len(plane)
                         m = w * lines
                         i32 = lambda v, m=m: pa.array(np.full(m, v, np.int32))
                         yield pa.RecordBatch.from_arrays(
@@ -138,5 +144,53 @@ class ExrReader(DataSourceReader):
                         )
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: their names, and where they wait."""
+
+    files: list[tuple[str, str]]
+
+
+class ExrWriter(DataSourceArrowWriter):
+    """Encoded files (path, content) below a folder.  They wait in a folder of their own until all tasks are done."""
+
+    def __init__(self, schema, options, overwrite: bool):
+        if {"path", "content"} - set(schema.names):
+            raise f.ImageError(f.BAD_ARGUMENT, "files have the columns path and content; frames.encode makes them")
+        self.folder, self.overwrite = options["path"].removeprefix("file://").rstrip("/"), overwrite
+        self.waiting = f"{self.folder}/_waiting-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator) -> Written:
+        from lucidframe.sources.exr.frames import relative_name
+
+        done = []
+        os.makedirs(self.waiting, exist_ok=True)
+        for batch in iterator:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                part = f"{self.waiting}/{uuid.uuid4().hex}"
+                with open(part, "wb") as out:
+                    out.write(content)
+                name = relative_name(path)
+                done.append((name if name.endswith(".exr") else f"{name}.exr", part))
+        return Written(done)
+
+    def commit(self, messages: list) -> None:
+        files = [x for m in messages if m for x in m.files]
+        if len({name for name, _ in files}) < len(files):
+            self.abort(messages)
+            raise f.ImageError(f.CANNOT_WRITE, "two files of one name")
+        if self.overwrite:
+            for old in glob.glob(os.path.join(self.folder, "**", "*.exr"), recursive=True):
+                os.remove(old)
+        for name, part in files:
+            to = os.path.join(self.folder, name)
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            os.replace(part, to)
+        shutil.rmtree(self.waiting, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.waiting, ignore_errors=True)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ExrSource)

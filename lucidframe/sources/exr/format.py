@@ -20,7 +20,7 @@ UNSUPPORTED = {5: "PXR24", 6: "B44", 7: "B44A", 8: "DWAA", 9: "DWAB", 128: "ZFP"
 LINES = {NONE: 1, RLE: 1, ZIPS: 1, ZIP: 16, PIZ: 32}
 DTYPES = {UINT: np.dtype("<u4"), HALF: np.dtype("<u2"), FLOAT: np.dtype("<f4")}
 REQUIRED = ("channels", "compression", "dataWindow", "displayWindow", "lineOrder", "pixelAspectRatio", "screenWindowCenter", "screenWindowWidth")
-MAX_SIDE, MAX_SAMPLES, MAX_ATTRIBUTES, MAX_CUSTOM = 1024 * 8192, 0x4000000000, 1024, 128
+MAX_SIDE, MAX_SAMPLES, MAX_ATTRIBUTES = 1024 * 8192, 0x4000000000, 1024
 #: Status numbers.
 OK, BAD_MAGIC, BAD_VERSION, BAD_ARGUMENT, BAD_DATA, BAD_FILE, BAD_PARAMETER, CANNOT_OPEN, BAD_FORMAT, BAD_HEADER, BAD_FEATURE, CANNOT_WRITE, CANNOT_SERIALIZE, NO_LAYER, TOO_LARGE = range(0, -15, -1)
 
@@ -86,6 +86,10 @@ class Part:
     def pixel_bytes(self) -> int:
         return sum(DTYPES[c.pixel_type].itemsize for c in self.channels)
 
+    @property
+    def subsampled(self) -> bool:
+        return any((c.x_sampling, c.y_sampling) != (1, 1) for c in self.channels)
+
 
 def round_log2(n: int, up: int) -> int:
     return 0 if n <= 1 else (n - 1).bit_length() if up else n.bit_length() - 1
@@ -180,12 +184,14 @@ def _part(found: list[tuple[str, str, bytes]], tiled: bool, multipart: bool, dee
     channels = _channels(given["channels"])
     if not channels:
         raise ImageError(BAD_HEADER, "no channel")
-    if any((c.x_sampling, c.y_sampling) != (1, 1) for c in channels):
-        raise ImageError(BAD_FEATURE, "subsampled channels")
+    if any(min(c.x_sampling, c.y_sampling) < 1 or window[0] % c.x_sampling or window[1] % c.y_sampling for c in channels):
+        raise ImageError(BAD_DATA, "samplings that do not fit the data window")
     if width * height * len(channels) >= MAX_SAMPLES:
         raise ImageError(BAD_DATA, "too many samples")
     text = lambda n: given[n].split(b"\0")[0].decode("utf-8", "replace") if n in given else ""
     kind = text("type")
+    if not multipart and kind in ("scanlineimage", "tiledimage", "deeptile") and tiled != (kind != "scanlineimage"):
+        raise ImageError(BAD_HEADER, f"the flag of tiles does not go with the type {kind}")
     tile, mode, up = None, 0, 0
     if tiled or kind in ("tiledimage", "deeptile"):
         if "tiles" not in given:
@@ -194,11 +200,13 @@ def _part(found: list[tuple[str, str, bytes]], tiled: bool, multipart: bool, dee
         if tx < 1 or ty < 1 or max(tx, ty) > MAX_SIDE or byte & 3 == 3:
             raise ImageError(BAD_DATA, "bad tile sizes")
         tile, mode, up = (tx, ty), byte & 3, byte >> 4 & 1
+    if tile and any((c.x_sampling, c.y_sampling) != (1, 1) for c in channels):
+        raise ImageError(BAD_FEATURE, "tiles of subsampled channels")
     known = {*REQUIRED, "name", "type", "chunkCount", "tiles"}
     custom = {n: (k, v) for n, k, v in found if n not in known}
     return Part(
         channels, width, height, compression, text("name"), kind, numbers("lineOrder", "<B")[0], tile, mode, up, max(0, numbers("chunkCount", "<i")[0]) if "chunkCount" in given else 0, window, display,
-        numbers("pixelAspectRatio", "<f")[0], numbers("screenWindowCenter", "<ff"), numbers("screenWindowWidth", "<f")[0], dict(list(custom.items())[:MAX_CUSTOM]),
+        numbers("pixelAspectRatio", "<f")[0], numbers("screenWindowCenter", "<ff"), numbers("screenWindowWidth", "<f")[0], custom,
     )
 
 
@@ -315,10 +323,16 @@ def chunk_shape(part: Part, c: Chunk) -> tuple[int, int, int, int]:
     return c.tile_x * tw, c.tile_y * th, min(tw, w - c.tile_x * tw), min(th, h - c.tile_y * th)
 
 
-def decode_chunk(part: Part, c: Chunk) -> dict[str, np.ndarray]:
-    """Planes of (lines, columns) by channel in their stored type (halves as bits)."""
-    _, _, w, lines = chunk_shape(part, c)
-    size = w * lines * part.pixel_bytes()
+def sampled(ch: Channel, y: int, w: int, lines: int) -> tuple[int, int]:
+    """Stored lines and columns of a channel in a block that begins at line y of the window; it starts on a sample."""
+    return -(-(y + lines) // ch.y_sampling) - -(-y // ch.y_sampling), -(-w // ch.x_sampling)
+
+
+def decode_stored(part: Part, c: Chunk) -> dict[str, np.ndarray]:
+    """What a chunk stores: planes by channel in their stored type (halves as bits), subsampled ones smaller."""
+    _, y, w, lines = chunk_shape(part, c)
+    shapes = [sampled(ch, y, w, lines) for ch in part.channels]
+    size = sum(a * b * DTYPES[ch.pixel_type].itemsize for (a, b), ch in zip(shapes, part.channels))
     words = [DTYPES[ch.pixel_type].itemsize // 2 for ch in part.channels]
     try:
         if part.compression == NONE or len(c.data) == size:
@@ -327,18 +341,47 @@ def decode_chunk(part: Part, c: Chunk) -> dict[str, np.ndarray]:
             raw = blocks.rle_decode(c.data, size)
         elif part.compression in (ZIP, ZIPS):
             raw = blocks.zip_decode(c.data, size)
+        elif part.subsampled:
+            planes = piz.decode_planes(c.data, [(a, b, n) for (a, b), n in zip(shapes, words)])
+            return {ch.name: np.ascontiguousarray(p.reshape(a, -1)).view(DTYPES[ch.pixel_type]) for ch, p, (a, _) in zip(part.channels, planes, shapes)}
         else:
             raw = piz.decode(c.data, size, lines, w, words)
     except (blocks.CorruptBlock, ValueError, IndexError) as e:
         raise ImageError(BAD_DATA, str(e)) from e
     if len(raw) != size:
         raise ImageError(BAD_DATA, "a chunk of another size")
-    table = np.frombuffer(raw, np.uint8).reshape(lines, w * part.pixel_bytes())
     out, at = {}, 0
-    for ch in part.channels:
-        n = w * DTYPES[ch.pixel_type].itemsize
-        out[ch.name] = np.ascontiguousarray(table[:, at : at + n]).view(DTYPES[ch.pixel_type])
-        at += n
+    if not part.subsampled:
+        table = np.frombuffer(raw, np.uint8).reshape(lines, w * part.pixel_bytes())
+        for ch in part.channels:
+            n = w * DTYPES[ch.pixel_type].itemsize
+            out[ch.name] = np.ascontiguousarray(table[:, at : at + n]).view(DTYPES[ch.pixel_type])
+            at += n
+        return out
+    rows: dict[str, list[bytes]] = {ch.name: [] for ch in part.channels}
+    for line in range(y, y + lines):  # lines have the channels that are sampled there, one after another
+        for ch, (_, n) in zip(part.channels, shapes):
+            if line % ch.y_sampling == 0:
+                n *= DTYPES[ch.pixel_type].itemsize
+                rows[ch.name].append(raw[at : at + n])
+                at += n
+    return {ch.name: np.frombuffer(b"".join(rows[ch.name]), DTYPES[ch.pixel_type]).reshape(shape) for ch, shape in zip(part.channels, shapes)}
+
+
+def decode_chunk(part: Part, c: Chunk) -> dict[str, tuple[int, np.ndarray]]:
+    """By channel the first line, and lines of the chunk's full width.
+
+    A sample of a subsampled channel stands for the pixels up to the next one, to the right and below; a block without a
+    sampled line of a channel has no lines of it, as an earlier block has given them.
+    """
+    _, y, w, lines = chunk_shape(part, c)
+    out = {}
+    for ch, plane in zip(part.channels, decode_stored(part, c).values()):
+        first = -(-y // ch.y_sampling) * ch.y_sampling
+        if (ch.x_sampling, ch.y_sampling) != (1, 1):
+            most = min(part.height - first, len(plane) * ch.y_sampling)
+            plane = plane[np.arange(max(0, most)) // ch.y_sampling][:, np.arange(w) // ch.x_sampling]
+        out[ch.name] = first, plane
     return out
 
 
@@ -356,9 +399,9 @@ def decode_planes(data: bytes, part_id: int = 0) -> dict[tuple[int, int], dict[s
             raise ImageError(BAD_FEATURE, "a deep part")
         w, h = (level_size(n, k, part.round_up) for n, k in ((part.width, c.level_x), (part.height, c.level_y)))
         level = out.setdefault((c.level_x, c.level_y), {ch.name: np.zeros((h, w), DTYPES[ch.pixel_type]) for ch in part.channels})
-        x, y, n, lines = chunk_shape(part, c)
-        for name, plane in decode_chunk(part, c).items():
-            level[name][y : y + lines, x : x + n] = plane
+        x, _, n, _ = chunk_shape(part, c)
+        for name, (y, plane) in decode_chunk(part, c).items():
+            level[name][y : y + len(plane), x : x + n] = plane
     return out
 
 
@@ -378,7 +421,7 @@ def _attribute(name: str, kind: str, value: bytes) -> bytes:
 def header_bytes(p: Part, multipart: bool, sort: bool = True) -> bytes:
     """A part's header; windows begin at the origin and line order is increasing."""
     listed = sorted(p.channels, key=lambda c: c.name.encode()) if sort else p.channels
-    channels = b"".join(c.name.encode()[:255] + b"\0" + struct.pack("<iB3xii", c.pixel_type, 0, 1, 1) for c in listed) + b"\0"
+    channels = b"".join(c.name.encode()[:255] + b"\0" + struct.pack("<iB3xii", c.pixel_type, 0, c.x_sampling, c.y_sampling) for c in listed) + b"\0"
     box = struct.pack("<4i", 0, 0, p.width - 1, p.height - 1)
     out = [("channels", "chlist", channels), ("compression", "compression", bytes([p.compression])), ("dataWindow", "box2i", box), ("displayWindow", "box2i", box), ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", struct.pack("<ff", 0, 0)), ("screenWindowWidth", "float", struct.pack("<f", 1))]
     if p.tile:
@@ -386,21 +429,28 @@ def header_bytes(p: Part, multipart: bool, sort: bool = True) -> bytes:
     if multipart or p.deep:
         kind = p.type if p.deep else "tiledimage" if p.tile else "scanlineimage"
         out += [("name", "string", p.name.encode()[:255]), ("type", "string", kind.encode()), ("chunkCount", "int", struct.pack("<i", p.n_chunks()))]
-    out += [(n, k, v) for n, (k, v) in list(p.attributes.items())[:MAX_CUSTOM]]
+    out += [(n, k, v) for n, (k, v) in p.attributes.items()]
     return b"".join(_attribute(*a) for a in out) + b"\0"
 
 
-def encode_chunk(part: Part, planes: dict[str, np.ndarray], lines: int, width: int) -> bytes:
-    """A chunk's bytes; the planes are in stored types."""
+def encode_chunk(part: Part, planes: dict[str, np.ndarray], lines: int, width: int, y: int = 0) -> bytes:
+    """A chunk's bytes; the planes are in stored types and full width.  Line y is the first one."""
     listed = sorted(part.channels, key=lambda c: c.name.encode())
-    raw = np.concatenate([np.ascontiguousarray(planes[c.name]).view(np.uint8).reshape(lines, -1) for c in listed], axis=1).tobytes()
+    words = [DTYPES[c.pixel_type].itemsize // 2 for c in listed]
+    if part.subsampled:
+        stored = [np.ascontiguousarray(planes[c.name][-y % c.y_sampling :: c.y_sampling, :: c.x_sampling]) for c in listed]
+        raw = b"".join(p[line // c.y_sampling - -(-y // c.y_sampling)].tobytes() for line in range(y, y + lines) for c, p in zip(listed, stored) if line % c.y_sampling == 0)
+        if part.compression == PIZ:
+            return piz.encode_planes(raw, [p.view("<u2").reshape(*p.shape, n) for p, n in zip(stored, words)])
+    else:
+        raw = np.concatenate([np.ascontiguousarray(planes[c.name]).view(np.uint8).reshape(lines, -1) for c in listed], axis=1).tobytes()
     if part.compression == NONE:
         return raw
     if part.compression == RLE:
         return blocks.rle_encode(raw)
     if part.compression in (ZIP, ZIPS):
         return blocks.zip_encode(raw)
-    return piz.encode(raw, lines, width, [DTYPES[c.pixel_type].itemsize // 2 for c in listed])
+    return piz.encode(raw, lines, width, words)
 
 
 Levels = dict[tuple[int, int], dict[str, np.ndarray]]
@@ -411,33 +461,43 @@ def encode_file(parts: Sequence[tuple[Part, Levels]]) -> bytes:
     if not parts:
         raise ImageError(BAD_ARGUMENT, "no part")
     multipart = len(parts) > 1
-    names = [p.name for p, _ in parts]
-    if multipart and (not all(names) or len(set(names)) < len(names)):
-        raise ImageError(BAD_ARGUMENT, "parts need names of their own")
-    flags = MULTIPART if multipart else TILED if parts[0][0].tile else 0
-    if any(len(c.name.encode()) > 31 for p, _ in parts for c in p.channels) or any(len(n.encode()) > 31 for n in names):
-        flags |= LONG_NAMES
-    headers = b"".join(header_bytes(p, multipart) for p, _ in parts) + (b"\0" if multipart else b"")
     chunks: list[list[bytes]] = []
     for k, (p, levels) in enumerate(parts):
         if p.compression not in LINES:
             raise ImageError(BAD_FORMAT, f"compression {p.compression}")
-        lead = struct.pack("<i", k) if multipart else b""
-        own: list[bytes] = []
-        if p.tile:
-            if [(x, y) for x, y, _, _ in p.levels()] != list(levels):
-                raise ImageError(BAD_ARGUMENT, "levels are missing or out of order")
-            for lx, ly, tx, ty in p.tile_list():
-                x, y, w, h = chunk_shape(p, Chunk(k, 0, lx, ly, tx, ty, 0, b""))
-                data = encode_chunk(p, {n: v[y : y + h, x : x + w] for n, v in levels[lx, ly].items()}, h, w)
-                own.append(lead + struct.pack("<5i", tx, ty, lx, ly, len(data)) + data)
-        else:
-            step = LINES[p.compression]
-            for y in range(0, p.height, step):
-                h = min(step, p.height - y)
-                data = encode_chunk(p, {n: v[y : y + h] for n, v in levels[0, 0].items()}, h, p.width)
-                own.append(lead + struct.pack("<ii", y, len(data)) + data)
+        if p.tile and [(x, y) for x, y, _, _ in p.levels()] != list(levels):
+            raise ImageError(BAD_ARGUMENT, "levels are missing or out of order")
+        own = []
+        for c in chunk_list(p):
+            x, y, w, h = chunk_shape(p, c)
+            data = encode_chunk(p, {n: v[y : y + h, x : x + w] for n, v in levels[c.level_x, c.level_y].items()}, h, w, y)
+            own.append(chunk_head(p, c, k if multipart else None, len(data)) + data)
         chunks.append(own)
+    return join_file([p for p, _ in parts], chunks)
+
+
+def chunk_list(p: Part) -> list[Chunk]:
+    """The chunks of a part to write, without their data."""
+    if p.tile:
+        return [Chunk(0, i, *t, 0, b"") for i, t in enumerate(p.tile_list())]
+    return [Chunk(0, i, 0, 0, 0, 0, y, b"") for i, y in enumerate(range(0, p.height, LINES[p.compression]))]
+
+
+def chunk_head(p: Part, c: Chunk, part_id: int | None, size: int) -> bytes:
+    lead = b"" if part_id is None else struct.pack("<i", part_id)
+    return lead + (struct.pack("<5i", c.tile_x, c.tile_y, c.level_x, c.level_y, size) if p.tile else struct.pack("<ii", c.y, size))
+
+
+def join_file(parts: Sequence[Part], chunks: Sequence[Sequence[bytes]]) -> bytes:
+    """A file out of its parts' headers and of their written chunks, in order."""
+    multipart = len(parts) > 1
+    names = [p.name for p in parts]
+    if multipart and (not all(names) or len(set(names)) < len(names)):
+        raise ImageError(BAD_ARGUMENT, "parts need names of their own")
+    flags = MULTIPART if multipart else TILED if parts[0].tile else 0
+    if any(len(c.name.encode()) > 31 for p in parts for c in p.channels) or any(len(n.encode()) > 31 for n in names):
+        flags |= LONG_NAMES
+    headers = b"".join(header_bytes(p, multipart) for p in parts) + (b"\0" if multipart else b"")
     at = 8 + len(headers) + 8 * sum(map(len, chunks))
     offsets = []
     for own in chunks:

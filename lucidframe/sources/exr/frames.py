@@ -8,14 +8,14 @@ shuffle of compressed bytes where files are few and large.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lucidframe.functions.layers import layer_of
+from lucidframe.functions.layers import layer_of, name_in_layer
 from lucidframe.operators.grid import long_to_rgba
 from lucidframe.sources.exr import format as f
 
@@ -124,25 +124,43 @@ def chunks(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(scan, CHUNKS)
 
 
-def rows(df: DataFrame, names: Sequence[str] | None = None, spread: bool = False) -> DataFrame:
-    """Decoded lines of chunks: one row per line and channel, values packed.  Only ``names`` are unpacked if given."""
+def _chunk_of(r: dict) -> tuple[f.Part, f.Chunk]:
+    """Part and chunk of a row of CHUNKS."""
+    found, _ = f._attributes(r["header"], 0)
+    part = f._part(found, any(n == "tiles" for n, _, _ in found), False, False)
+    return part, f.Chunk(r["part_id"], r["chunk"], r["level_x"], r["level_y"], r["tile_x"], r["tile_y"], r["y"], r["data"])
+
+
+def output_type(stored: int, requested: int | None) -> int:
+    """The type that a channel is read as: its own, or float for a half; nothing else is converted."""
+    if requested is None or requested == stored or (stored, requested) == (f.HALF, f.FLOAT):
+        return stored if requested is None else requested
+    raise f.ImageError(f.BAD_ARGUMENT, f"a channel of type {stored} cannot be read as {requested}")
+
+
+def rows(df: DataFrame, names: Sequence[str] | None = None, spread: bool = False, requested: Mapping[str, int] | None = None) -> DataFrame:
+    """Decoded lines of chunks: one row per line and channel, values packed.  Only ``names`` are unpacked if given.
+
+    ``requested`` has the types that channels are read as, see ``output_type``; ``pixel_type`` tells them.  Values are
+    doubles, which hold all three types exactly; ``typed`` gives a type's own column.
+    """
     wanted = set(names) if names is not None else None
+    types = dict(requested or {})
     if spread:
         df = df.repartition("path", "part_id", "chunk")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                found, _ = f._attributes(r["header"], 0)
-                part = f._part(found, any(n == "tiles" for n, _, _ in found), False, False)
-                c = f.Chunk(r["part_id"], r["chunk"], r["level_x"], r["level_y"], r["tile_x"], r["tile_y"], r["y"], r["data"])
-                x, y, _, lines = f.chunk_shape(part, c)
+                part, c = _chunk_of(r)
+                x, _, _, _ = f.chunk_shape(part, c)
                 out = []
                 planes = f.decode_chunk(part, c)
                 for ch in part.channels:
                     if wanted is None or ch.name in wanted:
-                        numbers = f.as_numbers(planes[ch.name], ch.pixel_type)
-                        out += [(r["path"], r["part_id"], c.level_x, c.level_y, y + j, x, ch.name, ch.pixel_type, numbers[j]) for j in range(lines)]
+                        y, plane = planes[ch.name]
+                        kind, numbers = output_type(ch.pixel_type, types.get(ch.name)), f.as_numbers(plane, ch.pixel_type)
+                        out += [(r["path"], r["part_id"], c.level_x, c.level_y, y + j, x, ch.name, kind, line) for j, line in enumerate(numbers)]
                 i = pa.int32()
                 kinds = (pa.string(), i, i, i, i, i, pa.string(), i, _LIST)
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [n.split()[0] for n in ROWS.split(", ")])
@@ -150,14 +168,88 @@ def rows(df: DataFrame, names: Sequence[str] | None = None, spread: bool = False
     return df.mapInArrow(scan, ROWS)
 
 
+def typed(samples: DataFrame, pixel_type: int, value: str = "value") -> DataFrame:
+    """Samples of one pixel type with a column of that type: long for unsigned 32-bit numbers, float for the others."""
+    return samples.withColumn(value, F.col(value).cast("long" if pixel_type == f.UINT else "float"))
+
+
+def select_rgba(names: Sequence[str], layer: str | None) -> dict[str, str]:
+    """Which channels are R, G, B and A of a layer, from its first four channels; one channel alone is all of them.
+
+    A layer that is absent is an error, and so is one of several channels that lacks R, G or B.
+    """
+    inside = [(n, own) for n in names if (own := name_in_layer(n, layer)) is not None]
+    if not inside:
+        raise f.ImageError(f.NO_LAYER, f"no layer {layer}" if layer else "no channel outside of layers")
+    if len(inside) == 1:
+        return dict.fromkeys("RGBA", inside[0][0])
+    picked = {own: n for n, own in inside[:4] if own in ("R", "G", "B", "A")}
+    if missing := [c for c in "RGB" if c not in picked]:
+        raise f.ImageError(f.BAD_DATA, f"channel {missing[0]} not found")
+    return picked
+
+
+RGBA_ROWS = "path string, status int, error string, y int, x int, pixels array<struct<R:float,G:float,B:float,A:float>>"
+
+
+def layer_rows(df: DataFrame, layer: str | None = None) -> DataFrame:
+    """Lines of (path, content) files as packed RGBA pixels of a layer, each chunk by itself, so nothing is shuffled.
+
+    A file that cannot be read so has one row with its status: an absent layer, a missing channel, several parts, deep
+    pixels, or damage.
+    """
+    kind = pa.list_(pa.struct([(c, pa.float32()) for c in "RGBA"]))
+    names = [c.split()[0] for c in RGBA_ROWS.split(", ")[:5]] + ["pixels"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), kind)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    version, found, _ = f.parse_headers(content)
+                    if version["multipart"] or version["non_image"]:
+                        raise f.ImageError(f.BAD_DATA, "several parts or deep pixels")
+                    picked = select_rgba([c.name for c in found[0].channels], layer)
+                    stored = {c.name: c.pixel_type for c in found[0].channels}
+                    for part, c in f.read_chunks(content):
+                        if c.level_x or c.level_y:
+                            continue
+                        x, y, w, lines = f.chunk_shape(part, c)
+                        planes = f.decode_chunk(part, c)
+                        made = {k: f.as_numbers(planes[n][1], stored[n]).astype(np.float32) for k, n in picked.items()}
+                        made.setdefault("A", np.ones((lines, w), np.float32))
+                        if any(m.shape != (lines, w) for m in made.values()):
+                            raise f.ImageError(f.BAD_FEATURE, "subsampled channels of a layer")
+                        flat = pa.StructArray.from_arrays([pa.array(made[k].ravel()) for k in "RGBA"], list("RGBA"))
+                        packed = pa.ListArray.from_arrays(pa.array(np.arange(lines + 1, dtype=np.int32) * w), flat)
+                        i32 = lambda v, n=lines: pa.array(np.full(n, v, np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * lines), i32(0), pa.nulls(lines, pa.string()), pa.array(np.arange(y, y + lines, dtype=np.int32)), i32(x), packed.cast(kind)], names)
+                except f.ImageError as e:
+                    yield batch_of([(path, e.status, str(e), None, None, None)])
+
+    return df.select("path", "content").mapInArrow(scan, RGBA_ROWS)
+
+
+def load_rgba(df: DataFrame, layer: str | None = None) -> DataFrame:
+    """Wide pixels (path, status, y, x, R, G, B, A) of a layer of single-part files; see ``layer_rows``."""
+    lines = layer_rows(df, layer)
+    each = lines.select("path", "status", "y", "x", F.posexplode_outer("pixels").alias("i", "p"))
+    return each.select("path", "status", "y", (F.col("x") + F.col("i")).alias("x"), "p.*")
+
+
 def pixels(packed: DataFrame) -> DataFrame:
     """One row per sample."""
     return packed.select("path", "part_id", "level_x", "level_y", "y", "channel", "x", F.posexplode("values").alias("i", "value")).select("path", "part_id", "level_x", "level_y", "y", (F.col("x") + F.col("i")).alias("x"), "channel", "value")
 
 
-def read(spark: SparkSession, path: str, mode: str = "pixels", names: Sequence[str] | None = None, spread: bool = False) -> DataFrame:
-    """``mode``: version, parts, channels, layers, chunks, rows, pixels, rgba or deep."""
+def read(spark: SparkSession, path: str, mode: str = "pixels", names: Sequence[str] | None = None, spread: bool = False, layer: str | None = None, requested: Mapping[str, int] | None = None) -> DataFrame:
+    """``mode``: version, parts, channels, layers, chunks, rows, pixels, rgba, layer (RGBA of ``layer``) or deep."""
     found = files(spark, path)
+    if mode == "layer":
+        return load_rgba(found, layer)
     if mode == "version":
         return version_flags(found).drop("content")
     if mode in ("parts", "channels", "layers"):
@@ -169,7 +261,7 @@ def read(spark: SparkSession, path: str, mode: str = "pixels", names: Sequence[s
         return blocks.drop("header")
     if mode == "rgba":
         return rgba(pixels(rows(blocks, names, spread)).where("level_x = 0 and level_y = 0"))
-    packed = rows(blocks, names, spread)
+    packed = rows(blocks, names, spread, requested)
     return packed if mode == "rows" else pixels(packed)
 
 
@@ -196,51 +288,143 @@ def deep(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(scan, schema)
 
 
-def encode(samples: DataFrame, compression: int = f.ZIP, pixel_type: int = f.FLOAT, tile: tuple[int, int] | None = None) -> DataFrame:
-    """Files (path, content) from long samples (path, part_id, y, x, channel, value); one task makes a file.
+def _placed(group: pa.Table, width: int, height: int, names: Sequence[str], pixel_type: int, x0: int = 0, y0: int = 0) -> dict[str, np.ndarray]:
+    """Planes in stored types from long samples; missing ones are 0."""
+    y, x, v = (group[c].to_numpy() for c in ("y", "x", "value"))
+    name = group["channel"].combine_chunks().dictionary_encode()
+    code, listed = name.indices.to_numpy(), name.dictionary.to_pylist()
+    planes = {}
+    for c in names:
+        plane = np.zeros((height, width), np.float64)
+        if c in listed:
+            at = code == listed.index(c)
+            plane[y[at] - y0, x[at] - x0] = v[at]
+        planes[c] = f.to_stored(plane.astype(np.float32) if pixel_type != f.UINT else plane, pixel_type)
+    return planes
+
+
+_SAMPLES = ("path", "part_id int", "y int", "x int", "channel", "value double")
+
+
+def _long(samples: DataFrame) -> DataFrame:
+    return samples.select(*[F.col(c.split()[0]).cast(c.split()[1]) if " " in c else c for c in _SAMPLES])
+
+
+def encode(samples: DataFrame, compression: int = f.ZIP, pixel_type: int = f.FLOAT, tile: tuple[int, int] | None = None, spread: bool = False) -> DataFrame:
+    """Files (path, content) from long samples (path, part_id, y, x, channel, value).
 
-    Missing samples are 0.  With several part ids, a file has as many parts, named after them.
+    Missing samples are 0.  With several part ids, a file has as many parts, named after them.  One task makes a file;
+    with ``spread``, for large ones, the chunks are made by tasks of their own and only their bytes meet in one.
     """
+    if spread:
+        return _encode_spread(_long(samples), compression, pixel_type, tile)
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
         made = []
         for k in sorted(set(group["part_id"].to_pylist())):
             own = group.filter(pa.compute.equal(group["part_id"], k))
-            y, x, v = (own[c].to_numpy() for c in ("y", "x", "value"))
-            name = own["channel"].to_numpy(zero_copy_only=False)
-            listed = sorted(set(name))
-            h, w = int(y.max()) + 1, int(x.max()) + 1
-            part = f.Part([f.Channel(c, pixel_type) for c in listed], w, h, compression, f"part{k}", tile=tile)
-            planes = {}
-            for c in listed:
-                at = name == c
-                plane = np.zeros((h, w), np.float64)
-                plane[y[at], x[at]] = v[at]
-                planes[c] = f.to_stored(plane.astype(np.float32) if pixel_type != f.UINT else plane, pixel_type)
-            made.append((part, {(0, 0): planes}))
+            h, w = pa.compute.max(own["y"]).as_py() + 1, pa.compute.max(own["x"]).as_py() + 1
+            names = sorted(pa.compute.unique(own["channel"]).to_pylist())
+            part = f.Part([f.Channel(c, pixel_type) for c in names], w, h, compression, f"part{k}", tile=tile)
+            made.append((part, {(0, 0): _placed(own, w, h, names, pixel_type)}))
         return pa.table({"path": [key[0].as_py()], "content": pa.array([f.encode_file(made)], pa.binary())})
 
-    return samples.select("path", F.col("part_id").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"), "channel", F.col("value").cast("double")).groupBy("path").applyInArrow(make, "path string, content binary")
+    return _long(samples).groupBy("path").applyInArrow(make, "path string, content binary")
+
+
+def _encode_spread(samples: DataFrame, compression: int, pixel_type: int, tile: tuple[int, int] | None) -> DataFrame:
+    """Chunks by (path, part, chunk), then files by path; a chunk without samples is made with its file."""
+    shapes = samples.groupBy("path", "part_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_set("channel")).alias("names"))
+    if tile:
+        across = F.ceil(F.col("w") / tile[0]).cast("int")
+        chunk = F.floor(F.col("y") / tile[1]).cast("int") * across + F.floor(F.col("x") / tile[0]).cast("int")
+    else:
+        chunk = F.floor(F.col("y") / f.LINES[compression]).cast("int")
+    placed = samples.join(shapes, ["path", "part_id"]).withColumn("chunk", chunk)
+
+    def part_of(k: int, w: int, h: int, names: list[str]) -> f.Part:
+        return f.Part([f.Channel(c, pixel_type) for c in names], w, h, compression, f"part{k}", tile=tile)
+
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1).to_pylist()[0]
+        part = part_of(first["part_id"], first["w"], first["h"], first["names"])
+        x, y, w, h = f.chunk_shape(part, f.chunk_list(part)[first["chunk"]])
+        data = f.encode_chunk(part, _placed(group, w, h, first["names"], pixel_type, x, y), h, w, y)
+        return pa.table({"path": [first["path"]], "part_id": pa.array([first["part_id"]], pa.int32()), "w": pa.array([first["w"]], pa.int32()), "h": pa.array([first["h"]], pa.int32()), "names": pa.array([first["names"]], pa.list_(pa.string())), "chunk": pa.array([first["chunk"]], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    coded = placed.groupBy("path", "part_id", "chunk").applyInArrow(one, "path string, part_id int, w int, h int, names array<string>, chunk int, data binary")
+
+    def whole(key: tuple, group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        ids = sorted({r["part_id"] for r in rows})
+        parts, chunks = [], []
+        for place, k in enumerate(ids):
+            own = {r["chunk"]: r for r in rows if r["part_id"] == k}
+            first = next(iter(own.values()))
+            part, written = part_of(k, first["w"], first["h"], first["names"]), []
+            for c in f.chunk_list(part):
+                _, y, w, h = f.chunk_shape(part, c)
+                data = own[c.index]["data"] if c.index in own else f.encode_chunk(part, {n: np.zeros((h, w), f.DTYPES[pixel_type]) for n in first["names"]}, h, w, y)
+                written.append(f.chunk_head(part, c, place if len(ids) > 1 else None, len(data)) + data)
+            parts.append(part)
+            chunks.append(written)
+        return pa.table({"path": [rows[0]["path"]], "content": pa.array([f.join_file(parts, chunks)], pa.binary())})
+
+    return coded.groupBy("path").applyInArrow(whole, "path string, content binary")
+
+
+def encode_rgba(pixels: DataFrame, use_half: bool = False, channels: Sequence[str] = ("R", "G", "B", "A")) -> DataFrame:
+    """The simple save: files (path, content) from wide pixels (path, y, x, channels) of one, three or four components."""
+    names = list(channels)
+
+    def make(key: tuple, group: pa.Table) -> pa.Table:
+        y, x = (group[c].to_numpy() for c in ("y", "x"))
+        values = np.zeros((int(y.max()) + 1, int(x.max()) + 1, len(names)), np.float32)
+        for i, c in enumerate(names):
+            values[y, x, i] = group[c].to_numpy()
+        return pa.table({"path": [key[0].as_py()], "content": pa.array([f.encode_rgba(values, use_half)], pa.binary())})
+
+    if len(names) not in (1, 3, 4):
+        raise f.ImageError(f.BAD_ARGUMENT, f"{len(names)} components")
+    return pixels.select("path", F.col("y").cast("int"), F.col("x").cast("int"), *[F.col(c).cast("float") for c in names]).groupBy("path").applyInArrow(make, "path string, content binary")
+
+
+def relative_name(path: str) -> str:
+    """Where a file goes below a folder: its path without scheme and host, so that equal names in different folders stay apart."""
+    name = path.split("://", 1)[-1] if "://" in path else path.removeprefix("file:")
+    steps = [x for x in name.split("/") if x not in ("", ".")]
+    if not steps or ".." in steps:
+        raise f.ImageError(f.CANNOT_WRITE, f"no name for a file: {path}")
+    return "/".join(steps)
+
+
+def write_file(folder: str, path: str, content: bytes) -> str:
+    """Writes a file below a folder in one step; gives its place in the store."""
+    import uuid
+
+    import pyarrow.fs
+
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    name = f"{root}/{relative_name(path)}"
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    part = f"{name}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part) as out:
+        out.write(content)
+    fs.move(part, name)
+    return name
 
 
 def save_files(df: DataFrame, folder: str) -> DataFrame:
     """Writes each (path, content) row below a folder that all executors reach; gives (path, bytes written).
 
-    A file appears under its name when it is whole, so a task that runs again does no harm.
+    A file keeps the folders of its path, see ``relative_name``.  It appears under its name when it is whole, so a task
+    that runs again does no harm.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs
-
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = f"{root}/{path.rsplit('/', 1)[-1]}"
-                fs.create_dir(root, recursive=True)
-                with fs.open_output_stream(f"{name}.{id(batch)}.part") as out:
-                    out.write(content)
-                fs.move(f"{name}.{id(batch)}.part", name)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content)], pa.int64())], ["path", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array([write_file(folder, path, content)]), pa.array([len(content)], pa.int64())], ["path", "size"])
 
     return df.select("path", "content").mapInArrow(write, "path string, size long")
 

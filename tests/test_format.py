@@ -171,3 +171,117 @@ def test_other_images():
     runs = b"#?RADIANCE\n\n-Y 1 +X 8\n" + b"\2\2\0\x08" + b"".join(bytes([128 + 8, v]) for v in (128, 64, 32, 129))
     assert np.allclose(images.read_rgbe(runs)[0, 0], [1, 0.5, 0.25])
     assert struct.unpack("<I", images.write_float_tiff(t)[4:8])[0] > 8
+
+
+# subsampled channels, layers, requested types, writing ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("compression", range(5))
+@pytest.mark.parametrize(("x", "y", "height"), [(2, 2, 37), (4, 1, 20), (1, 3, 70)])
+def test_subsampled_channels(tmp_path, compression, x, y, height):
+    """Luminance and chroma: a sample stands for the pixels up to the next one."""
+    r = np.random.default_rng(11)
+    part = f.Part([f.Channel("BY", f.HALF, x, y), f.Channel("RY", f.FLOAT, x, y), f.Channel("Y", f.HALF)], 23, height, compression)
+    levels = {(0, 0): {"BY": r.integers(0, 900, (height, 23)).astype("<u2"), "RY": r.normal(size=(height, 23)).astype("<f4"), "Y": np.cumsum(r.integers(0, 3, (height, 23)), axis=1).astype("<u2")}}
+    data = f.encode_file([(part, levels)])
+    _, parts, _ = f.parse_headers(data)
+    assert [(c.x_sampling, c.y_sampling) for c in parts[0].channels] == [(x, y), (x, y), (1, 1)]
+    got = f.decode_planes(data)[0, 0]
+    at = np.ix_(np.arange(height) // y * y, np.arange(23) // x * x)
+    for name in ("BY", "RY"):
+        assert (got[name] == levels[0, 0][name][at]).all(), name
+    assert (got["Y"] == levels[0, 0]["Y"]).all()
+    (tmp_path / "a.exr").write_bytes(data)
+    values = source_values(tmp_path)
+    assert len(values) == 3 * 23 * height and values[0, "RY", height - 1, 22] == got["RY"][-1, -1]
+
+
+def test_headers_that_do_not_go_together():
+    part = f.Part([f.Channel("Y")], 8, 8, f.ZIP, name="a", type="x")
+    whole = f.encode_file([(part, {(0, 0): {"Y": np.zeros((8, 8), "<f4")}})])
+    for attributes, status in (({"type": ("string", b"tiledimage")}, f.BAD_HEADER), ({"type": ("string", b"scanlineimage")}, f.OK), ({"type": ("string", b"deeptile")}, f.BAD_HEADER), ({"type": ("string", b"other")}, f.OK)):
+        data = f.MAGIC + bytes([2, 0, 0, 0]) + f.header_bytes(f.Part(part.channels, 8, 8, attributes=attributes), False)
+        if status:
+            with pytest.raises(f.ImageError) as e:
+                f.parse_headers(data)
+            assert e.value.status == status
+        else:
+            f.parse_headers(data)
+    odd = f.header_bytes(f.Part([f.Channel("Y", f.HALF, 0, 1)], 8, 8), False)
+    with pytest.raises(f.ImageError):
+        f.parse_headers(f.MAGIC + bytes([2, 0, 0, 0]) + odd)
+    many = f.Part(part.channels, 8, 8, attributes={f"a{i}": ("int", b"\1\0\0\0") for i in range(300)})
+    _, parts, _ = f.parse_headers(f.encode_file([(many, {(0, 0): {"Y": np.zeros((8, 8), "<f4")}})]))
+    assert len(parts[0].attributes) == 300 and whole
+
+
+def test_layers_on_load(spark):
+    names = ["A", "L1.A", "L1.B", "L1.G", "L1.R", "L2.Y", "L3.R", "L3.X", "many.A", "many.B", "many.C", "many.D", "many.R"]
+    r = np.random.default_rng(12)
+    levels = {(0, 0): {n: r.normal(size=(20, 9)).astype("<f4") for n in names}}
+    files = {"tiled": f.Part([f.Channel(n) for n in names], 9, 20, f.ZIP, tile=(4, 8)), "lines": f.Part([f.Channel(n) for n in names], 9, 20, f.PIZ)}
+    rows = [(n, f.encode_file([(p, levels)])) for n, p in files.items()]
+    two = f.Part([f.Channel("Y")], 2, 2, f.ZIP, name="x")
+    rows += [("bad", b"nothing else"), ("two", f.encode_file([(two, {(0, 0): {"Y": np.zeros((2, 2), "<f4")}}), (f.Part(two.channels, 2, 2, f.ZIP, name="y"), {(0, 0): {"Y": np.zeros((2, 2), "<f4")}})]))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    for layer, want in (("L1", {c: f"L1.{c}" for c in "RGBA"}), ("L2", dict.fromkeys("RGBA", "L2.Y")), (None, dict.fromkeys("RGBA", "A"))):
+        got = {(x.path, x.y, x.x): x for x in frames.load_rgba(df, layer).collect()}
+        assert got["bad", None, None].status == f.BAD_MAGIC and got["two", None, None].status == f.BAD_DATA
+        for path in files:
+            assert all(got[path, y, x][c] == levels[0, 0][n][y, x] for y in range(20) for x in range(9) for c, n in want.items())
+        assert len(got) == 2 * 180 + 2
+    for layer, status in (("absent", f.NO_LAYER), ("L3", f.BAD_DATA), ("many", f.BAD_DATA)):  # R of "many" is its fifth channel
+        assert {x.status for x in frames.load_rgba(df, layer).where("path in ('tiled', 'lines')").collect()} == {status}
+    opaque = f.encode_file([(f.Part([f.Channel(c) for c in "BGR"], 3, 2, f.ZIP), {(0, 0): {c: np.ones((2, 3), "<f4") for c in "BGR"}})])
+    assert {x.A for x in frames.load_rgba(spark.createDataFrame([("o", opaque)], "path string, content binary")).collect()} == {1.0}
+
+
+def test_requested_types(spark):
+    part = f.Part([f.Channel("H", f.HALF), f.Channel("U", f.UINT)], 3, 2, f.ZIP)
+    data = f.encode_file([(part, {(0, 0): {"H": np.full((2, 3), 0x3C00, "<u2"), "U": np.full((2, 3), 4_000_000_000, "<u4")}})])
+    blocks = frames.chunks(spark.createDataFrame([("a", data)], "path string, content binary"))
+    assert {(x.channel, x.pixel_type) for x in frames.rows(blocks, requested={"H": f.FLOAT}).collect()} == {("H", f.FLOAT), ("U", f.UINT)}
+    exact = frames.typed(frames.pixels(frames.rows(blocks, ["U"])), f.UINT)
+    assert dict(exact.dtypes)["value"] == "bigint" and exact.first().value == 4_000_000_000
+    for types in ({"U": f.FLOAT}, {"H": f.UINT}):
+        with pytest.raises(Exception, match="cannot be read as"):
+            frames.rows(blocks, requested=types).collect()
+
+
+@pytest.mark.parametrize("tile", [None, (5, 4)])
+def test_encode_by_chunks(spark, tile):
+    samples = [(path, p, y, x, c, float(y * 10 + x + p)) for path in ("a", "b") for p in (0, 1) for y in range(40) for x in range(7 + p) for c in ("R", "G") if not 8 <= y < 32 or (p, path) != (0, "a") or y == 31]
+    df = spark.createDataFrame(samples, "path string, part_id int, y int, x int, channel string, value double").repartition(3)
+    for compression in (f.ZIP, f.PIZ, f.NONE):
+        one, many = ({r.path: bytes(r.content) for r in frames.encode(df, compression, f.HALF, tile, spread=s).collect()} for s in (False, True))
+        assert one == many and set(one) == {"a", "b"}
+
+
+def test_simple_save_of_tables(spark):
+    pixels = spark.createDataFrame([("p", y, x, y / 8, x / 8, 0.5, 1.0) for y in range(20) for x in range(5)], "path string, y int, x int, R double, G double, B double, A double")
+    for channels, use_half in (("RGBA", True), ("RGB", False), ("A", False)):
+        files = frames.encode_rgba(pixels, use_half, channels)
+        _, parts, _ = f.parse_headers(bytes(files.first().content))
+        assert [c.name for c in parts[0].channels] == sorted(channels) and {c.pixel_type for c in parts[0].channels} == {f.HALF if use_half else f.FLOAT}
+        assert frames.load_rgba(files).count() == 100
+    with pytest.raises(f.ImageError):
+        frames.encode_rgba(pixels, False, "RG")
+
+
+def test_files_keep_their_folders(spark, tmp_path):
+    samples = [(p, 0, 0, 0, "Y", float(i)) for i, p in enumerate(("a/x.exr", "b/x.exr", "x.exr"))]
+    files = frames.encode(spark.createDataFrame(samples, "path string, part_id int, y int, x int, channel string, value double"))
+    assert frames.save_files(files, str(tmp_path / "saved")).count() == 3
+    datasource.register(spark)
+    files.write.format("exr").mode("append").save(str(tmp_path / "written"))
+    files.where("path = 'x.exr'").write.format("exr").mode("overwrite").save(str(tmp_path / "again"))
+    files.where("path = 'a/x.exr'").write.format("exr").mode("overwrite").save(str(tmp_path / "again"))
+    got = {n: sorted((r.path.removeprefix(str(tmp_path)), r.value) for r in spark.read.format("exr").load(str(tmp_path / n)).collect()) for n in ("saved", "written", "again")}
+    assert got["saved"] == [(f"/saved/{p}", float(i)) for i, p in enumerate(("a/x.exr", "b/x.exr", "x.exr"))]
+    assert [v for _, v in got["written"]] == [0.0, 1.0, 2.0] and got["again"] == [("/again/a/x.exr", 0.0)]
+    assert not [d for d in (tmp_path / "written").iterdir() if d.name.startswith("_")]
+    with pytest.raises(Exception, match="two files"):
+        files.unionAll(files).write.format("exr").mode("append").save(str(tmp_path / "twice"))
+    for bad in ("../x.exr", "", "a/../../x"):
+        with pytest.raises(f.ImageError):
+            frames.relative_name(bad)
