@@ -46,8 +46,11 @@ def half_bits(value: Column) -> Column:
     return F.when(value.isNotNull(), _narrow_udf(F.coalesce(value.cast("float"), F.lit(0.0).cast("float"))))
 
 
-def half_value(bits: Column) -> Column:
-    return F.when(bits.isNotNull(), _widen_udf(F.coalesce(bits.cast("int"), F.lit(0))))
+def half_value(bits: Column, payloads: bool = False) -> Column:
+    """The float of a bit pattern, by built-in expressions; ``payloads`` keeps those of NaN, which needs Python."""
+    if payloads:
+        return F.when(bits.isNotNull(), _widen_udf(F.coalesce(bits.cast("int"), F.lit(0))))
+    return half_value_expr(bits)
 
 
 def half_value_expr(bits: Column) -> Column:

@@ -50,6 +50,13 @@ def tile_counts(top: Column, tile: Column, levels: Column, up: Column) -> Column
     return F.transform(F.sequence(F.lit(0), levels - 1), lambda i: tiles_along(level_size(top, i, up), tile))
 
 
+def tile_blocks(x_counts: Column, y_counts: Column, mode: Column) -> Column:
+    """Tiles of all levels, from the tiles along each side by level."""
+    whole = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+    along = whole(F.zip_with(x_counts, y_counts, lambda a, b: a.cast("long") * b))
+    return F.when(mode == RIPMAP, whole(x_counts) * whole(y_counts)).otherwise(along)
+
+
 def tile_size_at(size: Column, tile: Column, index: Column) -> Column:
     """What is left of a tile at the right or lower edge."""
     return F.least(tile, size - tile * index).cast("int")

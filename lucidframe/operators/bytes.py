@@ -1,45 +1,70 @@
-"""Byte sequences as tables (keys..., i, b): predictors, splits, runs and symbol statistics, one window per sequence."""
+"""Byte sequences, one a row: predictors, splits, runs and symbol statistics, in whole-array steps inside the row.
+
+Nothing is exploded or shuffled but the statistics that each batch has summed already.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
+
+
+def over_bytes(df: DataFrame, key: str, data: Column, columns: str, summary: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """(key, columns): what ``summary`` makes of each row's bytes; rows without bytes are left out."""
+    schema = StructType.fromDDL(f"{key} long, {columns}")
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-def byte_rows(df: DataFrame, data: Column, keys: Sequence[str]) -> DataFrame:
-    """One row per byte."""
-    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1)
-    return df.where(F.length(data) > 0).select(*keys, F.posexplode(pairs).alias("i", "h")).select(*keys, "i", F.conv("h", 16, 10).cast("int").alias("b"))
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            rows = [(k, *summary(np.frombuffer(b, np.uint8))) for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(kinds)], kinds.names)
 
+    return df.select(key, data.alias("data")).where("octet_length(data) > 0").mapInArrow(scan, schema)
 
-def split_halves(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Even bytes first, odd bytes after them: j is the new place."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("j", F.when(F.col("i") % 2 == 0, F.floor(F.col("i") / 2)).otherwise(F.floor((n + 1) / 2) + F.floor(F.col("i") / 2)).cast("int"))
 
+def split_halves(b: np.ndarray) -> np.ndarray:
+    """Even bytes first, odd bytes after them."""
+    return np.concatenate((b[::2], b[1::2]))
 
-def predictor_encode(rows: DataFrame, keys: Sequence[str], at: str = "i", value: str = "b") -> DataFrame:
+
+def differences(b: np.ndarray) -> np.ndarray:
     """Differences of neighbours, moved by 128, modulo 256; the first byte stays."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(at))
-    return rows.withColumn("d", F.when(before.isNull(), F.col(value)).otherwise(F.pmod(F.col(value) - before + 128, F.lit(256))))
+    out = b.copy()
+    out[1:] = b[1:] - b[:-1] + np.uint8(128)
+    return out
+
+
+def sums(d: np.ndarray) -> np.ndarray:
+    """Undoes ``differences``."""
+    steps = d.astype(np.int64)
+    steps[1:] -= 128
+    return (np.cumsum(steps) & 255).astype(np.uint8)
 
 
-def predictor_decode(rows: DataFrame, keys: Sequence[str], at: str = "i", value: str = "d") -> DataFrame:
-    total = F.sum(F.col(value) - 128).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("decoded", F.pmod(total + 128, F.lit(256)).cast("int"))
+def runs(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal bytes: first places, bytes and lengths."""
+    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    return first, b[first], np.diff(np.append(first, len(b)))
 
 
-def runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Maximal runs of equal bytes: first place, byte and length."""
-    by = Window.partitionBy(*keys).orderBy("i")
-    opens = rows.withColumn("opens", (F.coalesce(F.lag("b").over(by) != F.col("b"), F.lit(True))).cast("int"))
-    marked = opens.withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(*keys, "run").agg(F.min("i").cast("long").alias("first"), F.min("b").alias("b"), F.count("*").alias("n")).drop("run")
+def symbol_counts(df: DataFrame, data: str) -> DataFrame:
+    """(b, n): how often each byte occurs; a task sums its own before anything moves."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_py() or b"", np.uint8), minlength=256)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met])], ["b", "n"])
 
-def symbol_counts(rows: DataFrame, symbol: str = "b") -> DataFrame:
-    return rows.groupBy(symbol).agg(F.count("*").alias("n"))
+    return df.select(data).mapInArrow(scan, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
 
 
 def value_bitmap(rows: DataFrame, value: str = "v") -> DataFrame:

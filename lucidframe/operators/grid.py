@@ -61,6 +61,20 @@ def gradient(plane: DataFrame, value: str = "v", image: Sequence[str] = ()) -> D
     return plane.withColumn("dx", F.coalesce(right, F.col(value)) - F.col(value)).withColumn("dy", F.coalesce(below, F.col(value)) - F.col(value))
 
 
+def gradient_rows(packed: DataFrame, values: str = "values", image: Sequence[str] = ()) -> DataFrame:
+    """The same differences from packed rows (image..., y, values): a row meets the one below it in an equi-join, so any
+    number of rows spreads; gives (image..., y, x, v, dx, dy)."""
+    below = packed.select(*image, (F.col("y") - 1).alias("y"), F.col(values).alias("_below"))
+    both = packed.select(*image, "y", F.col(values).alias("_own")).join(below, [*image, "y"], "left")
+    own, under = F.col("_own"), F.col("_below")
+    each = F.transform(own, lambda v, i: F.struct(i.alias("x"), v.alias("v"), (F.coalesce(F.get(own, i + 1), v) - v).alias("dx"), (F.coalesce(F.get(under, i), v) - v).alias("dy")))
+    return both.select(*image, "y", F.explode(each).alias("p")).select(*image, "y", "p.*")
+
+
+def drop_alpha(pixels: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFrame:
+    return pixels.select(*keys, "R", "G", "B")
+
+
 def constant_image(spark: SparkSession, value: float, width: int = 512, height: int = 512) -> DataFrame:
     at = spark.range(width * height)
     return at.select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"), *[F.lit(value).cast("float").alias(c) for c in "RGB"])
@@ -133,7 +147,10 @@ def cube_face(x: Column, y: Column, z: Column) -> list[Column]:
 
 
 def longlat_directions(spark: SparkSession, width: int, height: int, turn: float = 0.0) -> DataFrame:
-    """Pixels of a latitude-longitude image and the directions through their centres; ``turn`` in degrees."""
+    """Pixels of a latitude-longitude image and the directions through their centres; ``turn`` in degrees.
+
+    Pi is that of double precision, which moves directions by less than 1e-6 against a shorter one.
+    """
     at = spark.range(width * height).select((F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
     phi = (F.col("x") + 0.5) / width * 2 * math.pi + math.radians(turn)
     theta = (F.col("y") + 0.5) / height * math.pi
@@ -143,12 +160,11 @@ def longlat_directions(spark: SparkSession, width: int, height: int, turn: float
 def sample_faces(directions: DataFrame, faces: DataFrame, size: int, channels: Sequence[str] = ("R", "G", "B"), image: Sequence[str] = ()) -> DataFrame:
     """Bilinear samples of cube faces (image columns..., face, y, x, channels): four taps, each an equi-join with the faces.
 
-    The directions go for all images; a pixel that lacks a tap, where a face has no such pixel, is left out.
+    u and v are taken modulo 1, so an edge at exactly 1 is the first texel.  The directions go for all images; a pixel that lacks a tap, where a face has no such pixel, is left out.
     """
     face, u, v = cube_face(F.col("nx"), F.col("ny"), F.col("nz"))
     at = directions.select("x", "y", face.alias("face"), u.alias("u"), (1 - v).alias("v"))
     fx, fy = (F.col("u") - F.floor("u")) * (size - 1), (F.col("v") - F.floor("v")) * (size - 1)
-    fx, fy = F.when(F.col("u") == 1, F.lit(float(size - 1))).otherwise(fx), F.when(F.col("v") == 1, F.lit(float(size - 1))).otherwise(fy)
     at = at.select("x", "y", "face", fx.alias("fx"), fy.alias("fy")).withColumn("x0", F.floor("fx").cast("int")).withColumn("y0", F.floor("fy").cast("int"))
     dx, dy = F.col("fx") - F.col("x0"), F.col("fy") - F.col("y0")
     x1, y1 = F.least(F.col("x0") + 1, F.lit(size - 1)), F.least(F.col("y0") + 1, F.lit(size - 1))

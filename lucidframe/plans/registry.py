@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidframe.codecs import blocks, piz
 from lucidframe.functions import color, half, layers, levels
-from lucidframe.operators import bytes as by, deep, grid
+from lucidframe.operators import bytes as by, deep, grid, parts
 from lucidframe.plans.bindings import SQL_BYTES, SQL_DEEP, SQL_NAMES, SQL_PLANE, SQL_RGBA, SQL_SIZES, names, packed, plane, rgba, sizes, table
 from lucidframe.sources import images
 from lucidframe.sources.exr import format as exr, frames
@@ -62,7 +62,7 @@ def rgba_interleave(spark, d):
 
 @query(f"WITH {SQL_RGBA} SELECT y, x, R, G, B FROM rgba")
 def rgb_drop_alpha(spark, d):
-    return rgba(spark, d).select("y", "x", "R", "G", "B")
+    return grid.drop_alpha(rgba(spark, d))
 
 
 @query(f"WITH {SQL_PLANE} SELECT y, x, v AS R, v AS G, v AS B, v AS A FROM plane")
@@ -135,7 +135,14 @@ def normal_map(spark, d):
 
 @query(f"WITH {SQL_PLANE}, p AS (SELECT y, x, CAST(v AS DOUBLE) AS v FROM plane) SELECT y, x, coalesce(lead(v) OVER (PARTITION BY y ORDER BY x), v) - v AS dx, coalesce(lead(v) OVER (PARTITION BY x ORDER BY y), v) - v AS dy FROM p")
 def gradient_map(spark, d):
-    return grid.gradient(plane(spark, d).withColumn("v", F.col("v").cast("double"))).select("y", "x", "dx", "dy")
+    return grid.gradient_rows(packed(spark, d).select("y", F.col("embedding").cast("array<double>").alias("values"))).select("y", "x", "dx", "dy")
+
+
+@query(f"WITH {SQL_PLANE}, p AS (SELECT y // 64 AS image, CAST(y % 64 AS INTEGER) AS y, x, CAST(v AS DOUBLE) AS v FROM plane) SELECT image, y, x, coalesce(lead(v) OVER (PARTITION BY image, y ORDER BY x), v) - v AS dx, coalesce(lead(v) OVER (PARTITION BY image, x ORDER BY y), v) - v AS dy FROM p")
+def gradient_images(spark, d):
+    """Long planes of many images, by windows along the lines and the columns of each."""
+    p = plane(spark, d).select(F.floor(F.col("y") / 64).alias("image"), (F.col("y") % 64).cast("int").alias("y"), "x", F.col("v").cast("double").alias("v"))
+    return grid.gradient(p, image=["image"]).select("image", "y", "x", "dx", "dy")
 
 
 @query(f"WITH {SQL_PLANE} SELECT y, x, v FROM plane WHERE y < 100 AND x < 50")
@@ -183,14 +190,22 @@ def cube_face_uv(spark, d):
     return rgba(spark, d).select("y", "x", face.alias("face"), F.round(u, 9).alias("u"), F.round(v, 9).alias("v"))
 
 
-@query(None)
+@query(f"""WITH {SQL_RGBA}, faces AS (SELECT y // 96 AS image, CAST(y % 96 // 16 AS INTEGER) AS face, CAST(y % 16 AS INTEGER) AS py, x AS px, CAST(R AS DOUBLE) AS R, CAST(G AS DOUBLE) AS G, CAST(B AS DOUBLE) AS B FROM rgba),
+o AS (SELECT CAST(i % 64 AS INTEGER) AS x, CAST(i // 64 AS INTEGER) AS y, (i % 64 + 0.5::DOUBLE) / 64 * 2 * pi() + radians(30) AS p, (i // 64 + 0.5::DOUBLE) / 32 * pi() AS t FROM range(2048) r(i)),
+n AS (SELECT x, y, sin(t) * cos(p) AS a, cos(t) AS b, -sin(t) * sin(p) AS c FROM o),
+f AS (SELECT *, CASE WHEN c <= 0 AND abs(c) >= abs(a) AND abs(c) >= abs(b) THEN 5 WHEN c > 0 AND abs(c) >= abs(a) AND abs(c) >= abs(b) THEN 4 WHEN b <= 0 AND abs(b) >= abs(a) AND abs(b) >= abs(c) THEN 3
+  WHEN b > 0 AND abs(b) >= abs(a) AND abs(b) >= abs(c) THEN 2 WHEN a <= 0 AND abs(a) >= abs(b) AND abs(a) >= abs(c) THEN 1 ELSE 0 END AS face FROM n),
+g AS (SELECT x, y, face, CASE face WHEN 0 THEN -c WHEN 1 THEN c WHEN 5 THEN -a ELSE a END AS uc, CASE face WHEN 2 THEN -c WHEN 3 THEN c ELSE b END AS vc, CASE WHEN face < 2 THEN abs(a) WHEN face < 4 THEN abs(b) ELSE abs(c) END AS m FROM f),
+h AS (SELECT x, y, face, (uc / m + 1) * 0.5 AS u, 1 - (vc / m + 1) * 0.5 AS v FROM g), k AS (SELECT x, y, face, (u - floor(u)) * 15 AS fx, (v - floor(v)) * 15 AS fy FROM h),
+taps AS (SELECT x, y, face, CAST(least(15, floor(fx) + i) AS INTEGER) AS px, CAST(least(15, floor(fy) + j) AS INTEGER) AS py, CASE i WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE j WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w FROM k, range(2) s(i), range(2) r(j))
+SELECT image, y, x, round(sum(R * w), 6) + 0.0 AS R, round(sum(G * w), 6) + 0.0 AS G, round(sum(B * w), 6) + 0.0 AS B FROM taps JOIN faces USING (face, px, py) GROUP BY image, y, x HAVING count(*) = 4""")
 def cube_to_longlat(spark, d):
     """Each 96 rows of the plane, six faces of 16 by 16 pixels, as a latitude-longitude image; of a last, shorter cube the
-    pixels that it covers.  Trigonometry has no exact SQL twin."""
+    pixels that it covers."""
     at = (F.col("y") % 96).cast("int")
     faces = rgba(spark, d).select(F.floor(F.col("y") / 96).alias("image"), F.floor(at / 16).cast("int").alias("face"), (at % 16).alias("y"), "x", *[F.col(c).cast("double") for c in "RGB"])
     seen = grid.sample_faces(grid.longlat_directions(spark, 64, 32, 30.0), faces, 16, image=["image"])
-    return seen.select("image", "y", "x", *[F.round(c, 6).alias(c) for c in "RGB"])
+    return seen.select("image", "y", "x", *[(F.round(c, 6) + 0.0).alias(c) for c in "RGB"])
 
 
 # half precision -----------------------------------------------------------------------------------------------------
@@ -287,6 +302,20 @@ def tile_mode_bytes(spark, d):
     return s.select("p_partkey", "byte", mode.alias("mode_again"), up.alias("up_again"))
 
 
+@query(f"WITH {SQL_SIZES}, {_LEVELS}, e AS (SELECT *, unnest(range(0, nx)) AS lx FROM lv), g AS (SELECT *, unnest(range(0, ny)) AS ly FROM e) SELECT p_partkey, CAST(sum(ceil({_SIZE.format('w', 'lx')} / t) * ceil({_SIZE.format('h', 'ly')} / t)) AS BIGINT) AS blocks FROM g WHERE mode <> 1 OR lx = ly GROUP BY p_partkey")
+def tile_block_sums(spark, d):
+    nx, ny = _level_columns()
+    s = sizes(spark, d).withColumn("nx", nx).withColumn("ny", ny)
+    x, y = (levels.tile_counts(F.col(side), F.col("t"), F.col(n), F.col("up")) for side, n in (("w", "nx"), ("h", "ny")))
+    return s.select("p_partkey", levels.tile_blocks(x, y, F.col("mode")).alias("blocks"))
+
+
+@query(f"WITH {SQL_SIZES} SELECT p_partkey, CAST(p_partkey % CAST(ceil(w / t) AS INTEGER) AS INTEGER) AS tile_x, CAST(p_partkey // CAST(ceil(w / t) AS INTEGER) AS INTEGER) AS tile_y FROM sizes")
+def tile_places(spark, d):
+    x, y = parts.tile_place(F.col("p_partkey"), levels.tiles_along(F.col("w"), F.col("t")))
+    return sizes(spark, d).select("p_partkey", x.alias("tile_x"), y.alias("tile_y"))
+
+
 _COMPRESSION = "CAST(p_partkey % 5 AS INTEGER)"
 _LINES = "CASE p_partkey % 5 WHEN 3 THEN 16 WHEN 4 THEN 32 ELSE 1 END"
 
@@ -306,7 +335,7 @@ def chunk_offsets(spark, d):
 @query("SELECT o_custkey, bool_or(CAST(floor(o_totalprice) AS BIGINT) - 5000 <= 0) AS damaged, bit_or(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END) AS flags FROM orders GROUP BY o_custkey")
 def offset_checks(spark, d):
     flag = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(F.floor("o_totalprice") - 5000 <= 0).alias("damaged"), F.bit_or(flag).alias("flags"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(parts.any_damaged(F.floor("o_totalprice") - 5000).alias("damaged"), parts.error_flags(flag).alias("flags"))
 
 
 # channel names ------------------------------------------------------------------------------------------------------
@@ -338,20 +367,25 @@ def channel_layout(spark, d):
 @query("SELECT p_brand, count(DISTINCT p_name) = count(*) AS names_differ, CAST(sum(p_size) AS BIGINT) AS header_bytes, count(DISTINCT (p_size % 4, p_size % 3)) AS n_levels FROM part GROUP BY p_brand")
 def part_checks(spark, d):
     p = table(spark, d, "part")
-    return p.groupBy("p_brand").agg((F.countDistinct("p_name") == F.count("*")).alias("names_differ"), F.sum("p_size").alias("header_bytes"), F.countDistinct(F.col("p_size") % 4, F.col("p_size") % 3).alias("n_levels"))
+    return p.groupBy("p_brand").agg(parts.names_differ(F.col("p_name")).alias("names_differ"), parts.header_bytes(F.col("p_size")).alias("header_bytes"), parts.level_count(F.col("p_size") % 4, F.col("p_size") % 3).alias("n_levels"))
 
 
 # bytes --------------------------------------------------------------------------------------------------------------
 
 
-def _bytes(spark, d):
-    docs = table(spark, d, "documents").where("text is not null")
-    return by.byte_rows(docs.select("doc_id", F.encode("text", "UTF-8").alias("data")), F.col("data"), ["doc_id"])
+def _docs(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+
+
+def _sums(b: np.ndarray) -> tuple[int, int, int]:
+    """Number, sum and weighted sum of bytes."""
+    v = b.astype(np.int64)
+    return len(v), int(v.sum()), int((v * (np.arange(len(v)) % 9973 + 1)).sum())
 
 
 @query(f"WITH {SQL_BYTES} SELECT b, count(*) AS n FROM bytes GROUP BY b")
 def symbol_histogram(spark, d):
-    return by.symbol_counts(_bytes(spark, d))
+    return by.symbol_counts(_docs(spark, d), "data")
 
 
 @query(f"WITH {SQL_PLANE} SELECT DISTINCT CAST(floor(abs(v) * 60000) AS BIGINT) AS v FROM plane WHERE floor(abs(v) * 60000) BETWEEN 1 AND 65535")
@@ -366,22 +400,23 @@ def value_bitmap(spark, d):
 p AS (SELECT doc_id, j, coalesce((b - lag(b) OVER (PARTITION BY doc_id ORDER BY j) + 128 + 256) % 256, b) AS d FROM s)
 SELECT doc_id, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, CAST(sum(CAST(d AS BIGINT) * (j % 9973 + 1)) AS BIGINT) AS weighted FROM p GROUP BY doc_id""")
 def predictor_encode(spark, d):
-    coded = by.predictor_encode(by.split_halves(_bytes(spark, d), ["doc_id"]), ["doc_id"], "j")
-    return coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.sum(F.col("d").cast("long") * (F.col("j") % 9973 + 1)).alias("weighted"))
+    return by.over_bytes(_docs(spark, d), "doc_id", F.col("data"), "n long, total long, weighted long", lambda b: _sums(by.differences(by.split_halves(b))))
 
 
 @query(f"WITH {SQL_BYTES} SELECT doc_id, count(*) AS n, CAST(sum(b) AS BIGINT) AS total, CAST(sum(CAST(b AS BIGINT) * (i % 9973 + 1)) AS BIGINT) AS weighted FROM bytes GROUP BY doc_id")
 def predictor_decode(spark, d):
-    coded = by.predictor_encode(_bytes(spark, d), ["doc_id"])
-    back = by.predictor_decode(coded, ["doc_id"])
-    return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("decoded").alias("total"), F.sum(F.col("decoded").cast("long") * (F.col("i") % 9973 + 1)).alias("weighted"))
+    return by.over_bytes(_docs(spark, d), "doc_id", F.col("data"), "n long, total long, weighted long", lambda b: _sums(by.sums(by.differences(b))))
 
 
 @query(f"""WITH {SQL_BYTES}, o AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY doc_id ORDER BY i) = b THEN 0 ELSE 1 END AS opens FROM bytes),
 r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o), g AS (SELECT doc_id, run, count(*) AS n, min(i) AS first FROM r GROUP BY doc_id, run)
 SELECT doc_id, count(*) AS n_runs, max(n) AS longest, CAST(sum(first) AS BIGINT) AS firsts FROM g GROUP BY doc_id""")
 def rle_runs(spark, d):
-    return by.runs(_bytes(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.max("n").alias("longest"), F.sum("first").alias("firsts"))
+    def summary(b: np.ndarray) -> tuple[int, int, int]:
+        first, _, n = by.runs(b)
+        return len(n), int(n.max()), int(first.sum())
+
+    return by.over_bytes(_docs(spark, d), "doc_id", F.col("data"), "n_runs long, longest long, firsts long", summary)
 
 
 def _round_trip(spark, d, there: Callable[[bytes], bytes], back: Callable[[bytes, int], bytes]):
