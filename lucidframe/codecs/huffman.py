@@ -1,7 +1,7 @@
 """Canonical Huffman coding of 16-bit symbols with a pseudo-symbol for runs.
 
-Codes are handled as bit arrays: encoding lays the bits of all symbols out in one step; decoding walks a table of the
-first bits and falls back to the canonical order for longer codes.
+Codes are handled as bit arrays: encoding lays the bits of all symbols out in one step; decoding looks up the code that
+would begin at every bit of a stretch, in whole-array steps, and then only follows the codes from one to the next.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ SHORT_ZEROS, LONG_ZEROS, SHORTEST_LONG = 59, 63, 6
 MOST_LONG = 255 + SHORTEST_LONG
 ALPHABET = (1 << 16) + 1
 TABLE_BITS = 14
+#: Bits of data whose codes are looked up at once.
+STRETCH = 1 << 17
 
 
 def code_lengths(counts: dict[int, int]) -> dict[int, int]:
@@ -155,57 +157,72 @@ def decode(block: bytes, n: int) -> np.ndarray:
     low, run, table_size, n_bits, _ = struct.unpack_from("<iiiii", block)
     if not (0 <= low <= run < ALPHABET and 0 <= table_size <= len(block) - 20 and 0 <= n_bits <= 8 * (len(block) - 20 - table_size)):
         raise CorruptBlock("a damaged Huffman header")
-    lengths = unpack_lengths(block[20 : 20 + table_size], low, run)
-    codes = canonical(lengths)
-    table: list[tuple[int, int] | None] = [None] * (1 << TABLE_BITS)
-    longer: dict[tuple[int, int], int] = {}
-    for s, size in lengths.items():
-        if codes[s] >> size:
+    found = unpack_lengths(block[20 : 20 + table_size], low, run)
+    given = np.array(sorted(found), np.int64)
+    sizes = np.array([found[s] for s in given.tolist()], np.int64)
+    per = np.bincount(sizes, minlength=LONGEST + 1)
+    first, code = np.zeros(LONGEST + 1, np.uint64), 0
+    for size in range(LONGEST, 0, -1):
+        first[size] = code
+        if code + int(per[size]) > 1 << size:
             raise CorruptBlock("code lengths that no code has")
-        if size <= TABLE_BITS:
-            a = codes[s] << (TABLE_BITS - size)
-            table[a : a + (1 << (TABLE_BITS - size))] = [(s, size)] * (1 << (TABLE_BITS - size))
-        else:
-            longer[(size, codes[s])] = s
-    most = max(lengths.values(), default=0)
-    data = block[20 + table_size :]
-    held = held_bits = at = used = filled = 0
-    mask = (1 << TABLE_BITS) - 1
-    symbols: list[int] = []
-    while used < n_bits:
-        while held_bits < LONGEST + 8 and at < len(data):
-            held = (held << 32) | int.from_bytes(data[at : at + 4].ljust(4, b"\0"), "big")
-            held_bits += 32
-            at += 4
-        if held_bits < LONGEST + 8:
-            held <<= 64
-            held_bits += 64
-        hit = table[(held >> (held_bits - TABLE_BITS)) & mask]
-        if hit is None:
-            for size in range(TABLE_BITS + 1, most + 1):
-                s = longer.get((size, (held >> (held_bits - size)) & ((1 << size) - 1)))
-                if s is not None:
-                    hit = (s, size)
-                    break
-            else:
+        code = (code + int(per[size])) >> 1
+    order = np.lexsort((given, sizes))  # by length, then by symbol
+    begin = np.cumsum(per) - per
+    codes = np.zeros(len(given), np.uint64)
+    codes[order] = first[sizes[order]] + (np.arange(len(given)) - begin[sizes[order]]).astype(np.uint64)
+    table, table_size_of = np.full(1 << TABLE_BITS, -1, np.int32), np.zeros(1 << TABLE_BITS, np.int64)
+    short = sizes <= TABLE_BITS
+    spare = TABLE_BITS - sizes[short]
+    many = 1 << spare
+    at = np.repeat((codes[short] << spare.astype(np.uint64)).astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    table[at], table_size_of[at] = np.repeat(given[short], many), np.repeat(sizes[short], many)
+    by_length, longer = given[order], [n for n in range(TABLE_BITS + 1, LONGEST + 1) if per[n]]
+
+    data = np.frombuffer(block[20 + table_size :] + bytes(32), np.uint8).astype(np.uint64)
+    place, filled, last, pieces = 0, 0, -1, []
+    while place < n_bits:
+        # the 64 bits from every bit of this stretch, and of what a run's count may need beyond it
+        a, b = place >> 3, min((place + STRETCH >> 3) + 9, len(data) - 9)
+        words = np.zeros(b - a, np.uint64)
+        for i in range(8):
+            words |= data[a + i : b + i] << np.uint64(56 - 8 * i)
+        shift = np.arange(8, dtype=np.uint64)
+        window = ((words[:, None] << shift) | (data[a + 8 : b + 8, None] >> (np.uint64(8) - shift))).ravel()
+        end = min(place + STRETCH, n_bits) - 8 * a
+        here = window[:end]
+        index = (here >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        symbol, size = table[index], table_size_of[index]
+        if longer and (lost := np.flatnonzero(symbol < 0)).size:
+            for n_long in longer:
+                value = here[lost] >> np.uint64(64 - n_long)
+                hit = (value >= first[n_long]) & (value < first[n_long] + np.uint64(per[n_long]))
+                symbol[lost[hit]] = by_length[begin[n_long] + (value[hit] - first[n_long]).astype(np.int64)]
+                size[lost[hit]] = n_long
+                lost = lost[~hit]
+        steps = (size + 8 * (symbol == run)).tolist()
+        met, p = [], place - 8 * a
+        while p < end:
+            met.append(p)
+            step = steps[p]
+            if not step:
                 raise CorruptBlock("bits that no code has")
-        s, size = hit
-        held_bits -= size
-        used += size
-        if s == run:
-            held_bits -= 8
-            used += 8
-            times = (held >> held_bits) & 255
-            if not symbols:
-                raise CorruptBlock("a run without a symbol")
-            symbols.extend([symbols[-1]] * times)
-        else:
-            symbols.append(s)
-        held &= (1 << held_bits) - 1
-        filled = len(symbols)
+            p += step
+        place = p + 8 * a
+        met = np.array(met)
+        own = symbol[met]
+        repeats = np.ones(len(met), np.int64)
+        runs = own == run
+        repeats[runs] = (window[met[runs] + size[met[runs]]] >> np.uint64(56)).astype(np.int64)
+        before = np.maximum.accumulate(np.where(runs, -1, np.arange(len(met))))
+        if last < 0 and len(met) and runs[0]:
+            raise CorruptBlock("a run without a symbol")
+        own = np.where(before >= 0, own[np.maximum(before, 0)], last)
+        last = int(own[-1])
+        filled += int(repeats.sum())
         if filled > n:
             raise CorruptBlock("more symbols than the block has")
-    if used != n_bits or filled != n:
+        pieces.append(np.repeat(own, repeats).astype(np.uint16))
+    if place != n_bits or filled != n:
         raise CorruptBlock(f"{filled} symbols in a block of {n}")
-    out[:] = symbols
-    return out
+    return np.concatenate([out[:0], *pieces])

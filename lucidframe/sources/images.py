@@ -1,11 +1,17 @@
-"""Low-range and other image files: RGBE, PNG and 32-bit float TIFF, as functions on bytes and arrays."""
+"""Low-range and other image files: RGBE, PNG, TGA, PNM, PSD and 32-bit float TIFF, as functions on bytes and arrays.
+
+``read_files`` takes whole folders; JPEG, BMP and GIF go through Spark's own image reader.
+"""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_rgbe(rgb: np.ndarray) -> bytes:
@@ -130,3 +136,167 @@ def read_float_tiff(data: bytes) -> np.ndarray:
         tag, _, _, value = struct.unpack_from("<HHII", data, at + 2 + 12 * i)
         tags[tag] = value
     return np.frombuffer(data, "<f4", tags[279] // 4, tags[273]).reshape(tags[257], tags[256], tags[277] & 0xFFFF).copy()
+
+
+# RGBM ---------------------------------------------------------------------------------------------------------------
+
+
+def write_rgbm_png(rgb: np.ndarray) -> bytes:
+    """Linear (lines, columns, 3) values as a PNG of colours and, as alpha, their common multiplier in steps of 1/255."""
+    squares = np.square(np.maximum(rgb.astype(np.float64), 0)) / 16
+    m = np.ceil(np.clip(squares.max(axis=2, keepdims=True), 1 / 16, 1) * 255)
+    colours = np.clip(squares / (m / 255), 0, 1)
+    return write_png(np.concatenate((np.floor(colours * 255 + 0.5), m), axis=2).astype(np.uint8))
+
+
+def read_rgbm_png(data: bytes) -> np.ndarray:
+    """Linear values back, to the steps that eight bits leave."""
+    v = read_png(data).astype(np.float64) / 255
+    return np.sqrt(v[:, :, :3] * v[:, :, 3:] * 16)
+
+
+# TGA, PNM, PSD --------------------------------------------------------------------------------------------------------
+
+
+def read_tga(data: bytes) -> np.ndarray:
+    """8-bit gray, 24- and 32-bit colours, plain or in runs, from the top or from the bottom."""
+    if len(data) < 18:
+        raise ValueError("a TGA that is too short")
+    skip, mapped, kind = data[0], data[1], data[2]
+    w, h, depth, flags = *struct.unpack_from("<HH", data, 12), data[16], data[17]
+    n = depth // 8
+    if mapped or kind not in (2, 3, 10, 11) or depth not in (8, 24, 32) or not w or not h:
+        raise ValueError("a TGA that is not supported")
+    at, size = 18 + skip, w * h * n
+    if kind < 8:
+        body = data[at : at + size]
+    else:
+        parts, have = [], 0
+        while have < size:
+            if at >= len(data):
+                raise ValueError("a TGA that is cut short")
+            count = (data[at] & 127) + 1
+            if data[at] & 128:
+                part = data[at + 1 : at + 1 + n] * count
+                at += 1 + n
+            else:
+                part = data[at + 1 : at + 1 + n * count]
+                at += 1 + n * count
+            parts.append(part)
+            have += len(part)
+            if not part:
+                raise ValueError("a TGA that is cut short")
+        body = b"".join(parts)[:size]
+    if len(body) < size:
+        raise ValueError("a TGA that is cut short")
+    out = np.frombuffer(body, np.uint8).reshape(h, w, n)
+    if n > 1:
+        out = out[:, :, [2, 1, 0, 3][:n]]
+    return np.ascontiguousarray(out if flags & 0x20 else out[::-1])
+
+
+def read_pnm(data: bytes) -> np.ndarray:
+    """Binary gray (P5) and colours (P6) of up to 8 bits, scaled to 255."""
+    if data[:2] not in (b"P5", b"P6"):
+        raise ValueError("no binary PNM file")
+    numbers, at = [], 2
+    while len(numbers) < 3:
+        while at < len(data) and (data[at : at + 1].isspace() or data[at] == ord("#")):
+            at = data.index(b"\n", at) + 1 if data[at] == ord("#") else at + 1
+        end = at
+        while end < len(data) and data[end : end + 1].isdigit():
+            end += 1
+        if end == at:
+            raise ValueError("a PNM header without its numbers")
+        numbers.append(int(data[at:end]))
+        at = end
+    w, h, most = numbers
+    n = 1 if data[:2] == b"P5" else 3
+    body = data[at + 1 : at + 1 + w * h * n]
+    if not 0 < most < 256 or len(body) < w * h * n:
+        raise ValueError("a PNM that is not supported or cut short")
+    out = np.frombuffer(body, np.uint8).reshape(h, w, n)
+    return out.copy() if most == 255 else (out.astype(np.int64) * 255 // most).astype(np.uint8)
+
+
+def read_psd(data: bytes) -> np.ndarray:
+    """The merged image of an 8-bit RGB or gray file, plain or in runs."""
+    if data[:6] != b"8BPS\0\1" or len(data) < 26:
+        raise ValueError("no PSD file")
+    n, h, w, depth, mode = struct.unpack_from(">HIIHH", data, 12)
+    if depth != 8 or mode not in (1, 3):
+        raise ValueError("a PSD that is not supported")
+    at = 26
+    for _ in range(3):  # colour table, resources, layers
+        (size,) = struct.unpack_from(">I", data, at)
+        at += 4 + size
+    (packed,) = struct.unpack_from(">H", data, at)
+    at, size = at + 2, w * h
+    if packed == 0:
+        planes = np.frombuffer(data, np.uint8, n * size, at)
+    elif packed == 1:
+        at += 2 * h * n
+        out = bytearray()
+        while len(out) < n * size:
+            if at >= len(data):
+                raise ValueError("a PSD that is cut short")
+            k = data[at]
+            if k < 128:
+                out += data[at + 1 : at + 2 + k]
+                at += 2 + k
+            else:
+                if k > 128:
+                    out += data[at + 1 : at + 2] * (257 - k)
+                at += 1 if k == 128 else 2
+        planes = np.frombuffer(bytes(out[: n * size]), np.uint8)
+    else:
+        raise ValueError("a PSD that is not supported")
+    keep = min(n, 4 if mode == 3 else 1)
+    return np.ascontiguousarray(planes.reshape(n, h, w)[:keep].transpose(1, 2, 0))
+
+
+#: First bytes and readers; TGA has none and is told by its name.
+READERS = ((b"\x89PNG", read_png), (b"P5", read_pnm), (b"P6", read_pnm), (b"8BPS", read_psd))
+PIXELS = "path string, error string, height int, width int, components int, pixels binary"
+
+
+def decode_image(path: str, data: bytes) -> np.ndarray:
+    for magic, read in READERS:
+        if data.startswith(magic):
+            return read(data)
+    if path.lower().endswith(".tga"):
+        return read_tga(data)
+    raise ValueError("an image of a kind that is not supported")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error, height, width, components, pixels) of a folder's 8-bit images, pixels as interleaved lines of gray,
+    RGB or RGBA.  A file that cannot be read has its error and nothing else."""
+    native = "*.{jpg,jpeg,bmp,gif,JPG,JPEG,BMP,GIF}"
+    own = "*.{png,tga,ppm,pgm,pnm,psd,PNG,TGA,PPM,PGM,PNM,PSD}"
+    kinds = pa.schema([("path", pa.string()), ("error", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("components", pa.int32()), ("pixels", pa.binary())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    image = decode_image(name, content)
+                    row = {"path": name, "height": image.shape[0], "width": image.shape[1], "components": image.shape[2], "pixels": image.tobytes()}
+                except (ValueError, struct.error, IndexError, zlib.error) as e:
+                    row = {"path": name, "error": str(e)}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # Spark's reader has blue first
+            for r in batch.to_pylist():
+                if r["components"] is None or r["components"] < 0:
+                    row = {"path": r["path"], "error": "an image that cannot be decoded"}
+                else:
+                    image = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], r["components"])
+                    row = r | {"pixels": np.ascontiguousarray(image[:, :, [2, 1, 0, 3][: r["components"]]] if r["components"] > 1 else image).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    files = lambda kind, pattern: spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    mine = files("binaryFile", own).load(path).select("path", "content").mapInArrow(scan, PIXELS)
+    image = files("image", native).load(path).select(F.col("image.origin").alias("path"), F.lit(None).cast("string").alias("error"), "image.height", "image.width", F.col("image.nChannels").alias("components"), F.col("image.data").alias("pixels"))
+    return mine.unionByName(image.mapInArrow(turn, PIXELS))

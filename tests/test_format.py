@@ -285,3 +285,48 @@ def test_files_keep_their_folders(spark, tmp_path):
     for bad in ("../x.exr", "", "a/../../x"):
         with pytest.raises(f.ImageError):
             frames.relative_name(bad)
+
+
+def test_rgbm_png():
+    rgb = np.random.default_rng(13).random((6, 5, 3)) * 3
+    data = images.write_rgbm_png(rgb)
+    raw = images.read_png(data)
+    assert raw.shape == (6, 5, 4) and (raw[:, :, 3] >= 16).all()
+    assert np.abs(np.square(images.read_rgbm_png(data)) - np.square(rgb)).max() <= 16 / 255
+    assert images.read_png(images.write_rgbm_png(np.array([[[2.0, 4.0, 0.0]]]))).tolist() == [[[64, 255, 0, 255]]]
+
+
+def test_image_folders(spark, tmp_path):
+    """TGA, PNM and PSD by bytes written by hand, PNG by the own writer, BMP and JPEG by Java's writers."""
+    rgb = np.random.default_rng(14).integers(0, 256, (4, 5, 3)).astype(np.uint8)
+    head = lambda kind, depth, flags: bytes([0, 0, kind, *[0] * 9]) + struct.pack("<HHBB", 5, 4, depth, flags)
+    files = {
+        "plain.tga": head(2, 24, 0x20) + rgb[:, :, ::-1].tobytes(),
+        "below.tga": head(2, 24, 0) + rgb[::-1, :, ::-1].tobytes(),
+        "runs.tga": head(10, 24, 0x20) + bytes([128 | 19]) + bytes([3, 2, 1]),
+        "c.ppm": b"P6 # colours\n5 4\n255\n" + rgb.tobytes(),
+        "g.pgm": b"P5 5 4 15\n" + (rgb[:, :, 0] // 17).tobytes(),
+        "a.psd": b"8BPS\0\1" + bytes(6) + struct.pack(">HIIHH", 3, 4, 5, 8, 3) + bytes(12) + b"\0\0" + rgb.transpose(2, 0, 1).tobytes(),
+        "b.psd": b"8BPS\0\1" + bytes(6) + struct.pack(">HIIHH", 3, 4, 5, 8, 3) + bytes(12) + b"\0\1" + bytes(24) + bytes([256 - 19, 1, 256 - 19, 2, 256 - 19, 3]),
+        "d.png": images.write_png(rgb),
+        "bad.png": b"\x89PNG\r\n\x1a\nxx",
+        "bad.tga": b"short",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    jvm = spark.sparkContext._jvm
+    canvas = jvm.java.awt.image.BufferedImage(5, 4, 1)
+    for y in range(4):
+        for x in range(5):
+            canvas.setRGB(x, y, int(rgb[y, x, 0]) << 16 | int(rgb[y, x, 1]) << 8 | int(rgb[y, x, 2]))
+    for kind in ("bmp", "jpg"):
+        assert jvm.javax.imageio.ImageIO.write(canvas, kind, jvm.java.io.File(str(tmp_path / f"e.{kind}")))
+    (tmp_path / "bad.jpg").write_bytes(b"nothing")
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.read_files(spark, str(tmp_path)).collect()}
+    assert set(got) == {*files, "e.bmp", "e.jpg", "bad.jpg"}
+    assert {n for n, r in got.items() if r.error} == {"bad.png", "bad.tga", "bad.jpg"}
+    value = lambda n: np.frombuffer(got[n].pixels, np.uint8).reshape(got[n].height, got[n].width, got[n].components)
+    for name in ("plain.tga", "below.tga", "c.ppm", "a.psd", "d.png", "e.bmp"):
+        assert (value(name) == rgb).all(), name
+    assert (value("runs.tga") == [1, 2, 3]).all() and (value("b.psd") == [1, 2, 3]).all() and (value("g.pgm")[:, :, 0] == rgb[:, :, 0] // 17 * 17).all()
+    assert value("e.jpg").shape == (4, 5, 3)
