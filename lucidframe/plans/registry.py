@@ -647,6 +647,20 @@ def png_roundtrip(spark, d):
     return lines.select("y", F.posexplode("u8").alias("x", "u8"))
 
 
+@query(f"""WITH {SQL_RGBA}, s AS (SELECT y, x, pow(greatest(CAST(R AS DOUBLE), 0) * 4, 2) / 16 AS r, pow(greatest(CAST(G AS DOUBLE), 0) * 4, 2) / 16 AS g, pow(greatest(CAST(B AS DOUBLE), 0) * 4, 2) / 16 AS b FROM rgba),
+m AS (SELECT *, ceil(least(greatest(r, g, b, 0.0625::DOUBLE), 1::DOUBLE) * 255) AS m FROM s)
+SELECT y, x, CAST(floor(least(r / (m / 255), 1) * 255 + 0.5) AS INTEGER) AS R, CAST(floor(least(g / (m / 255), 1) * 255 + 0.5) AS INTEGER) AS G, CAST(floor(least(b / (m / 255), 1) * 255 + 0.5) AS INTEGER) AS B, CAST(m AS INTEGER) AS M FROM m""")
+def rgbm_png(spark, d):
+    """Lines of linear colours as RGBM PNG files, and the bytes in them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [images.read_png(images.write_rgbm_png(np.array(v, np.float64)[: len(v) // 4 * 4].reshape(1, -1, 4)[:, :, :3] * 4)).ravel().tolist() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int32()))], ["y", "rgbm"])
+
+    return grid.deinterleave(packed(spark, d).mapInArrow(scan, "y long, rgbm array<int>"), "rgbm", list("RGBM"), ["y"])
+
+
 @query(f"WITH {SQL_RGBA} SELECT y, x, R, G, B, A FROM rgba")
 def tiff_roundtrip(spark, d):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

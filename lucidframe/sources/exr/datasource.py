@@ -1,7 +1,8 @@
 """The format as a Python data source: ``spark.read.format("exr").load(path)``, ``files.write.format("exr").save(path)``.
 
-Partitions are groups of chunks, read by seeking to their byte ranges, so a task never loads a whole file; deep parts
-have no pixels and are left out; ``channels`` prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and
+The driver lists files and their sizes only.  A partition is a stretch of a file: its task reads the headers and the
+chunk table, and seeks to the chunks that begin in its stretch, so a task never loads a whole file; deep parts have no
+pixels and are left out; ``channels`` prunes channels, and the options ``part_id``, ``level_x``, ``level_y`` and
 ``y`` (bounds like 5:7) prune chunks; whole chunks come back, so an exact bound on lines is a filter besides.  Spark
 keeps what a filter once pushed into a Python reader for later scans of the same DataFrame, so pruning goes by options
 and not by pushed filters.  Files are written by their tasks and get their names when all tasks are done.  For folders
@@ -23,17 +24,17 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from lucidframe.sources.exr import format as f
 
 SCHEMA = "path string, part_id int, level_x int, level_y int, y int, x int, channel string, value double"
-#: Chunks of a partition, in compressed bytes.
+#: Bytes of a file that a partition has.
 GROUP_BYTES = 8 << 20
 HEAD = 1 << 20
 
 
 @dataclass
-class ChunkGroup(InputPartition):
+class Stretch(InputPartition):
     path: str
-    part_id: int
-    first: int
-    ranges: list[tuple[int, int]]
+    size: int
+    number: int
+    count: int
 
 
 class ExrSource(DataSource):
@@ -67,71 +68,60 @@ class ExrReader(DataSourceReader):
         a, b = self.limits.get(column, (-(1 << 62), 1 << 62))
         return lo <= b and hi >= a
 
-    def partitions(self) -> list[ChunkGroup]:
+    def partitions(self) -> list[Stretch]:
         out = []
         for path in self.files:
             size = os.path.getsize(path)
-            with open(path, "rb") as file:
-                head, n = b"", HEAD
-                while True:  # headers and tables may be longer than the first read
-                    file.seek(0)
-                    head = file.read(n)
-                    try:
-                        version, parts, at = f.parse_headers(head)
-                        if len(head) < size and at + 8 * sum(p.n_chunks() for p in parts) > len(head):
-                            raise f.ImageError(f.BAD_DATA, "more to read")
-                        break
-                    except f.ImageError:
-                        if len(head) >= size:
-                            raise
-                        n *= 4
-                if all(p.deep for p in parts):
-                    continue
-
-                def fetch(offset: int, n: int, file=file) -> bytes:
-                    file.seek(offset)
-                    return file.read(n)
+            count = max(1, -(-size // GROUP_BYTES))
+            out += [Stretch(path, size, k, count) for k in range(count)]
+        return out
 
-                tables, _ = f.chunk_tables(head, parts, at, bool(version["multipart"]), size, fetch)
-            ends = sorted({o for t in tables for o in t} | {size})
-            after = dict(zip(ends, ends[1:]))
-            for k, (p, table) in enumerate(zip(parts, tables)):
-                if p.deep or not self._fits("part_id", k, k):
+    def _chunks(self, stretch: Stretch, parts: list, tables: list[list[int]]) -> Iterator[tuple[int, int, int]]:
+        """(part, offset, bytes) of the chunks that begin in this stretch and that no option prunes."""
+        ends = sorted({o for t in tables for o in t} | {stretch.size})
+        after = dict(zip(ends, ends[1:]))
+        for k, (p, table) in enumerate(zip(parts, tables)):
+            if p.deep or not self._fits("part_id", k, k):
+                continue
+            tiles = p.tile_list() if p.tile else None
+            for i, o in enumerate(table):
+                if o * stretch.count // stretch.size != stretch.number:
                     continue
-                tiles = p.tile_list() if p.tile else None
-                group: list[tuple[int, int]] = []
-                for i, o in enumerate(table):
-                    chunk = f.Chunk(k, i, *(tiles[i] if tiles else (0, 0, 0, 0)), 0 if tiles else i * f.LINES[p.compression], b"")
-                    _, y, _, lines = f.chunk_shape(p, chunk)
-                    if self._fits("level_x", chunk.level_x, chunk.level_x) and self._fits("level_y", chunk.level_y, chunk.level_y) and (p.line_order or self._fits("y", y, y + lines - 1)):
-                        group.append((o, after[o] - o))
-                        if sum(n for _, n in group) >= GROUP_BYTES:
-                            out.append(ChunkGroup(path, k, i, group))
-                            group = []
-                if group:
-                    out.append(ChunkGroup(path, k, len(table), group))
-        return out
+                chunk = f.Chunk(k, i, *(tiles[i] if tiles else (0, 0, 0, 0)), 0 if tiles else i * f.LINES[p.compression], b"")
+                _, y, _, lines = f.chunk_shape(p, chunk)
+                reach = max(c.y_sampling for c in p.channels) - 1  # a sample may stand for lines below its block
+                if self._fits("level_x", chunk.level_x, chunk.level_x) and self._fits("level_y", chunk.level_y, chunk.level_y) and (p.line_order or self._fits("y", y, y + lines - 1 + reach)):
+                    yield k, o, after[o] - o
 
-    def read(self, partition: ChunkGroup) -> Iterator:
+    def read(self, partition: Stretch) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         with open(partition.path, "rb") as file:
             n = HEAD
-            while True:
+            while True:  # headers and tables may be longer than the first read
                 file.seek(0)
                 head = file.read(n)
                 try:
-                    version, parts, _ = f.parse_headers(head)
+                    version, parts, at = f.parse_headers(head)
+                    if len(head) < partition.size and at + 8 * sum(p.n_chunks() for p in parts) > len(head):
+                        raise f.ImageError(f.BAD_DATA, "more to read")
                     break
                 except f.ImageError:
-                    if len(head) < n:
+                    if len(head) >= partition.size or not head:
                         raise
                     n *= 4
-            p = parts[partition.part_id]
-            for offset, size in partition.ranges:
+            if all(p.deep for p in parts):
+                return
+
+            def fetch(offset: int, size: int) -> bytes:
                 file.seek(offset)
-                chunk = f.parse_chunk(file.read(size), p, partition.part_id, bool(version["multipart"]))
+                return file.read(size)
+
+            tables, _ = f.chunk_tables(head, parts, at, bool(version["multipart"]), partition.size, fetch)
+            for k, offset, size in self._chunks(partition, parts, tables):
+                p = parts[k]
+                chunk = f.parse_chunk(fetch(offset, size), p, k, bool(version["multipart"]))
                 x, _, w, _ = f.chunk_shape(p, chunk)
                 for name, (y, plane) in f.decode_chunk(p, chunk).items():
                     if self.channels is None or name in self.channels:
@@ -139,7 +129,7 @@ class ExrReader(DataSourceReader):
                         m = w * lines
                         i32 = lambda v, m=m: pa.array(np.full(m, v, np.int32))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([partition.path] * m), i32(partition.part_id), i32(chunk.level_x), i32(chunk.level_y), pa.array(np.repeat(np.arange(y, y + lines, dtype=np.int32), w)), pa.array(np.tile(np.arange(x, x + w, dtype=np.int32), lines)), pa.array([name] * m), pa.array(f.as_numbers(plane, kind).ravel())],
+                            [pa.array([partition.path] * m), i32(k), i32(chunk.level_x), i32(chunk.level_y), pa.array(np.repeat(np.arange(y, y + lines, dtype=np.int32), w)), pa.array(np.tile(np.arange(x, x + w, dtype=np.int32), lines)), pa.array([name] * m), pa.array(f.as_numbers(plane, kind).ravel())],
                             ["path", "part_id", "level_x", "level_y", "y", "x", "channel", "value"],
                         )
 

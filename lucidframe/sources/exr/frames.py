@@ -42,6 +42,35 @@ def version_flags(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("status", status).withColumns({"tiled": flag(f.TILED), "long_name": flag(f.LONG_NAMES), "non_image": flag(f.NON_IMAGE), "multipart": flag(f.MULTIPART)})
 
 
+def version_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) with the first eight bytes of each file alone, read by range; content is null where a file cannot
+    be opened.  Spark lists no empty files.  For stores that Arrow reads; ``files`` serves any other."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                try:
+                    fs, place = pyarrow.fs.FileSystem.from_uri(name)
+                    with fs.open_input_file(place) as file:
+                        heads.append(file.read_at(8, 0))
+                except OSError:
+                    heads.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], ["path", "content"])
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # contents are not read
+    return listed.mapInArrow(scan, "path string, content binary")
+
+
+def file_versions(spark: SparkSession, path: str) -> DataFrame:
+    """``version_flags`` of files by their first bytes, with the status numbers of files: short, or not to be opened."""
+    found = version_flags(version_ranges(spark, path))
+    status = F.when(F.col("content").isNull(), f.CANNOT_OPEN).when(F.octet_length("content") < 8, f.BAD_FILE).otherwise(F.col("status"))
+    return found.withColumn("status", status).drop("content")
+
+
 def is_image(content: Column) -> Column:
     """Whether bytes begin like a file of this format."""
     return F.coalesce((F.octet_length(content) >= 8) & (F.hex(F.substring(content, 1, 5)) == (f.MAGIC + bytes([f.VERSION])).hex().upper()), F.lit(False))
@@ -246,8 +275,10 @@ def pixels(packed: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, mode: str = "pixels", names: Sequence[str] | None = None, spread: bool = False, layer: str | None = None, requested: Mapping[str, int] | None = None) -> DataFrame:
-    """``mode``: version, parts, channels, layers, chunks, rows, pixels, rgba, layer (RGBA of ``layer``) or deep."""
+    """``mode``: version, head (the same by range), parts, channels, layers, chunks, rows, pixels, rgba, layer (RGBA of ``layer``) or deep."""
     found = files(spark, path)
+    if mode == "head":
+        return file_versions(spark, path)
     if mode == "layer":
         return load_rgba(found, layer)
     if mode == "version":

@@ -330,3 +330,23 @@ def test_image_folders(spark, tmp_path):
         assert (value(name) == rgb).all(), name
     assert (value("runs.tga") == [1, 2, 3]).all() and (value("b.psd") == [1, 2, 3]).all() and (value("g.pgm")[:, :, 0] == rgb[:, :, 0] // 17 * 17).all()
     assert value("e.jpg").shape == (4, 5, 3)
+
+
+def test_first_bytes_by_range(spark, tmp_path):
+    part = f.Part([f.Channel("Y")], 4, 4, f.ZIP, tile=(2, 2))
+    whole = f.encode_file([(part, planes(part, np.random.default_rng(15)))])
+    for name, data in (("good", whole), ("short", whole[:6]), ("other", b"something else")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r for r in frames.read(spark, str(tmp_path), "head").collect()}
+    assert {n: r.status for n, r in got.items()} == {"good": f.OK, "short": f.BAD_FILE, "other": f.BAD_MAGIC} and got["good"].tiled
+
+
+def test_source_in_stretches(tmp_path, monkeypatch):
+    """Each chunk is read by the task of the stretch that it begins in."""
+    monkeypatch.setattr(datasource, "GROUP_BYTES", 500)
+    r = np.random.default_rng(16)
+    a = f.Part([f.Channel("R")], 30, 90, f.ZIPS, name="a")
+    levels = planes(a, r)
+    (tmp_path / "a.exr").write_bytes(f.encode_file([(a, levels)]))
+    assert len(datasource.ExrReader({"path": str(tmp_path)}).partitions()) > 10
+    assert source_values(tmp_path) == {(0, "R", y, x): float(v) for (y, x), v in np.ndenumerate(levels[0, 0]["R"])}
