@@ -15,7 +15,7 @@ from lucidframe.llm.ngram_join import first_of_components
 from lucidframe.llm.packing import pack_documents
 from lucidframe.llm.personal_data import redact
 from lucidframe.llm.quality_model import keep_good
-from lucidframe.session import materialize
+from lucidframe.session import materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        release(before)
+        before = docs
     return docs

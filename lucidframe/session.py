@@ -44,6 +44,7 @@ def own_folder(spark: SparkSession) -> str:
     """A new folder below the shared one; it goes when the application ends."""
     path = f"{shared_dir(spark)}/lucidframe-{uuid.uuid4().hex}"
     where, store = _file_system(spark, path)
+    store.mkdirs(where)  # only what is there can be marked
     store.deleteOnExit(where)
     return path
 
