@@ -64,3 +64,69 @@ def test_near_duplicates_judges_rows(spark):
     assert got.columns == docs.columns
     kept = sorted(((r.doc_id or 0), (r.text or "").removesuffix(" z")) for r in got.collect())
     assert kept == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (0, text[4]), (0, text[5]), (5, ""), (0, "")])
+
+
+def test_stages_by_brute_force(spark, tmp_path):
+    """Every stage on its own input, against plain code that looks at all pairs, all windows and all spans."""
+    import random
+    import re
+
+    from lucidframe.llm import personal_data
+    from lucidframe.llm.tokens import Encoder
+    from test_operators import brute_components, brute_search
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice(("la", "ver", "th", "ing", "éa", "so")) for _ in range(r.randint(1, 4)))
+    prose = lambda n: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n)) + "."
+    items = [(i, " ".join(word() for _ in range(14))) for i in range(6)]
+    texts = [prose(r.randint(3, 12)) for _ in range(40)]
+    texts += [t + " " + word() for t in texts[:6]] + [texts[0], texts[1]]
+    texts += [f"{prose(4)} {t}, {prose(3)}" for _, t in items[:3]] + [items[3][1].upper(), items[4][1] + "\n\n"]
+    texts += [f"{prose(3)} Mail a.b@c.example.com or +1 (555) 555-1234 from 10.0.0.1, {prose(2)}" for _ in range(4)]
+    texts += [(" " + word()) * 30 + " BUY!! NOW!! ***" * 20 for _ in range(5)] + ["", None, " \n"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(not 61 <= i < 66)) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        seen.append(docs.collect())
+    text_of = lambda k: {x.doc_id: x.text for x in seen[k]}
+    assert all(texts[i] == t for i, t in text_of(0).items())
+
+    ids = sorted(text_of(0))
+    _, comp = brute_components([text_of(0)[i] for i in ids])
+    assert text_of(1) == {i: text_of(0)[i] for k, i in enumerate(ids) if comp[k] == k}
+
+    cut = {}
+    for i, t in text_of(1).items():
+        had = bool(t and t.strip(" \t\n\v\f\r"))
+        while t and (hit := brute_search(t, items)[1]):  # words are cut with what stands between them, until none is left
+            places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)]
+            spans = [(places[a][0], places[b][1]) for a, b in ((min(g), max(g)) for g in ([x for x in range(a, b)] for a, b in decontaminate.merge_spans((h, h + 1) for h in hit)))]
+            for a, b in reversed(spans):
+                t = t[:a] + t[b:]
+        if not had or t.strip(" \t\n\v\f\r"):
+            cut[i] = t
+    assert text_of(2) == cut and any(text_of(1)[i] != t for i, t in cut.items()) and len(cut) < len(text_of(1))
+
+    tagger = personal_data.Tagger(personal_data.train_field(personal_data.training_table()))
+    for i, t in text_of(3).items():
+        (_, spans), = personal_data.all_spans([(cut[i] or "").encode()], tagger)
+        want, at = "", 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+            if a >= at:
+                want, at = want + cut[i][at:a] + f"[{kind.upper()}]", b
+        assert t == (want + (cut[i] or "")[at:] if cut[i] is not None else None)
+        assert not t or not personal_data.base_spans(t)
+    assert sum("[EMAIL]" in (t or "") for t in text_of(3).values()) >= 3 and text_of(3).keys() == cut.keys()
+
+    own, packed = Encoder(), {}
+    for x in seen[4]:
+        packed.setdefault(x.doc_id, []).append((x.piece, x.start, x.length))
+    for i, t in text_of(3).items():
+        n = len(own.whole.encode(t or "", add_special_tokens=False).ids) + 1
+        assert sorted(packed[i]) == [(k, a, min(2048, n - a)) for k, a in enumerate(range(0, n, 2048))]
