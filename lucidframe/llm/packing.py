@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,6 @@ from lucidframe.session import materialize
 CAPACITY = 2048
 #: Pieces of a shard, on average; each shard wastes less than about one sequence.
 SHARD = 8192
-#: Sweeps of the local search over the underfull bins of a shard.
-SWEEPS = 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -68,14 +67,14 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweeps: int = SWEEPS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweeps: int | None = None) -> list[list[int]]:
     """Empties bins by moves and exchanges that each raise the sum of squared fills.
 
     The emptiest bin gives to the others: one of its documents moves, or it gets a smaller document for one or two of
     its own.  A sweep tries every underfull bin, with every underfull target that a step may suit.  What a pair of bins
     can do depends on their lengths alone, so bins of lengths tried in vain skip targets unchanged since, and a bin that
     has one document takes nothing but a move.  Every step shifts tokens from a bin to one at least as full, so the
-    steps end; they also end when the bins are as few as the tokens allow, or after ``sweeps`` sweeps.
+    steps end: when a sweep finds none, or when the bins are as few as the tokens allow.  ``sweeps`` may end them before.
     """
     least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
@@ -83,7 +82,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, sweep
     alive = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
     changed_at, clock = [0] * len(bins), 0  # the step that last changed a bin
     tried: dict[tuple[int, ...], int] = {}  # lengths of a source: the last step when all targets were tried in vain
-    for _ in range(sweeps):
+    for _ in range(sweeps) if sweeps is not None else repeat(0):
         if left <= least or len(alive) < 2:
             break
         alive.sort(key=lambda b: fill[b], reverse=True)  # the fullest target first

@@ -14,7 +14,7 @@ import zstandard
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lucidframe.llm import components, decontaminate, edit_counts, hashing, ngram_join, packing, personal_data, url_filter, warc
+from lucidframe.llm import components, decontaminate, edit_counts, hashing, ngram_join, packing, personal_data, quality_model, url_filter, warc
 from lucidframe.llm.tokens import Encoder
 
 # 6 ------------------------------------------------------------------------------------------------------------------
@@ -342,3 +342,27 @@ def test_search_beats_best_fit():
         after = packing.local_search([list(b) for b in first], lengths, 2048)
         assert sorted(i for b in after for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in after)
         assert len(first) > 315 and len(first) - len(after) >= 0.6 * (len(first) - 300)
+
+
+# 5 ------------------------------------------------------------------------------------------------------------------
+
+
+def test_scores_are_sums_of_entries():
+    """A score by a loop over features and pairs, and features by plain Python."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(600, 4)).astype(np.float32)
+    y = (x[:, 1] * x[:, 2] > 0).astype(float)
+    model = quality_model.fit(x, y, rounds=30)
+    assert model.pairs and all(t.shape == (len(model.edges[f]) + 1, len(model.edges[g]) + 1) for (f, g), t in zip(model.pairs, model.pair_tables))
+    for row, score in zip(x[:50], model.score(x[:50])):
+        place = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.intercept + sum(t[p] for t, p in zip(model.tables, place)) + sum(t[place[f], place[g]] for (f, g), t in zip(model.pairs, model.pair_tables))
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+    assert np.mean((model.score(x) >= 0.5) == y) > 0.85  # the pairs see what single features cannot
+    texts = ["Ab ab ab! 12 x", "", "one two three one two three\nTwo lines", "é ñ"]
+    for text, got in zip(texts, quality_model.text_features([t.encode() for t in texts])):
+        words = text.split()
+        n = max(1, len(words))
+        want = {"words": np.log1p(len(words)), "distinct_words": len(set(words)) / n, "same_neighbours": sum(a == b for a, b in zip(words, words[1:])) / n, "capital_words": sum(w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for w in words) / n, "digits": sum(c.isdigit() for c in text) / max(1, len(text.encode())), "top_word": max((words.count(w) for w in words), default=0) / n}
+        for name, value in want.items():
+            assert abs(got[quality_model.FEATURES.index(name)] - value) < 1e-5, (text, name)
