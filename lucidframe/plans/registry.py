@@ -686,6 +686,61 @@ def rgbe_roundtrip(spark, d):
     return grid.deinterleave(packed(spark, d).mapInArrow(scan, "y long, rgb array<float>"), "rgb", list("RGB"), ["y"])
 
 
+def _below_shared(spark) -> str:
+    """A new folder below the shared one, of this session."""
+    from lucidframe.session import own_folder
+
+    return own_folder(spark)
+
+
+@query(f"WITH {SQL_RGBA}, {_LONG} SELECT path || '.exr' AS name, y, x, channel, value FROM long WHERE channel IN ('G', 'A')")
+def exr_source_roundtrip(spark, d):
+    """Files written and two of their channels read through the data source, below the shared folder."""
+    from lucidframe.sources.exr import datasource
+
+    datasource.register(spark)
+    folder = _below_shared(spark).removeprefix("file:")
+    folder = "/" + folder.lstrip("/") if folder.startswith("//") else folder
+    _files(spark, d, exr.ZIP).write.format("exr").mode("append").save(folder)
+    read = spark.read.format("exr").option("channels", "G,A").load(folder)
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "y", "x", "channel", "value")
+
+
+@query("SELECT DISTINCT 'image' || CAST(vec_id // 64 AS VARCHAR) || CASE vec_id // 64 % 3 WHEN 1 THEN '.cut' WHEN 2 THEN '.odd' ELSE '' END AS name, CASE vec_id // 64 % 3 WHEN 1 THEN -5 WHEN 2 THEN -1 ELSE 0 END AS status FROM embeddings")
+def exr_first_bytes(spark, d):
+    """Sound, short and foreign files, told apart by their first eight bytes alone."""
+    kind = F.regexp_extract("path", "([0-9]+)$", 1).cast("int") % 3
+    made = _files(spark, d, exr.NONE).select(
+        F.concat("path", F.when(kind == 1, ".cut").when(kind == 2, ".odd").otherwise("")).alias("path"),
+        F.when(kind == 1, F.substring("content", 1, 7)).when(kind == 2, F.concat(F.lit(b"0123"), F.col("content"))).otherwise(F.col("content")).alias("content"),
+    )
+    folder = _below_shared(spark)
+    frames.save_files(made, folder).collect()
+    return frames.read(spark, folder, "head").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "status")
+
+
+@query(f"WITH {SQL_RGBA} SELECT 'image' || CAST(y // 64 AS VARCHAR) AS path, channel, CASE channel WHEN 'R' THEN 2 WHEN 'G' THEN 2 ELSE 1 END AS pixel_type, count(*) AS n FROM (SELECT y, unnest(['R', 'G', 'B', 'A']) AS channel FROM rgba) GROUP BY ALL")
+def exr_requested_types(spark, d):
+    """Halves of which two channels are read as floats."""
+    lines = frames.rows(frames.chunks(_files(spark, d, exr.ZIP, exr.HALF)), requested={"R": exr.FLOAT, "G": exr.FLOAT})
+    return lines.groupBy("path", "channel", "pixel_type").agg(F.sum(F.size("values")).alias("n"))
+
+
+@query(f"WITH {SQL_PLANE}, u AS (SELECT y, x, CAST(greatest(0, least(255, trunc(255 * CAST(v AS DOUBLE)))) AS INTEGER) AS u8 FROM plane) SELECT 'line' || CAST(y AS VARCHAR) || '.png' AS name, 1 AS height, CAST(count(*) AS INTEGER) AS width, 1 AS components, CAST(sum(u8) AS BIGINT) AS total FROM u GROUP BY y")
+def image_folder(spark, d):
+    """A PNG file of each vector, in a folder that is read as images."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [images.write_png(np.array(v, np.uint8).reshape(1, -1, 1)) for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["path", "content"])
+
+    folder = _below_shared(spark)
+    frames.save_files(packed(spark, d).select(F.concat(F.lit("line"), F.col("y").cast("string"), F.lit(".png")).alias("path"), F.transform("embedding", color.to_u8).alias("u8")).mapInArrow(scan, "path string, content binary"), folder).collect()
+    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long"))
+    return images.read_files(spark, folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "height", "width", "components", F.aggregate(bytes_, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
 @query(f"WITH {SQL_RGBA} SELECT 'image' || CAST(y // 64 AS VARCHAR) AS name, count(*) * 4 AS n, round(sum(CAST(R AS DOUBLE) + CAST(G AS DOUBLE) + CAST(B AS DOUBLE) + CAST(A AS DOUBLE)), 4) + 0.0 AS total FROM rgba GROUP BY y // 64")
 def exr_stream(spark, d):
     """Files written below the shared folder, read as a stream and summed by file."""
