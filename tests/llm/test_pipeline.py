@@ -106,9 +106,8 @@ def test_stages_by_brute_force(spark, tmp_path):
         had = bool(t and t.strip(" \t\n\v\f\r"))
         while t and (hit := brute_search(t, items)[1]):  # words are cut with what stands between them, until none is left
             places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)]
-            spans = [(places[a][0], places[b][1]) for a, b in ((min(g), max(g)) for g in ([x for x in range(a, b)] for a, b in decontaminate.merge_spans((h, h + 1) for h in hit)))]
-            for a, b in reversed(spans):
-                t = t[:a] + t[b:]
+            for a, b in reversed(decontaminate.merge_spans((h, h + 1) for h in hit)):
+                t = t[: places[a][0]] + t[places[b - 1][1] :]
         if not had or t.strip(" \t\n\v\f\r"):
             cut[i] = t
     assert text_of(2) == cut and any(text_of(1)[i] != t for i, t in cut.items()) and len(cut) < len(text_of(1))
