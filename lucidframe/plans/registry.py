@@ -592,6 +592,24 @@ def exr_chunk_parallel(spark, d):
     return frames.pixels(frames.rows(frames.chunks(frames.encode(long, exr.PIZ, spread=True)), spread=True)).select("path", "y", "x", "channel", "value")
 
 
+_MIPS = "mips AS (SELECT k, unnest(range(0, CAST(floor(log2(greatest(16, n))) AS INTEGER) + 1)) AS l, n FROM (SELECT y // 64 AS k, max(y % 64) + 1 AS n FROM rgba GROUP BY k)), level AS (SELECT k, l, CAST((y % 64) >> l AS INTEGER) AS y, CAST(x >> l AS INTEGER) AS x, R FROM mips JOIN rgba ON rgba.y // 64 = k WHERE (y % 64) % (1 << l) = 0 AND x % (1 << l) = 0 AND (y % 64) >> l < greatest(1, n >> l) AND x >> l < greatest(1, 16 >> l))"
+
+
+@query(f"WITH {SQL_RGBA}, {_MIPS} SELECT 'image' || CAST(k AS VARCHAR) AS path, CAST(l AS INTEGER) AS level_x, CAST(l AS INTEGER) AS level_y, y, x, unnest(['R', 'column', 'mark']) AS channel, unnest([CAST(R AS DOUBLE), x, 4000000000 + y]) AS value, unnest([2, 1, 0]) AS pixel_type FROM level")
+def exr_mipmap_files(spark, d):
+    """Tiled files with all levels of a channel, each the first of 2 x 2 pixels, and channels of the other pixel types."""
+    y, x, l = (F.col(c) for c in ("y", "x", "l"))
+    wide = rgba(spark, d).select(F.floor(y / 64).alias("k"), (y % 64).cast("int").alias("y"), "x", "R")
+    heights = wide.groupBy("k").agg((F.max("y") + 1).alias("n"))
+    mips = heights.select("k", "n", F.explode(F.sequence(F.lit(0), levels.floor_log2(F.greatest(F.lit(16), F.col("n"))))).alias("l"))
+    first = F.expr("y % shiftleft(1, l) = 0 and x % shiftleft(1, l) = 0 and shiftright(y, l) < greatest(1, shiftright(n, l)) and shiftright(x, l) < greatest(1, shiftright(16, l))")
+    level = wide.join(mips, "k").where(first).select(F.concat(F.lit("image"), F.col("k").cast("string")).alias("path"), F.lit(0).alias("part_id"), l.alias("level_x"), l.alias("level_y"), F.expr("shiftright(y, l)").alias("y"), F.expr("shiftright(x, l)").alias("x"), "R")
+    long = level.select("path", "part_id", "level_x", "level_y", "y", "x", F.expr("stack(3, 'R', double(R), 'column', double(x), 'mark', 4000000000D + y) as (channel, value)"))
+    files = frames.encode(long, exr.PIZ, {"column": exr.HALF, "mark": exr.UINT}, (6, 20), level_mode=1)
+    lines = frames.rows(frames.chunks(files))
+    return lines.select("path", "level_x", "level_y", "y", "x", "channel", "pixel_type", F.posexplode("values").alias("i", "value")).select("path", "level_x", "level_y", "y", (x + F.col("i")).alias("x"), "channel", "value", "pixel_type")
+
+
 @query("""WITH n AS (SELECT vec_id // 64 AS k, count(*) AS n FROM embeddings GROUP BY k) SELECT 'image' || CAST(k AS VARCHAR) AS path, 0 AS part_id, 0 AS status, 3 AS compression, CAST(n AS INTEGER) AS height, 16 AS width, 4 AS n_channels, CAST(ceil(n / 16) AS INTEGER) AS chunk_count FROM n""")
 def exr_headers(spark, d):
     p = frames.parts(_files(spark, d, exr.ZIP))

@@ -8,7 +8,7 @@ shuffle of compressed bytes where files are few and large.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidframe.functions.layers import layer_of, name_in_layer
+from lucidframe.functions.levels import level_size
 from lucidframe.operators.grid import long_to_rgba
 from lucidframe.sources.exr import format as f
 
@@ -319,83 +320,123 @@ def deep(df: DataFrame) -> DataFrame:
     return df.select("path", "content").mapInArrow(scan, schema)
 
 
-def _placed(group: pa.Table, width: int, height: int, names: Sequence[str], pixel_type: int, x0: int = 0, y0: int = 0) -> dict[str, np.ndarray]:
-    """Planes in stored types from long samples; missing ones are 0."""
+def _placed(group: pa.Table, part: f.Part, width: int, height: int, x0: int = 0, y0: int = 0) -> dict[str, np.ndarray]:
+    """Planes of a part's channels in stored types from long samples; missing ones are 0."""
     y, x, v = (group[c].to_numpy() for c in ("y", "x", "value"))
+    if len(y) and not (0 <= y.min() - y0 and y.max() - y0 < height and 0 <= x.min() - x0 and x.max() - x0 < width):
+        raise f.ImageError(f.BAD_ARGUMENT, "a sample outside of its level")
     name = group["channel"].combine_chunks().dictionary_encode()
     code, listed = name.indices.to_numpy(), name.dictionary.to_pylist()
     planes = {}
-    for c in names:
+    for c in part.channels:
         plane = np.zeros((height, width), np.float64)
-        if c in listed:
-            at = code == listed.index(c)
+        if c.name in listed:
+            at = code == listed.index(c.name)
             plane[y[at] - y0, x[at] - x0] = v[at]
-        planes[c] = f.to_stored(plane.astype(np.float32) if pixel_type != f.UINT else plane, pixel_type)
+        planes[c.name] = f.to_stored(plane.astype(np.float32) if c.pixel_type != f.UINT else plane, c.pixel_type)
     return planes
 
 
-_SAMPLES = ("path", "part_id int", "y int", "x int", "channel", "value double")
+_SAMPLES = ("path", "part_id int", "level_x int", "level_y int", "y int", "x int", "channel", "value double")
 
 
 def _long(samples: DataFrame) -> DataFrame:
+    for level in ("level_x", "level_y"):
+        if level not in samples.columns:
+            samples = samples.withColumn(level, F.lit(0))
     return samples.select(*[F.col(c.split()[0]).cast(c.split()[1]) if " " in c else c for c in _SAMPLES])
 
 
-def encode(samples: DataFrame, compression: int = f.ZIP, pixel_type: int = f.FLOAT, tile: tuple[int, int] | None = None, spread: bool = False) -> DataFrame:
+def encode(
+    samples: DataFrame,
+    compression: int = f.ZIP,
+    pixel_type: int | Mapping[str, int] = f.FLOAT,
+    tile: tuple[int, int] | None = None,
+    spread: bool = False,
+    level_mode: int = 0,
+    round_up: int = 0,
+    attributes: Mapping[str, tuple[str, bytes]] | None = None,
+) -> DataFrame:
     """Files (path, content) from long samples (path, part_id, y, x, channel, value).
 
-    Missing samples are 0.  With several part ids, a file has as many parts, named after them.  One task makes a file;
-    with ``spread``, for large ones, the chunks are made by tasks of their own and only their bytes meet in one.
+    Missing samples are 0.  With several part ids, a file has as many parts, named after them.  ``pixel_type`` is that of
+    all channels, or has those of some, the others being floats.  Tiled files have more levels with ``level_mode``, whose
+    samples are told by the columns level_x and level_y; the first level gives the size.  ``attributes`` (type, value) go
+    into every header.  One task makes a file; with ``spread``, for large ones, the chunks are made by tasks of their own
+    and only their bytes meet in one.
     """
+    given = dict(attributes or {})
+
+    def part_of(k: int, w: int | None, h: int | None, names: list[str]) -> f.Part:
+        if w is None or h is None:
+            raise f.ImageError(f.BAD_ARGUMENT, "a part without samples of its first level")
+        kinds = pixel_type if isinstance(pixel_type, Mapping) else dict.fromkeys(names, pixel_type)
+        return f.Part([f.Channel(c, kinds.get(c, f.FLOAT)) for c in names], w, h, compression, f"part{k}", tile=tile, level_mode=level_mode, round_up=round_up, attributes=given)
+
     if spread:
-        return _encode_spread(_long(samples), compression, pixel_type, tile)
+        return _encode_spread(_long(samples), compression, tile, round_up, part_of)
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
         made = []
         for k in sorted(set(group["part_id"].to_pylist())):
             own = group.filter(pa.compute.equal(group["part_id"], k))
-            h, w = pa.compute.max(own["y"]).as_py() + 1, pa.compute.max(own["x"]).as_py() + 1
-            names = sorted(pa.compute.unique(own["channel"]).to_pylist())
-            part = f.Part([f.Channel(c, pixel_type) for c in names], w, h, compression, f"part{k}", tile=tile)
-            made.append((part, {(0, 0): _placed(own, w, h, names, pixel_type)}))
+            level = np.stack([own[c].to_numpy() for c in ("level_x", "level_y")])
+            first = own.filter(pa.array((level == 0).all(axis=0)))
+            w, h = (None if m is None else m + 1 for m in (pa.compute.max(first[c]).as_py() for c in ("x", "y")))
+            part = part_of(k, w, h, sorted(pa.compute.unique(own["channel"]).to_pylist()))
+            if {*zip(*level.tolist())} - {(x, y) for x, y, _, _ in part.levels()}:
+                raise f.ImageError(f.BAD_ARGUMENT, "a sample of a level that its part does not have")
+            made.append((part, {(x, y): _placed(own.filter(pa.array((level[0] == x) & (level[1] == y))), part, w, h) for x, y, w, h in part.levels()}))
         return pa.table({"path": [key[0].as_py()], "content": pa.array([f.encode_file(made)], pa.binary())})
 
     return _long(samples).groupBy("path").applyInArrow(make, "path string, content binary")
 
 
-def _encode_spread(samples: DataFrame, compression: int, pixel_type: int, tile: tuple[int, int] | None) -> DataFrame:
-    """Chunks by (path, part, chunk), then files by path; a chunk without samples is made with its file."""
-    shapes = samples.groupBy("path", "part_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.sort_array(F.collect_set("channel")).alias("names"))
+def _encode_spread(samples: DataFrame, compression: int, tile: tuple[int, int] | None, round_up: int, part_of: Callable[[int, int | None, int | None, list[str]], f.Part]) -> DataFrame:
+    """Chunks by (path, part, level, chunk), then files by path; a chunk without samples is made with its file."""
+    top = lambda c: F.max(F.when((F.col("level_x") == 0) & (F.col("level_y") == 0), F.col(c) + 1))
+    shapes = samples.groupBy("path", "part_id").agg(top("x").alias("w"), top("y").alias("h"), F.sort_array(F.collect_set("channel")).alias("names"))
     if tile:
-        across = F.ceil(F.col("w") / tile[0]).cast("int")
+        across = F.ceil(level_size(F.col("w"), F.col("level_x"), F.lit(round_up)) / tile[0]).cast("int")
         chunk = F.floor(F.col("y") / tile[1]).cast("int") * across + F.floor(F.col("x") / tile[0]).cast("int")
     else:
         chunk = F.floor(F.col("y") / f.LINES[compression]).cast("int")
-    placed = samples.join(shapes, ["path", "part_id"]).withColumn("chunk", chunk)
-
-    def part_of(k: int, w: int, h: int, names: list[str]) -> f.Part:
-        return f.Part([f.Channel(c, pixel_type) for c in names], w, h, compression, f"part{k}", tile=tile)
+    placed = samples.join(shapes, ["path", "part_id"]).withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+
+    def numbered(part: f.Part) -> dict[tuple[int, int, int], f.Chunk]:
+        """Chunks by level and number in it."""
+        out: dict[tuple[int, int, int], f.Chunk] = {}
+        level, n = None, 0
+        for c in f.chunk_list(part):
+            n = n + 1 if (c.level_x, c.level_y) == level else 0
+            level = c.level_x, c.level_y
+            out[*level, n] = c
+        return out
 
     def one(key: tuple, group: pa.Table) -> pa.Table:
         first = group.slice(0, 1).to_pylist()[0]
-        part = part_of(first["part_id"], first["w"], first["h"], first["names"])
-        x, y, w, h = f.chunk_shape(part, f.chunk_list(part)[first["chunk"]])
-        data = f.encode_chunk(part, _placed(group, w, h, first["names"], pixel_type, x, y), h, w, y)
-        return pa.table({"path": [first["path"]], "part_id": pa.array([first["part_id"]], pa.int32()), "w": pa.array([first["w"]], pa.int32()), "h": pa.array([first["h"]], pa.int32()), "names": pa.array([first["names"]], pa.list_(pa.string())), "chunk": pa.array([first["chunk"]], pa.int32()), "data": pa.array([data], pa.binary())})
+        part = part_of(*(first[c] for c in ("part_id", "w", "h", "names")))
+        found = numbered(part).get(tuple(first[c] for c in ("level_x", "level_y", "chunk")))
+        if found is None:
+            raise f.ImageError(f.BAD_ARGUMENT, "a sample outside of its part")
+        x, y, w, h = f.chunk_shape(part, found)
+        data = f.encode_chunk(part, _placed(group, part, w, h, x, y), h, w, y)
+        kinds = {"path": pa.string(), "part_id": pa.int32(), "w": pa.int32(), "h": pa.int32(), "names": pa.list_(pa.string()), "level_x": pa.int32(), "level_y": pa.int32(), "chunk": pa.int32()}
+        return pa.table({c: pa.array([first[c]], t) for c, t in kinds.items()} | {"data": pa.array([data], pa.binary())})
 
-    coded = placed.groupBy("path", "part_id", "chunk").applyInArrow(one, "path string, part_id int, w int, h int, names array<string>, chunk int, data binary")
+    coded = placed.groupBy("path", "part_id", "level_x", "level_y", "chunk").applyInArrow(one, "path string, part_id int, w int, h int, names array<string>, level_x int, level_y int, chunk int, data binary")
 
     def whole(key: tuple, group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         ids = sorted({r["part_id"] for r in rows})
         parts, chunks = [], []
         for place, k in enumerate(ids):
-            own = {r["chunk"]: r for r in rows if r["part_id"] == k}
+            own = {(r["level_x"], r["level_y"], r["chunk"]): r for r in rows if r["part_id"] == k}
             first = next(iter(own.values()))
             part, written = part_of(k, first["w"], first["h"], first["names"]), []
-            for c in f.chunk_list(part):
+            for at, c in numbered(part).items():
                 _, y, w, h = f.chunk_shape(part, c)
-                data = own[c.index]["data"] if c.index in own else f.encode_chunk(part, {n: np.zeros((h, w), f.DTYPES[pixel_type]) for n in first["names"]}, h, w, y)
+                data = own[at]["data"] if at in own else f.encode_chunk(part, {n.name: np.zeros((h, w), f.DTYPES[n.pixel_type]) for n in part.channels}, h, w, y)
                 written.append(f.chunk_head(part, c, place if len(ids) > 1 else None, len(data)) + data)
             parts.append(part)
             chunks.append(written)

@@ -1,4 +1,4 @@
-"""Low-range and other image files: RGBE, PNG, TGA, PNM, PSD and 32-bit float TIFF, as functions on bytes and arrays.
+"""Low-range and other image files: RGBE, PNG, TGA, PNM, PSD, PIC and 32-bit float TIFF, as functions on bytes and arrays.
 
 ``read_files`` takes whole folders; JPEG, BMP and GIF go through Spark's own image reader.
 """
@@ -155,7 +155,7 @@ def read_rgbm_png(data: bytes) -> np.ndarray:
     return np.sqrt(v[:, :, :3] * v[:, :, 3:] * 16)
 
 
-# TGA, PNM, PSD --------------------------------------------------------------------------------------------------------
+# TGA, PNM, PSD, PIC --------------------------------------------------------------------------------------------------------
 
 
 def read_tga(data: bytes) -> np.ndarray:
@@ -255,8 +255,52 @@ def read_psd(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(n, h, w)[:keep].transpose(1, 2, 0))
 
 
+#: First bytes, and the bits of the channels.
+PIC_MAGIC, PIC_BITS = b"\x53\x80\xf6\x34", {"R": 0x80, "G": 0x40, "B": 0x20, "A": 0x10}
+
+
+def read_pic(data: bytes) -> np.ndarray:
+    """8-bit colours in packets of channels, each line plain, in runs or in runs and stretches; alpha if a packet has it."""
+    if len(data) < 104 or not data.startswith(PIC_MAGIC) or data[88:92] != b"PICT":
+        raise ValueError("no PIC file")
+    w, h = struct.unpack_from(">HH", data, 92)
+    packets, at, more = [], 104, 1
+    while more:
+        more, depth, kind, mask = struct.unpack_from("4B", data, at)
+        if depth != 8 or kind > 2 or len(packets) == 8:
+            raise ValueError("a PIC that is not supported")
+        packets.append((kind, [k for k, bit in enumerate(PIC_BITS.values()) if mask & bit]))
+        at += 4
+
+    def line_of(kind: int, n: int, at: int) -> tuple[bytes, int]:
+        line, size = bytearray(), w * n
+        while len(line) < size:
+            count, repeated = w, False
+            if kind:
+                count, repeated, at = data[at], kind == 1, at + 1
+                if kind == 2 and count == 128:
+                    count, repeated, at = int.from_bytes(data[at : at + 2], "big"), True, at + 2
+                elif kind == 2:
+                    repeated = count > 128
+                    count = count - 127 if repeated else count + 1
+            took = data[at : at + (n if repeated else n * count)]
+            if not took or len(took) < (n if repeated else n * count):
+                raise ValueError("a PIC that is cut short")
+            line += took * count if repeated else took
+            at += len(took)
+        return bytes(line[:size]), at
+
+    out = np.full((h, w, 4), 255, np.uint8)
+    for y in range(h):
+        for kind, places in packets:
+            line, at = line_of(kind, len(places), at)
+            out[y][:, places] = np.frombuffer(line, np.uint8).reshape(w, len(places))
+    alpha = any(3 in places for _, places in packets)
+    return out if alpha else np.ascontiguousarray(out[:, :, :3])
+
+
 #: First bytes and readers; TGA has none and is told by its name.
-READERS = ((b"\x89PNG", read_png), (b"P5", read_pnm), (b"P6", read_pnm), (b"8BPS", read_psd))
+READERS = ((b"\x89PNG", read_png), (b"P5", read_pnm), (b"P6", read_pnm), (b"8BPS", read_psd), (PIC_MAGIC, read_pic))
 PIXELS = "path string, error string, height int, width int, components int, pixels binary"
 
 
@@ -273,7 +317,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, error, height, width, components, pixels) of a folder's 8-bit images, pixels as interleaved lines of gray,
     RGB or RGBA.  A file that cannot be read has its error and nothing else."""
     native = "*.{jpg,jpeg,bmp,gif,JPG,JPEG,BMP,GIF}"
-    own = "*.{png,tga,ppm,pgm,pnm,psd,PNG,TGA,PPM,PGM,PNM,PSD}"
+    own = "*.{png,tga,ppm,pgm,pnm,psd,pic,PNG,TGA,PPM,PGM,PNM,PSD,PIC}"
     kinds = pa.schema([("path", pa.string()), ("error", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("components", pa.int32()), ("pixels", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -257,6 +257,28 @@ def test_encode_by_chunks(spark, tile):
         assert one == many and set(one) == {"a", "b"}
 
 
+@pytest.mark.parametrize("mode,up", [(1, 0), (1, 1), (2, 0), (2, 1)])
+def test_encode_levels_types_and_attributes(spark, mode, up):
+    shape = f.Part([], 11, 5, tile=(4, 3), level_mode=mode, round_up=up)
+    samples = [("a", 0, lx, ly, y, x, c, float(200 * lx + 40 * ly + 10 * y + x)) for lx, ly, w, h in shape.levels() for y in range(h) for x in range(w) for c in ("H", "U", "F") if c != "F" or lx != 1]
+    df = spark.createDataFrame(samples, "path string, part_id int, level_x int, level_y int, y int, x int, channel string, value double").repartition(3)
+    options = {"compression": f.ZIP, "pixel_type": {"H": f.HALF, "U": f.UINT}, "tile": (4, 3), "level_mode": mode, "round_up": up, "attributes": {"owner": ("string", b"me")}}
+    one, many = (frames.encode(df, spread=s, **options) for s in (False, True))
+    data = bytes(one.first().content)
+    assert data == bytes(many.first().content)
+    _, parts, _ = f.parse_headers(data)
+    assert {c.name: c.pixel_type for c in parts[0].channels} == {"F": f.FLOAT, "H": f.HALF, "U": f.UINT} and parts[0].attributes["owner"] == ("string", b"me")
+    got = {(r.level_x, r.level_y, r.y, r.x, r.channel): r.value for r in frames.pixels(frames.rows(frames.chunks(one))).collect()}
+    wanted = {(lx, ly, y, x, c): 0.0 for lx, ly, w, h in shape.levels() for y in range(h) for x in range(w) for c in ("H", "U", "F")} | {(s[2], s[3], s[4], s[5], s[6]): s[7] for s in samples}
+    assert got == wanted
+    for bad in (("a", 0, 9, 9, 0, 0, "H", 1.0), ("a", 0, 1, 1, 4, 0, "H", 1.0)):
+        for s in (False, True):
+            with pytest.raises(Exception, match="a sample o"):
+                frames.encode(df.unionAll(spark.createDataFrame([bad], df.schema)), spread=s, **options).collect()
+    with pytest.raises(Exception, match="without samples of its first level"):
+        frames.encode(df.where("level_x > 0"), **options).collect()
+
+
 def test_simple_save_of_tables(spark):
     pixels = spark.createDataFrame([("p", y, x, y / 8, x / 8, 0.5, 1.0) for y in range(20) for x in range(5)], "path string, y int, x int, R double, G double, B double, A double")
     for channels, use_half in (("RGBA", True), ("RGB", False), ("A", False)):
@@ -297,9 +319,10 @@ def test_rgbm_png():
 
 
 def test_image_folders(spark, tmp_path):
-    """TGA, PNM and PSD by bytes written by hand, PNG by the own writer, BMP and JPEG by Java's writers."""
+    """TGA, PNM, PSD and PIC by bytes written by hand, PNG by the own writer, BMP and JPEG by Java's writers."""
     rgb = np.random.default_rng(14).integers(0, 256, (4, 5, 3)).astype(np.uint8)
     head = lambda kind, depth, flags: bytes([0, 0, kind, *[0] * 9]) + struct.pack("<HHBB", 5, 4, depth, flags)
+    pic = lambda *packets: b"\x53\x80\xf6\x34" + bytes(84) + b"PICT" + struct.pack(">HHfHH", 5, 4, 1, 3, 0) + b"".join(bytes([k + 1 < len(packets), 8, *p]) for k, p in enumerate(packets))
     files = {
         "plain.tga": head(2, 24, 0x20) + rgb[:, :, ::-1].tobytes(),
         "below.tga": head(2, 24, 0) + rgb[::-1, :, ::-1].tobytes(),
@@ -308,7 +331,11 @@ def test_image_folders(spark, tmp_path):
         "g.pgm": b"P5 5 4 15\n" + (rgb[:, :, 0] // 17).tobytes(),
         "a.psd": b"8BPS\0\1" + bytes(6) + struct.pack(">HIIHH", 3, 4, 5, 8, 3) + bytes(12) + b"\0\0" + rgb.transpose(2, 0, 1).tobytes(),
         "b.psd": b"8BPS\0\1" + bytes(6) + struct.pack(">HIIHH", 3, 4, 5, 8, 3) + bytes(12) + b"\0\1" + bytes(24) + bytes([256 - 19, 1, 256 - 19, 2, 256 - 19, 3]),
+        "plain.pic": pic((0, 0xE0)) + rgb.tobytes(),
+        "pure.pic": pic((1, 0xE0)) + bytes([2, 1, 2, 3, 3, 4, 5, 6]) * 4,
+        "mixed.pic": pic((2, 0xE0), (2, 0x10)) + (bytes([129, 1, 2, 3, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12]) + bytes([128, 0, 5, 77])) * 4,
         "d.png": images.write_png(rgb),
+        "bad.pic": pic((1, 0xE0)) + bytes([2, 1]),
         "bad.png": b"\x89PNG\r\n\x1a\nxx",
         "bad.tga": b"short",
     }
@@ -324,12 +351,14 @@ def test_image_folders(spark, tmp_path):
     (tmp_path / "bad.jpg").write_bytes(b"nothing")
     got = {r.path.rsplit("/", 1)[1]: r for r in images.read_files(spark, str(tmp_path)).collect()}
     assert set(got) == {*files, "e.bmp", "e.jpg", "bad.jpg"}
-    assert {n for n, r in got.items() if r.error} == {"bad.png", "bad.tga", "bad.jpg"}
+    assert {n for n, r in got.items() if r.error} == {"bad.pic", "bad.png", "bad.tga", "bad.jpg"}
     value = lambda n: np.frombuffer(got[n].pixels, np.uint8).reshape(got[n].height, got[n].width, got[n].components)
-    for name in ("plain.tga", "below.tga", "c.ppm", "a.psd", "d.png", "e.bmp"):
+    for name in ("plain.tga", "below.tga", "c.ppm", "a.psd", "plain.pic", "d.png", "e.bmp"):
         assert (value(name) == rgb).all(), name
     assert (value("runs.tga") == [1, 2, 3]).all() and (value("b.psd") == [1, 2, 3]).all() and (value("g.pgm")[:, :, 0] == rgb[:, :, 0] // 17 * 17).all()
     assert value("e.jpg").shape == (4, 5, 3)
+    assert value("pure.pic")[3].tolist() == [[1, 2, 3]] * 2 + [[4, 5, 6]] * 3
+    assert value("mixed.pic")[3].tolist() == [[1, 2, 3, 77]] * 2 + [[4, 5, 6, 77], [7, 8, 9, 77], [10, 11, 12, 77]]
 
 
 def test_first_bytes_by_range(spark, tmp_path):
