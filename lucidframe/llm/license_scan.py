@@ -1,8 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a window of as many words as the template has that crosses line breaks, so that wrapped notices
-are found.  It meets a template if it contains at least ``percent`` of the template's distinct words.  All sets share one order, rare words first, by the frequency of the templates' words in the whole corpus.  A block that
-meets a template T with o = ceil(percent |T|) words in common shares a word of T's first |T| - o + 1 and its own first
+are found.  It meets a template if it contains at least ``percent`` of the template's distinct words.  All sets share
+one order, rare words first, by the frequency of the templates' words in the whole corpus.  A block that meets a
+template T with o = ceil(percent |T|) words in common shares a word of T's first |T| - o + 1 and its own first
 |B| - o + 1 words (prefix filter), has o words of the vocabulary at least (length filter), and at each shared word
 enough words must be left on both sides (positional filter); what passes is counted exactly.  A document has windows
 only for templates that it meets as one block; they slide over the places of the template's words.

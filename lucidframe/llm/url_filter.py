@@ -123,6 +123,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         if before is not None and before is not listed:
             release(before)
         n = inside.count()
+    release(*[t for t in (outside, inside) if t is not listed])  # the levels are all that is left to read
     return Cascade(levels)
 
 
@@ -130,10 +131,10 @@ def build_cascades(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_B
     """A cascade for every shard of the list; shards are as many as keep a shard's first filter within ``max_bits``."""
     listed = materialize(listed.where("key is not null").distinct(), "listed")
     shards = max(1, -(-listed.count() * BITS_PER_KEY // max(max_bits // 2, 64)))
-    if shards == 1:
-        return [build_cascade(listed, universe)]
-    mine = lambda df, s: df.where(shard_of(F.col("key"), shards) == s)
-    return [Cascade(build_cascade(mine(listed, s), mine(universe, s)).levels, s, shards) for s in range(shards)]
+    mine = lambda df, s: df.where(shard_of(F.col("key"), shards) == s) if shards > 1 else df
+    out = [Cascade(build_cascade(mine(listed, s), mine(universe, s)).levels, s, shards) for s in range(shards)]
+    release(listed)
+    return out
 
 
 def lots(cascades: Sequence[tuple[str, Cascade]], max_bits: int) -> list[list[tuple[str, Cascade]]]:
