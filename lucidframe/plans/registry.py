@@ -711,6 +711,11 @@ def _below_shared(spark) -> str:
     return own_folder(spark)
 
 
+def _save(made: DataFrame, folder: str) -> None:
+    """Saves files; what executors have written is not sent to the driver."""
+    frames.save_files(made, folder).write.format("noop").mode("overwrite").save()
+
+
 @query(f"WITH {SQL_RGBA}, {_LONG} SELECT path || '.exr' AS name, y, x, channel, value FROM long WHERE channel IN ('G', 'A')")
 def exr_source_roundtrip(spark, d):
     """Files written and two of their channels read through the data source, below the shared folder."""
@@ -733,7 +738,7 @@ def exr_first_bytes(spark, d):
         F.when(kind == 1, F.substring("content", 1, 7)).when(kind == 2, F.concat(F.lit(b"0123"), F.col("content"))).otherwise(F.col("content")).alias("content"),
     )
     folder = _below_shared(spark)
-    frames.save_files(made, folder).collect()
+    _save(made, folder)
     return frames.read(spark, folder, "head").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "status")
 
 
@@ -754,24 +759,20 @@ def image_folder(spark, d):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], ["path", "content"])
 
     folder = _below_shared(spark)
-    frames.save_files(packed(spark, d).select(F.concat(F.lit("line"), F.col("y").cast("string"), F.lit(".png")).alias("path"), F.transform("embedding", color.to_u8).alias("u8")).mapInArrow(scan, "path string, content binary"), folder).collect()
+    _save(packed(spark, d).select(F.concat(F.lit("line"), F.col("y").cast("string"), F.lit(".png")).alias("path"), F.transform("embedding", color.to_u8).alias("u8")).mapInArrow(scan, "path string, content binary"), folder)
     bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("long"))
     return images.read_files(spark, folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "height", "width", "components", F.aggregate(bytes_, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
 @query(f"WITH {SQL_RGBA} SELECT 'image' || CAST(y // 64 AS VARCHAR) AS name, count(*) * 4 AS n, round(sum(CAST(R AS DOUBLE) + CAST(G AS DOUBLE) + CAST(B AS DOUBLE) + CAST(A AS DOUBLE)), 4) + 0.0 AS total FROM rgba GROUP BY y // 64")
 def exr_stream(spark, d):
-    """Files written below the shared folder, read as a stream and summed by file."""
-    import uuid
-
-    from lucidframe.session import delete_path, shared_dir
-    from lucidframe.streaming.images import stream_pixels
-
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    frames.save_files(_files(spark, d, exr.ZIP), folder).collect()
-    name = f"stream_{uuid.uuid4().hex}"
-    totals = stream_pixels(spark, folder).groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"))
-    running = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
+    """Files written below the shared folder, read as a stream of packed lines and summed by file."""
+    from lucidframe.session import delete_path
+    from lucidframe.streaming.images import drain, stream_rows
+
+    folder = _below_shared(spark)
+    _save(_files(spark, d, exr.ZIP), folder)
+    line = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    lines = drain(stream_rows(spark, folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.size("values").alias("n"), line.alias("total")))
     delete_path(spark, folder)
-    return spark.table(name)
+    return lines.groupBy("name").agg(F.sum("n").alias("n"), (F.round(F.sum("total"), 4) + 0.0).alias("total"))

@@ -379,3 +379,38 @@ def test_source_in_stretches(tmp_path, monkeypatch):
     (tmp_path / "a.exr").write_bytes(f.encode_file([(a, levels)]))
     assert len(datasource.ExrReader({"path": str(tmp_path)}).partitions()) > 10
     assert source_values(tmp_path) == {(0, "R", y, x): float(v) for (y, x), v in np.ndenumerate(levels[0, 0]["R"])}
+
+
+def test_drained_stream_is_whole_and_stays_in_the_store(spark, tmp_path):
+    """Each batch gives its own rows once, in files; nothing is kept by the driver."""
+    from lucidframe.streaming.images import drain, stream_rows
+
+    (tmp_path / "in").mkdir()
+    assert drain(stream_rows(spark, str(tmp_path / "in"))).count() == 0
+    want = {}
+    for k in range(5):
+        values = np.random.default_rng(k).normal(size=(20, 3)).astype("<f4")
+        part = f.Part([f.Channel("R")], 3, 20, f.ZIP)
+        (tmp_path / "in" / f"{k}.exr").write_bytes(f.encode_file([(part, {(0, 0): {"R": values}})]))
+        want |= {(f"{k}.exr", y): v for y, v in enumerate(values.tolist())}
+    table = drain(stream_rows(spark, str(tmp_path / "in"), files_per_batch=2))
+    got = [((r.path.rsplit("/", 1)[1], r.y), r["values"]) for r in table.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert len(table.inputFiles()) >= 3  # of three batches
+
+
+def test_saving_and_streaming_send_the_driver_no_rows(spark, monkeypatch):
+    """Queries that save files or run streams get neither the files' names nor a sink's table into the driver."""
+    from pyspark.sql import DataFrame
+
+    from lucidframe.plans import registry
+
+    def refuse(self, *args):
+        raise AssertionError("rows come to the driver")
+
+    kind = type(spark.range(1))
+    for where in {DataFrame, kind}:
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            monkeypatch.setattr(where, name, refuse)
+    made = {name: registry.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("exr_stream", "exr_first_bytes", "image_folder")}
+    assert all(df.inputFiles() for df in made.values())  # a memory sink's table has none
