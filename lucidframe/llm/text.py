@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lucidframe import session
+
 #: Bytes of text that one slice holds, so that temporary arrays stay small; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -23,16 +25,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """The same table; its session hands BATCH_ROWS rows and about BATCH_BYTES bytes to a worker at once at most.
-
-    A longer row goes alone.  Spark reads these settings of the session when a query runs, so they stay as they are set.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.max{name}PerBatch"
-        if not 0 < int(conf.get(key).removesuffix("b")) <= most:
-            conf.set(key, str(most))
-    return df
+    """The same table; its session hands BATCH_ROWS rows and about BATCH_BYTES bytes to a worker at once at most."""
+    return session.bounded_batches(df, BATCH_ROWS, BATCH_BYTES)
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

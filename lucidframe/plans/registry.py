@@ -502,7 +502,7 @@ _LONG = "long AS (SELECT 'image' || CAST(y // 64 AS VARCHAR) AS path, CAST(y % 6
 
 
 def _samples(files: DataFrame) -> DataFrame:
-    return frames.pixels(frames.rows(frames.chunks(files))).select("path", "y", "x", "channel", "value")
+    return frames.pixels(frames.file_rows(files)).select("path", "y", "x", "channel", "value")
 
 
 def _file_query(name: str, compression: int, tile=None):
@@ -526,12 +526,12 @@ def exr_half_file(spark, d):
 
 @query(f"WITH {SQL_RGBA}, {_LONG} SELECT path, CAST(x % 2 AS INTEGER) AS part_id, y, CAST(x // 2 AS INTEGER) AS x, channel, value FROM long")
 def exr_multipart(spark, d):
-    return frames.pixels(frames.rows(frames.chunks(_files(spark, d, exr.ZIP, parts=2)))).select("path", "part_id", "y", "x", "channel", "value")
+    return frames.pixels(frames.file_rows(_files(spark, d, exr.ZIP, parts=2))).select("path", "part_id", "y", "x", "channel", "value")
 
 
 @query(f"WITH {SQL_RGBA} SELECT 'image' || CAST(y // 64 AS VARCHAR) AS path, CAST(y % 64 AS INTEGER) AS y, x, CAST(R AS DOUBLE) AS R, CAST(G AS DOUBLE) AS G, CAST(B AS DOUBLE) AS B, CAST(A AS DOUBLE) AS A FROM rgba")
 def exr_rgba(spark, d):
-    return frames.rgba(frames.pixels(frames.rows(frames.chunks(_files(spark, d, exr.ZIP))))).drop("part_id")
+    return frames.rgba(frames.pixels(frames.file_rows(_files(spark, d, exr.ZIP)))).drop("part_id")
 
 
 def _layered(spark, d) -> DataFrame:
@@ -573,7 +573,7 @@ def exr_subsampled(spark, d):
         return pa.table({"path": [key[0].as_py()], "content": pa.array([exr.encode_file([(part, {(0, 0): planes})])], pa.binary())})
 
     wide = rgba(spark, d).select(F.concat(F.lit("image"), F.floor(F.col("y") / 64).cast("string")).alias("path"), (F.col("y") % 64).cast("int").alias("y"), "x", "R", "G")
-    samples = frames.pixels(frames.rows(frames.chunks(wide.groupBy("path").applyInArrow(make, "path string, content binary"))))
+    samples = frames.pixels(frames.file_rows(wide.groupBy("path").applyInArrow(make, "path string, content binary")))
     return samples.groupBy("path", "y", "x").agg(F.max(F.when(F.col("channel") == "L", F.col("value"))).alias("L"), F.max(F.when(F.col("channel") == "C", F.col("value"))).alias("C"))
 
 
@@ -606,7 +606,7 @@ def exr_mipmap_files(spark, d):
     level = wide.join(mips, "k").where(first).select(F.concat(F.lit("image"), F.col("k").cast("string")).alias("path"), F.lit(0).alias("part_id"), l.alias("level_x"), l.alias("level_y"), F.expr("shiftright(y, l)").alias("y"), F.expr("shiftright(x, l)").alias("x"), "R")
     long = level.select("path", "part_id", "level_x", "level_y", "y", "x", F.expr("stack(3, 'R', double(R), 'column', double(x), 'mark', 4000000000D + y) as (channel, value)"))
     files = frames.encode(long, exr.PIZ, {"column": exr.HALF, "mark": exr.UINT}, (6, 20), level_mode=1)
-    lines = frames.rows(frames.chunks(files))
+    lines = frames.file_rows(files)
     return lines.select("path", "level_x", "level_y", "y", "x", "channel", "pixel_type", F.posexplode("values").alias("i", "value")).select("path", "level_x", "level_y", "y", (x + F.col("i")).alias("x"), "channel", "value", "pixel_type")
 
 
@@ -745,7 +745,7 @@ def exr_first_bytes(spark, d):
 @query(f"WITH {SQL_RGBA} SELECT 'image' || CAST(y // 64 AS VARCHAR) AS path, channel, CASE channel WHEN 'R' THEN 2 WHEN 'G' THEN 2 ELSE 1 END AS pixel_type, count(*) AS n FROM (SELECT y, unnest(['R', 'G', 'B', 'A']) AS channel FROM rgba) GROUP BY ALL")
 def exr_requested_types(spark, d):
     """Halves of which two channels are read as floats."""
-    lines = frames.rows(frames.chunks(_files(spark, d, exr.ZIP, exr.HALF)), requested={"R": exr.FLOAT, "G": exr.FLOAT})
+    lines = frames.file_rows(_files(spark, d, exr.ZIP, exr.HALF), requested={"R": exr.FLOAT, "G": exr.FLOAT})
     return lines.groupBy("path", "channel", "pixel_type").agg(F.sum(F.size("values")).alias("n"))
 
 

@@ -71,6 +71,20 @@ def release(*tables: DataFrame | None) -> None:
             delete_path(t.sparkSession, t._written.rsplit("/", 1)[0])
 
 
+def bounded_batches(df: DataFrame, rows: int | None, size: int) -> DataFrame:
+    """The same table; its session hands ``rows`` rows and about ``size`` bytes to a worker at once at most.
+
+    A longer row goes alone.  Spark reads these settings of the session when a query runs, so they stay as they are set.
+    """
+    conf = df.sparkSession.conf
+    number = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in (("Records", rows), ("Bytes", size)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if most and not 0 < number(conf.get(key)) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lucidframe.functions.layers import layer_of, name_in_layer
 from lucidframe.functions.levels import level_size
 from lucidframe.operators.grid import long_to_rgba
+from lucidframe.session import bounded_batches
 from lucidframe.sources.exr import format as f
 
 PARTS = (
@@ -28,6 +29,20 @@ PARTS = (
 CHUNKS = "path string, part_id int, chunk int, level_x int, level_y int, tile_x int, tile_y int, y int, header binary, data binary"
 ROWS = "path string, part_id int, level_x int, level_y int, y int, x int, channel string, pixel_type int, values array<double>"
 _LIST = pa.list_(pa.float64())
+#: Bytes of files or chunks that a worker gets at once; a larger one goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """Path and content alone, in batches of bounded size."""
+    return bounded_batches(df, None, BATCH_BYTES).select("path", "content")
+
+
+def each_file(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Paths and contents, one file at a time: a list of a batch's contents would hold all its bytes again."""
+    for batch in batches:
+        for i, path in enumerate(batch.column(0).to_pylist()):
+            yield path, batch.column(1)[i].as_py()
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +102,7 @@ def parts(df: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in each_file([batch]):
                 try:
                     _, found, _ = f.parse_headers(content)
                 except f.ImageError as e:
@@ -102,7 +117,7 @@ def parts(df: DataFrame) -> DataFrame:
                     })
             yield pa.RecordBatch.from_pylist(rows, schema=_parts_schema())
 
-    return df.select("path", "content").mapInArrow(scan, PARTS)
+    return narrow(df).mapInArrow(scan, PARTS)
 
 
 def _parts_schema() -> pa.Schema:
@@ -130,20 +145,19 @@ def chunks(df: DataFrame) -> DataFrame:
     """Independently decodable blocks, each with its part's header."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                heads: dict[int, bytes] = {}
-                rows: list[tuple] = []
-                size = 0
-                for p, c in f.read_chunks(content):
-                    heads.setdefault(c.part_id, f.header_bytes(p, True, sort=False))
-                    rows.append((path, c.part_id, c.index, c.level_x, c.level_y, c.tile_x, c.tile_y, c.y, heads[c.part_id], c.data))
-                    size += len(c.data)
-                    if size > 16 << 20:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
+        for path, content in each_file(batches):
+            heads: dict[int, bytes] = {}
+            rows: list[tuple] = []
+            size = 0
+            for p, c in f.read_chunks(content):
+                heads.setdefault(c.part_id, f.header_bytes(p, True, sort=False))
+                rows.append((path, c.part_id, c.index, c.level_x, c.level_y, c.tile_x, c.tile_y, c.y, heads[c.part_id], c.data))
+                size += len(c.data)
+                if size > BATCH_BYTES:
                     yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         i = pa.int32()
@@ -151,7 +165,7 @@ def chunks(df: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return df.select("path", "content").mapInArrow(scan, CHUNKS)
+    return narrow(df).mapInArrow(scan, CHUNKS)
 
 
 def _chunk_of(r: dict) -> tuple[f.Part, f.Chunk]:
@@ -181,21 +195,42 @@ def rows(df: DataFrame, names: Sequence[str] | None = None, spread: bool = False
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                part, c = _chunk_of(r)
-                x, _, _, _ = f.chunk_shape(part, c)
-                out = []
-                planes = f.decode_chunk(part, c)
-                for ch in part.channels:
-                    if wanted is None or ch.name in wanted:
-                        y, plane = planes[ch.name]
-                        kind, numbers = output_type(ch.pixel_type, types.get(ch.name)), f.as_numbers(plane, ch.pixel_type)
-                        out += [(r["path"], r["part_id"], c.level_x, c.level_y, y + j, x, ch.name, kind, line) for j, line in enumerate(numbers)]
-                i = pa.int32()
-                kinds = (pa.string(), i, i, i, i, i, pa.string(), i, _LIST)
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [n.split()[0] for n in ROWS.split(", ")])
-
-    return df.mapInArrow(scan, ROWS)
+            for i in range(batch.num_rows):  # one chunk at a time
+                r = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+                yield _decoded(r["path"], *_chunk_of(r), wanted, types)
+
+    return bounded_batches(df, None, BATCH_BYTES).mapInArrow(scan, ROWS)
+
+
+def file_rows(df: DataFrame, names: Sequence[str] | None = None, requested: Mapping[str, int] | None = None) -> DataFrame:
+    """``rows`` of the chunks of (path, content) files, each decoded by the worker that cuts it out of its file.
+
+    Every Python step of a stage has a worker of its own on each core, so two steps would hold a second one there.
+    """
+    wanted = set(names) if names is not None else None
+    types = dict(requested or {})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content in each_file(batches):
+            for part, c in f.read_chunks(content):
+                yield _decoded(path, part, c, wanted, types)
+
+    return narrow(df).mapInArrow(scan, ROWS)
+
+
+def _decoded(path: str, part: f.Part, c: f.Chunk, wanted: set[str] | None, types: Mapping[str, int]) -> pa.RecordBatch:
+    """A chunk's lines as a batch of ROWS."""
+    x, _, _, _ = f.chunk_shape(part, c)
+    out = []
+    planes = f.decode_chunk(part, c)
+    for ch in part.channels:
+        if wanted is None or ch.name in wanted:
+            y, plane = planes[ch.name]
+            kind, numbers = output_type(ch.pixel_type, types.get(ch.name)), f.as_numbers(plane, ch.pixel_type)
+            out += [(path, c.part_id, c.level_x, c.level_y, y + j, x, ch.name, kind, line) for j, line in enumerate(numbers)]
+    i = pa.int32()
+    kinds = (pa.string(), i, i, i, i, i, pa.string(), i, _LIST)
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [n.split()[0] for n in ROWS.split(", ")])
 
 
 def typed(samples: DataFrame, pixel_type: int, value: str = "value") -> DataFrame:
@@ -236,31 +271,30 @@ def layer_rows(df: DataFrame, layer: str | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    version, found, _ = f.parse_headers(content)
-                    if version["multipart"] or version["non_image"]:
-                        raise f.ImageError(f.BAD_DATA, "several parts or deep pixels")
-                    picked = select_rgba([c.name for c in found[0].channels], layer)
-                    stored = {c.name: c.pixel_type for c in found[0].channels}
-                    for part, c in f.read_chunks(content):
-                        if c.level_x or c.level_y:
-                            continue
-                        x, y, w, lines = f.chunk_shape(part, c)
-                        planes = f.decode_chunk(part, c)
-                        made = {k: f.as_numbers(planes[n][1], stored[n]).astype(np.float32) for k, n in picked.items()}
-                        made.setdefault("A", np.ones((lines, w), np.float32))
-                        if any(m.shape != (lines, w) for m in made.values()):
-                            raise f.ImageError(f.BAD_FEATURE, "subsampled channels of a layer")
-                        flat = pa.StructArray.from_arrays([pa.array(made[k].ravel()) for k in "RGBA"], list("RGBA"))
-                        packed = pa.ListArray.from_arrays(pa.array(np.arange(lines + 1, dtype=np.int32) * w), flat)
-                        i32 = lambda v, n=lines: pa.array(np.full(n, v, np.int32))
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * lines), i32(0), pa.nulls(lines, pa.string()), pa.array(np.arange(y, y + lines, dtype=np.int32)), i32(x), packed.cast(kind)], names)
-                except f.ImageError as e:
-                    yield batch_of([(path, e.status, str(e), None, None, None)])
-
-    return df.select("path", "content").mapInArrow(scan, RGBA_ROWS)
+        for path, content in each_file(batches):
+            try:
+                version, found, _ = f.parse_headers(content)
+                if version["multipart"] or version["non_image"]:
+                    raise f.ImageError(f.BAD_DATA, "several parts or deep pixels")
+                picked = select_rgba([c.name for c in found[0].channels], layer)
+                stored = {c.name: c.pixel_type for c in found[0].channels}
+                for part, c in f.read_chunks(content):
+                    if c.level_x or c.level_y:
+                        continue
+                    x, y, w, lines = f.chunk_shape(part, c)
+                    planes = f.decode_chunk(part, c)
+                    made = {k: f.as_numbers(planes[n][1], stored[n]).astype(np.float32) for k, n in picked.items()}
+                    made.setdefault("A", np.ones((lines, w), np.float32))
+                    if any(m.shape != (lines, w) for m in made.values()):
+                        raise f.ImageError(f.BAD_FEATURE, "subsampled channels of a layer")
+                    flat = pa.StructArray.from_arrays([pa.array(made[k].ravel()) for k in "RGBA"], list("RGBA"))
+                    packed = pa.ListArray.from_arrays(pa.array(np.arange(lines + 1, dtype=np.int32) * w), flat)
+                    i32 = lambda v, n=lines: pa.array(np.full(n, v, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * lines), i32(0), pa.nulls(lines, pa.string()), pa.array(np.arange(y, y + lines, dtype=np.int32)), i32(x), packed.cast(kind)], names)
+            except f.ImageError as e:
+                yield batch_of([(path, e.status, str(e), None, None, None)])
+
+    return narrow(df).mapInArrow(scan, RGBA_ROWS)
 
 
 def load_rgba(df: DataFrame, layer: str | None = None) -> DataFrame:
@@ -288,13 +322,13 @@ def read(spark: SparkSession, path: str, mode: str = "pixels", names: Sequence[s
         return {"parts": lambda p: p, "channels": channels, "layers": layers}[mode](parts(found))
     if mode == "deep":
         return deep(found)
-    blocks = chunks(found)
     if mode == "chunks":
-        return blocks.drop("header")
+        return chunks(found).drop("header")
+    types = requested if mode != "rgba" else None
+    lines = rows(chunks(found), names, True, types) if spread else file_rows(found, names, types)
     if mode == "rgba":
-        return rgba(pixels(rows(blocks, names, spread)).where("level_x = 0 and level_y = 0"))
-    packed = rows(blocks, names, spread, requested)
-    return packed if mode == "rows" else pixels(packed)
+        return rgba(pixels(lines).where("level_x = 0 and level_y = 0"))
+    return lines if mode == "rows" else pixels(lines)
 
 
 def rgba(samples: DataFrame) -> DataFrame:
@@ -308,16 +342,15 @@ def deep(df: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.map_(pa.string(), pa.float32()))
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, lines = f.decode_deep(content)
-                for y, ends, samples in lines:
-                    starts = np.concatenate(([0], ends[:-1]))
-                    values = [[[(n, float(v[i])) for n, v in samples.items()] for i in range(a, b)] for a, b in zip(starts.tolist(), ends.tolist())]
-                    n = len(ends)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([y] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(values, kind)], ["path", "y", "x", "samples"])
+        for path, content in each_file(batches):
+            _, lines = f.decode_deep(content)
+            for y, ends, samples in lines:
+                starts = np.concatenate(([0], ends[:-1]))
+                values = [[[(n, float(v[i])) for n, v in samples.items()] for i in range(a, b)] for a, b in zip(starts.tolist(), ends.tolist())]
+                n = len(ends)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([y] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(values, kind)], ["path", "y", "x", "samples"])
 
-    return df.select("path", "content").mapInArrow(scan, schema)
+    return narrow(df).mapInArrow(scan, schema)
 
 
 def _placed(group: pa.Table, part: f.Part, width: int, height: int, x0: int = 0, y0: int = 0) -> dict[str, np.ndarray]:
@@ -494,11 +527,10 @@ def save_files(df: DataFrame, folder: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([write_file(folder, path, content)]), pa.array([len(content)], pa.int64())], ["path", "size"])
+        for path, content in each_file(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([write_file(folder, path, content)]), pa.array([len(content)], pa.int64())], ["path", "size"])
 
-    return df.select("path", "content").mapInArrow(write, "path string, size long")
+    return narrow(df).mapInArrow(write, "path string, size long")
 
 
 def is_complete(content: bytes) -> bool:

@@ -15,7 +15,7 @@ def stream_files(spark: SparkSession, folder: str, files_per_batch: int = 64) ->
 
 
 def stream_rows(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
-    return frames.rows(frames.chunks(stream_files(spark, folder, files_per_batch)))
+    return frames.file_rows(stream_files(spark, folder, files_per_batch))
 
 
 def stream_pixels(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:

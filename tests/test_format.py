@@ -414,3 +414,37 @@ def test_saving_and_streaming_send_the_driver_no_rows(spark, monkeypatch):
             monkeypatch.setattr(where, name, refuse)
     made = {name: registry.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("exr_stream", "exr_first_bytes", "image_folder")}
     assert all(df.inputFiles() for df in made.values())  # a memory sink's table has none
+
+
+def test_files_come_to_workers_in_bounded_batches(spark):
+    """One worker a core reads and decodes the files that another makes, and gets a few MB of them at once."""
+    import pyarrow as pa
+
+    from lucidframe.plans import registry
+
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "64m")
+        made = registry.QUERIES["exr_mipmap_files"](spark, "/root/testdata/sf0.001")
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        large = spark.range(0, 12, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+        got = [r.n for r in large.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 12 << 20 and max(got) <= 5 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_of_files_are_the_rows_of_their_chunks(spark):
+    parts = [f.Part([f.Channel("R", f.HALF), f.Channel("Z")], 37, 21, f.PIZ, name, tile=tile, level_mode=1) for name, tile in (("a", (8, 16)), ("b", (16, 8)))]
+    one = spark.createDataFrame([("many", f.encode_file([(p, planes(p, np.random.default_rng(k))) for k, p in enumerate(parts)])), ("one", f.encode_file([(parts[0], planes(parts[0], np.random.default_rng(5)))]))], "path string, content binary")
+    for given in ({}, {"names": ["Z"]}, {"requested": {"R": f.FLOAT}}):
+        got, want = (sorted(map(tuple, df.collect()), key=repr) for df in (frames.file_rows(one, **given), frames.rows(frames.chunks(one), **given)))
+        assert want and repr(got) == repr(want)
